@@ -15,6 +15,17 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def evaluated(df, keep: list[str], computed: dict[str, Column]):
+    """Columns ``keep`` and the computed ones, each computed once per row.
+
+    Catalyst copies the definition of a column into every filter and expression above it. Parsing
+    chains are long, so the copies grow beyond what can be compiled; a one-row generator stops it.
+    """
+    projected = df.select(*keep, *[v.alias(f"_e_{k}") for k, v in computed.items()])
+    row = F.struct(*[F.col(f"_e_{k}").alias(k) for k in computed])
+    return projected.select(*keep, F.inline(F.array(row)))
+
+
 def present(value: Column) -> Column:
     """Null for the absent markers: null, empty text and a dash."""
     return F.when((value != "") & (value != "-"), value)

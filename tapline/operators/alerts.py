@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import alert_confidence, alert_id, raw_model_score
+from ..session import stage
 from .beacon import micros
 from .chunks import CHUNK_ROWS, join_on, over_previous, running
 from .normalize import select_contract
@@ -180,7 +181,7 @@ def correlate_alerts(
     starts = over_previous(
         slots, [entity], "_t", 1, {"_new": lambda w: F.coalesce(F.col("_t") - F.lag("_t").over(w) > gap, F.lit(True)).cast("long")}, rows
     )
-    numbered = running(starts, [entity], "_t", {"incident_no": ("sum", F.col("_new"), True)}, rows=rows)
+    numbered = running(stage(starts), [entity], "_t", {"incident_no": ("sum", F.col("_new"), True)}, rows=rows)
     per_class = join_on(timed, numbered.select(entity, "_t", "incident_no"), [entity, "_t"]).groupBy(
         entity, "incident_no", threat_class
     ).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .chunks import CHUNK_ROWS, join_on, over_previous
 
 # Order of the beacon vector; the protocol columns are one-hot.
@@ -176,7 +177,7 @@ def beacon_periodicity(
 
     by = list(by)
     timed = df.withColumn("_t", micros(ts)).withColumn("_s", F.col(seq).cast("long"))
-    numbered = row_numbers(timed, by, ["_t", "_s"], "_i", rows)
+    numbered = stage(row_numbers(timed, by, ["_t", "_s"], "_i", rows))
     gap = lambda w: (F.col("_t") - F.lag("_t").over(w)) / F.lit(1e6)
     prev = lambda w: (F.lag("_t").over(w) - F.lag("_t", 2).over(w)) / F.lit(1e6)
     gapped = over_previous(numbered, by, "_i", 2, {"_gap": gap, "_prev": prev}, rows)

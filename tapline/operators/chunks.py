@@ -11,49 +11,75 @@ operators get there by aggregating equal timestamps first, in microseconds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 CHUNK_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 CHUNK = "_chunk"
 HALO = "_halo"
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_r_{n}"]) for n in names])
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str], null_safe: bool) -> Column:
+    pairs = [(left[n], right[f"_r_{n}"]) for n in names]
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) if null_safe else x == y for x, y in pairs])
+
 
+def join_on(
+    left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left", null_safe: bool = True
+) -> DataFrame:
+    """Equi-join that keeps the left names.
 
-def join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi-join that keeps the left names."""
+    A null-safe join matches null keys but hashes other expressions than a grouping on the same
+    keys, so it costs a shuffle more; key columns that are never null should say so.
+    """
     renamed = right.select(
         *[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns]
     )
-    joined = left.join(renamed, _same(left, renamed, names), how)
+    joined = left.join(renamed, _same(left, renamed, names, null_safe), how)
     return joined.drop(*[f"_r_{n}" for n in names]) if how not in ("left_semi", "left_anti") else joined
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a staged frame whose row count was checked; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def hot_keys(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, or None when there is none. One map-side combined count."""
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")).filter(F.col("_total") > rows)
+    staged = stage(hot)
+    return None if staged.isEmpty() else staged.select(*by)
+
+
 def assign_chunks(
     df: DataFrame, by: Sequence[str], seq: str, rows: int = CHUNK_ROWS, width: int | None = None
-) -> DataFrame:
+) -> DataFrame | None:
     """Add ``_chunk``: consecutive ranges of ``seq`` per key with fewer than ``2 * rows`` rows each.
 
-    Keys with more than ``rows`` rows are found by a count. Only their rows are counted again per
-    block of ``width`` sequence values (``rows`` by default, so a block holds at most ``rows``
-    distinct values), and blocks are packed into chunks by their running count. Without such a key
-    the second count and the join are empty, and adaptive execution drops them.
+    Keys with more than ``rows`` rows are counted again per block of ``width`` sequence values
+    (``rows`` by default, so a block holds at most ``rows`` distinct values), and blocks are packed
+    into chunks by their running count. Other keys are one chunk. Returns None when no key is that
+    large, so ordinary data is planned as an ordinary window.
+
+    Rows with a null key are left in one chunk.
     """
     by = list(by)
+    hot = hot_keys(df, by, rows)
+    if hot is None:
+        return None
     block = F.floor(F.col(seq) / F.lit(width or rows)).cast("long")
-    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")).filter(F.col("_total") > rows).select(*by)
-    of_large = join_on(df, large, by, "left_semi") if by else df
-    counts = of_large.groupBy(*by, block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    of_hot = join_on(df, if_small(hot), by, "left_semi", null_safe=False) if by else df
+    counts = of_hot.groupBy(*by, block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     chunk = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows)).cast("long")
-    packed = counts.select(*by, "_block", chunk.alias(CHUNK))
-    joined = join_on(df.withColumn("_block", block), packed, [*by, "_block"])
+    packed = stage(counts.select(*by, "_block", chunk.alias(CHUNK)))
+    joined = join_on(df.withColumn("_block", block), if_small(packed), [*by, "_block"], null_safe=False)
     return joined.withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0).cast("long"))).drop("_block")
 
 
@@ -72,24 +98,17 @@ def assign_value_chunks(df: DataFrame, by: Sequence[str], value: str, parts: int
     return joined.withColumn(CHUNK, F.coalesce(below, F.lit(0)).cast("long")).drop("_cuts")
 
 
-def chunk_window(by: Sequence[str], seq: str) -> Window:
-    return Window.partitionBy(*by, CHUNK).orderBy(seq)
+def with_halo(chunked: DataFrame, by: Sequence[str], seq: str, n: int) -> DataFrame:
+    """Copy into each chunk the ``n`` rows of the key that precede it, marked ``_halo``.
 
-
-def with_halo(
-    df: DataFrame, by: Sequence[str], seq: str, n: int, rows: int = CHUNK_ROWS, width: int | None = None
-) -> DataFrame:
-    """Chunk the frame and copy into each chunk the ``n`` rows of the key that precede it.
-
-    Copies carry ``_halo = true``; a window over (key, chunk) then sees the true neighbours, and
-    dropping the copies afterwards leaves one result per input row. A chunk has at least one row,
-    so the ``n`` rows before it lie within the tails of the ``n`` chunks before it.
+    A window over (key, chunk) then sees the true neighbours, and dropping the copies afterwards
+    leaves one result per input row. A chunk has at least one row, so the ``n`` rows before it lie
+    within the tails of the ``n`` chunks before it. The tail filter is a group limit that Spark
+    applies before the shuffle.
     """
-    by = list(by)
-    chunked = assign_chunks(df, by, seq, rows, width)
     columns = [c for c in chunked.columns if c != CHUNK]
     from_end = Window.partitionBy(*by, CHUNK).orderBy(F.col(seq).desc())
-    row = F.struct(F.col(seq).alias("_k"), *[F.col(c) for c in columns])
+    row = F.struct(F.col(seq).alias("_order_key"), *[F.col(c) for c in columns])
     tails = (
         chunked.withColumn("_from_end", F.row_number().over(from_end))
         .filter(F.col("_from_end") <= n)
@@ -113,7 +132,7 @@ def over_previous(
     by: Sequence[str],
     seq: str,
     n: int,
-    columns: dict[str, "callable"],
+    columns: dict[str, Callable[[WindowSpec], Column]],
     rows: int = CHUNK_ROWS,
     width: int | None = None,
 ) -> DataFrame:
@@ -121,10 +140,13 @@ def over_previous(
 
     ``columns`` maps a name to a function of the ordered window.
     """
-    framed = with_halo(df, by, seq, n, rows, width)
-    window = chunk_window(by, seq)
-    added = framed.select("*", *[make(window).alias(name) for name, make in columns.items()])
-    return added.filter(~F.col(HALO)).drop(HALO, CHUNK)
+    by = list(by)
+    add = lambda frame, window: frame.select("*", *[make(window).alias(c) for c, make in columns.items()])
+    chunked = assign_chunks(df, by, seq, rows, width)
+    if chunked is None:
+        return add(df, Window.partitionBy(*by).orderBy(seq))
+    framed = with_halo(chunked, by, seq, n)
+    return add(framed, Window.partitionBy(*by, CHUNK).orderBy(seq)).filter(~F.col(HALO)).drop(HALO, CHUNK)
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -147,9 +169,17 @@ def running(
     by = list(by)
     frame = df if chunked else assign_chunks(df, by, seq, rows)
     direction = (lambda c: F.col(c).desc()) if descending else F.col
-    frame = frame.select("*", *[expr.alias(f"_v_{name}") for name, (_, expr, _) in values.items()])
+
+    def along(window: WindowSpec, name: str) -> Column:
+        kind, expr, inclusive = values[name]
+        out = _COMBINE[kind](expr).over(window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        return F.coalesce(out, F.lit(0)) if kind == "sum" else out
+
+    if frame is None:
+        window = Window.partitionBy(*by).orderBy(direction(seq))
+        return df.select("*", *[along(window, name).alias(name) for name in values])
     partial = frame.groupBy(*by, CHUNK).agg(
-        *[_COMBINE[kind](f"_v_{name}").alias(f"_p_{name}") for name, (kind, _, _) in values.items()]
+        *[_COMBINE[kind](expr).alias(f"_p_{name}") for name, (kind, expr, _) in values.items()]
     )
     earlier = Window.partitionBy(*by).orderBy(direction(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = partial.select(
@@ -157,18 +187,15 @@ def running(
         CHUNK,
         *[_COMBINE[kind](f"_p_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _, _) in values.items()],
     )
-    joined = join_on(frame, carried, [*by, CHUNK])
+    joined = join_on(frame, carried, [*by, CHUNK], null_safe=False)
     local = Window.partitionBy(*by, CHUNK).orderBy(direction(seq))
     out = []
-    for name, (kind, _, inclusive) in values.items():
-        frame_end = 0 if inclusive else -1
-        inside = _COMBINE[kind](f"_v_{name}").over(local.rowsBetween(Window.unboundedPreceding, frame_end))
-        carry = F.col(f"_c_{name}")
+    for name, (kind, _, _) in values.items():
+        carry, inside = F.col(f"_c_{name}"), along(local, name)
         if kind == "sum":
-            out.append((F.coalesce(carry, F.lit(0)) + F.coalesce(inside, F.lit(0))).alias(name))
+            out.append((F.coalesce(carry, F.lit(0)) + inside).alias(name))
         else:
-            pick = F.greatest if kind == "max" else F.least
-            out.append(pick(carry, inside).alias(name))
+            out.append((F.greatest if kind == "max" else F.least)(carry, inside).alias(name))
     kept = [c for c in df.columns if c != CHUNK]
     return joined.select(*kept, *out)
 
@@ -183,16 +210,16 @@ def row_numbers(
     """
     by = list(by)
     total = None
-    offsets = df
+    offsets = df = stage(df)
     for depth, column in enumerate(order):
         prefix = [*by, *order[:depth]]
         before = f"_before{depth}"
         if depth == len(order) - 1:
-            offsets = running(offsets, prefix, column, {before: ("sum", F.lit(1), False)}, rows=rows)
+            offsets = running(stage(offsets), prefix, column, {before: ("sum", F.lit(1), False)}, rows=rows)
         else:
             counts = df.groupBy(*prefix, column).agg(F.count(F.lit(1)).alias("_n"))
             summed = running(counts, prefix, column, {before: ("sum", F.col("_n"), False)}, rows=rows)
-            offsets = join_on(offsets, summed.select(*prefix, column, before), [*prefix, column])
+            offsets = join_on(offsets, summed.select(*prefix, column, before), [*prefix, column], null_safe=False)
         total = F.col(before) if total is None else total + F.col(before)
     drop = [f"_before{d}" for d in range(len(order))]
     return offsets.withColumn(name, (total + 1).cast("long")).drop(*drop)

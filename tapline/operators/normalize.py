@@ -8,9 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import (
-    field, first_present, parse_ts, present, present_int, strict_int, total_count, total_count_invalid, ts_reject,
-)
+from ..functions.parsing import evaluated, field, first_present, parse_ts, present_int, strict_int, ts_reject
 
 # Supported event types and the fields each must carry.
 SUPPORTED_TYPES = ("conn", "dns", "ssl", "tls", "packet")
@@ -41,62 +39,67 @@ def event_type(raw: str = "raw") -> Column:
     return F.lower(F.trim(first_present(raw, "event_type", "type", "log_type")))
 
 
-def _missing(raw: str, kind: Column, name: str) -> Column:
-    value = field(raw, name)
-    return F.when(
-        value.isNull() | (value == ""), F.concat(kind, F.lit(f" event is missing required field: {name}"))
-    )
+_COUNTERS = {"bytes": ("bytes", "orig_bytes", "resp_bytes"), "packets": ("packets", "orig_pkts", "resp_pkts")}
 
 
-def _bad_integer(raw: str, *names: str) -> Column:
-    value = first_present(raw, *names)
-    return F.when(value.isNotNull() & strict_int(value).isNull(), value)
-
+def normalize(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add the normalised columns and ``reject_reason``; other columns stay.
 
-def reject_reason(raw: str = "raw") -> Column:
-    """First rule a record breaks, in the order the fields are read; null for a good record."""
-    kind = event_type(raw)
-    endpoints = F.when(
-        kind.isin(*ENDPOINT_TYPES), F.coalesce(*[_missing(raw, kind, n) for n in ENDPOINT_FIELDS])
+    Three projections: look fields up, parse them, judge them. Each value is computed once, which
+    keeps the generated code small.
+    """
+    kept = [c for c in df.columns if c not in ("event_type", "reject_reason")]
+    looked_up = {"event_type": event_type(raw)}
+    looked_up |= {f"_f{i}": field(raw, n) for i, n in enumerate(("ts", *ENDPOINT_FIELDS))}
+    looked_up |= {f"_t_{n}": first_present(raw, *names) for n, names in ALIASES.items()}
+    looked_up |= {f"_c_{n}": first_present(raw, n) for names in _COUNTERS.values() for n in names}
+    found = evaluated(df, kept, looked_up)
+    numbers = {"observed_at": parse_ts(F.col("_f0"))}
+    numbers |= {n: strict_int(F.col(f"_t_{n}")) for n in ("source_port", "destination_port")}
+    numbers |= {f"_i_{n}": strict_int(F.col(f"_c_{n}")) for names in _COUNTERS.values() for n in names}
+    parsed = evaluated(found, found.columns, numbers)
+    bad = lambda text, number: F.when(F.col(number).isNull(), F.col(text))
+    counts, faults = {}, [bad("_t_source_port", "source_port"), bad("_t_destination_port", "destination_port")]
+    for name, (direct, first, second) in _COUNTERS.items():
+        given = F.col(f"_c_{direct}").isNotNull()
+        either = F.col(f"_i_{first}").isNotNull() | F.col(f"_i_{second}").isNotNull()
+        added = F.coalesce(f"_i_{first}", F.lit(0)) + F.coalesce(f"_i_{second}", F.lit(0))
+        counts[name] = F.when(given, F.col(f"_i_{direct}")).otherwise(F.when(either, added))
+        of = lambda n: bad(f"_c_{n}", f"_i_{n}")
+        faults.append(F.when(given, of(direct)).otherwise(F.coalesce(of(first), of(second))))
+    totals = parsed.select("*", *[v.alias(k) for k, v in counts.items()], F.coalesce(*faults).alias("_fault"))
+    text = ("source_ip", "destination_ip", "protocol", "flow_id", "direction")
+    named = totals.select(
+        "*", *[F.col(f"_t_{n}").alias(n) for n in text]
     )
-    number = F.coalesce(
-        _bad_integer(raw, *ALIASES["source_port"]),
-        _bad_integer(raw, *ALIASES["destination_port"]),
-        total_count_invalid(raw, "bytes", "orig_bytes", "resp_bytes"),
-        total_count_invalid(raw, "packets", "orig_pkts", "resp_pkts"),
+    out = evaluated(named, named.columns, {"reject_reason": _reject_reason()})
+    return out.select(
+        *kept, "observed_at", "event_type", *text[:2],
+        *[F.col(n).cast("int").alias(n) for n in ("source_port", "destination_port")],
+        *text[2:3], "bytes", "packets", *text[3:], "reject_reason",
     )
-    negative = F.coalesce(
-        F.when(total_count(raw, "bytes", "orig_bytes", "resp_bytes") < 0, F.lit("bytes")),
-        F.when(total_count(raw, "packets", "orig_pkts", "resp_pkts") < 0, F.lit("packets")),
+
+
+def _missing(column: str, name: str) -> Column:
+    return F.when(
+        F.col(column).isNull() | (F.col(column) == ""),
+        F.concat("event_type", F.lit(f" event is missing required field: {name}")),
     )
+
+
+def _reject_reason() -> Column:
+    """First rule a record breaks, in the order the fields are read; null for a good record."""
+    kind = F.col("event_type")
+    endpoints = F.coalesce(*[_missing(f"_f{i}", n) for i, n in enumerate(ENDPOINT_FIELDS, start=1)])
+    negative = [F.when(F.col(n) < 0, F.lit(f"{n} must not be negative")) for n in _COUNTERS]
     return F.coalesce(
         F.when(kind.isNull(), F.lit("Zeek record is missing event type")),
         F.when(~kind.isin(*SUPPORTED_TYPES), F.concat(F.lit("Unsupported Zeek event type: '"), kind, F.lit("'"))),
-        _missing(raw, kind, "ts"),
-        endpoints,
-        ts_reject(field(raw, "ts")),
-        F.when(number.isNotNull(), F.concat(F.lit("Expected integer value, got '"), number, F.lit("'"))),
-        F.when(negative.isNotNull(), F.concat(negative, F.lit(" must not be negative"))),
-    )
-
-
-def normalize(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add the normalised columns and ``reject_reason``; other columns stay."""
-    text = lambda name: first_present(raw, *ALIASES[name])
-    return df.select(
-        *[c for c in df.columns if c not in ("event_type", "reject_reason")],
-        parse_ts(field(raw, "ts")).alias("observed_at"),
-        event_type(raw).alias("event_type"),
-        text("source_ip").alias("source_ip"),
-        text("destination_ip").alias("destination_ip"),
-        strict_int(text("source_port")).cast("int").alias("source_port"),
-        strict_int(text("destination_port")).cast("int").alias("destination_port"),
-        text("protocol").alias("protocol"),
-        total_count(raw, "bytes", "orig_bytes", "resp_bytes").alias("bytes"),
-        total_count(raw, "packets", "orig_pkts", "resp_pkts").alias("packets"),
-        text("flow_id").alias("flow_id"),
-        text("direction").alias("direction"),
-        reject_reason(raw).alias("reject_reason"),
+        _missing("_f0", "ts"),
+        F.when(kind.isin(*ENDPOINT_TYPES), endpoints),
+        F.when(F.col("observed_at").isNull(), ts_reject(F.col("_f0"))),
+        F.concat(F.lit("Expected integer value, got '"), F.col("_fault"), F.lit("'")),
+        *negative,
     )
 
 

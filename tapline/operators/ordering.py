@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .beacon import micros
-from .chunks import CHUNK_ROWS, assign_chunks, join_on, row_numbers, running
+from .chunks import CHUNK_ROWS, join_on, row_numbers, running
 
 
 def late_flags(
@@ -59,7 +60,7 @@ def reorder(
         raise ValueError("late must be release or quarantine")
     by = list(by)
     limit = F.lit(int(round(lateness * 1_000_000))).cast("long")
-    flagged = late_flags(df, by, ts, seq, lateness, rows)
+    flagged = stage(late_flags(df, by, ts, seq, lateness, rows))
     wanted = flagged.withColumn("_wanted", F.col("_t") + limit)
     # running minimum of the arrivals over falling values: rows below the maximum never win
     points = flagged.select(*by, F.col("_t").alias("_value"), F.col(seq).cast("long").alias("_arrival"))
@@ -95,6 +96,7 @@ def reorder_stats(reordered: DataFrame, by: Sequence[str], seq: str, rows: int =
     is counted before what it triggers leaves, as in a push that buffers first.
     """
     by = list(by)
+    reordered = stage(reordered)
     buffered = ~F.col("too_late")
     counts = reordered.groupBy(*by).agg(
         F.count(F.lit(1)).alias("events"),
@@ -109,7 +111,7 @@ def reorder_stats(reordered: DataFrame, by: Sequence[str], seq: str, rows: int =
     )
     steps = enters.unionByName(leaves).groupBy(*by, "_at").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
     moved = running(
-        steps, by, "_at",
+        stage(steps), by, "_at",
         {"_entered": ("sum", F.col("_in"), True), "_left": ("sum", F.col("_out"), False)}, rows=rows,
     )
     peak = moved.groupBy(*by).agg(F.max(F.col("_entered") - F.col("_left")).alias("peak_buffer_depth"))

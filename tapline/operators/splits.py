@@ -32,7 +32,7 @@ def stratified_split(
     parts = list(shares.items())
     for part, share in parts[:-1]:
         edge += share
-        chain = (chain or F).when(unit < F.lit(edge), F.lit(part))
+        chain = (F if chain is None else chain).when(unit < F.lit(edge), F.lit(part))
     return df.withColumn(name, chain.otherwise(F.lit(parts[-1][0])) if chain is not None else F.lit(parts[0][0]))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .beacon import micros
 from .chunks import CHUNK_ROWS, join_on, over_previous, running
 
@@ -58,7 +59,7 @@ def context_triggers(
     placed = join_on(ordered, anchors, by)
     index = lambda c: F.floor((c - F.col("_t0")) / step)
     triggers = placed.withColumn("first_k", index(F.col("_prev")) + 1).withColumn("last_k", index(F.col("_t")))
-    triggers = triggers.filter(F.col("last_k") >= F.col("first_k"))
+    triggers = stage(triggers.filter(F.col("last_k") >= F.col("first_k")))
     # running totals at each trigger and at the start of its context
     cuts = triggers.select(*by, (F.col("_t") - span).alias("_t")).unionByName(triggers.select(*by, "_t"))
     zero = [F.lit(0).cast("long").alias("_n"), *[F.lit(None).cast(slots.schema[f"_s_{c}"].dataType).alias(f"_s_{c}") for c in sums]]
@@ -70,7 +71,7 @@ def context_triggers(
     )
     totals = {"_c_n": ("sum", F.col("_n"), False)}
     totals |= {f"_c_{c}": ("sum", F.coalesce(F.col(f"_s_{c}"), F.lit(0)), False) for c in sums}
-    cumulative = running(points, by, "_t", totals, rows=rows).select(*by, "_t", *totals)
+    cumulative = stage(running(stage(points), by, "_t", totals, rows=rows).select(*by, "_t", *totals))
     at = join_on(triggers, cumulative, [*by, "_t"])
     start = cumulative.select(*by, F.col("_t").alias("_from"), *[F.col(c).alias(f"{c}0") for c in totals])
     at = join_on(at.withColumn("_from", F.col("_t") - span), start, [*by, "_from"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.parsing import evaluated
 from ..operators.chunks import join_on
 
 # Log names that give an event type.
@@ -130,15 +131,19 @@ def decode_lines(lines: DataFrame, max_chars: int = MAX_LINE_CHARS) -> DataFrame
             F.map_concat(raw, F.create_map(F.lit("event_type"), kind))
         )
     )
-    parsed = body.withColumn("_values", F.when(F.col("fields").isNotNull(), values)).withColumn(
-        "_json", F.when(F.col("fields").isNull(), F.from_json("line", "map<string,string>"))
-    )
-    flagged = parsed.withColumn("reject_reason", reason)
+    in_table = F.col("fields").isNotNull()
+    decoded = {
+        "_values": F.when(in_table, values),
+        "_json": F.when(~in_table, F.from_json("line", "map<string,string>")),
+    }
+    parsed = evaluated(body, body.columns, decoded)
+    flagged = evaluated(parsed, parsed.columns, {"reject_reason": reason})
     raw = F.when(
         F.col("reject_reason").isNull(),
         F.when(F.col("fields").isNotNull(), with_type(named, True)).otherwise(with_type(F.col("_json"), False)),
     )
-    return flagged.withColumn("raw", raw).drop("_values", "_json", "fields")
+    kept = [c for c in flagged.columns if c not in ("_values", "_json", "fields")]
+    return evaluated(flagged, kept, {"raw": raw})
 
 
 def attach_headers(lines: DataFrame) -> DataFrame:

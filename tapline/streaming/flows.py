@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.packet_flows import FLAG_MASKS, TCP, UDP
+from ..operators.packet_flows import (
+    FLAG_MASKS, MARKER_MISMATCH, MISSING, NO_END, NO_PACKETS, OTHER_ENDPOINTS, OTHER_PROTOCOL, TCP, packet_errors, reason_text,
+)
 
 _SIDE = ("packets", "bytes")
 _STATE = (
     "first_seq long, src string, src_port long, dst string, dst_port long, proto long, a_packets long, a_bytes long, "
-    "b_packets long, b_bytes long, squares double, t0 long, t1 long, fin long, syn long, rst long, ack long, "
+    "b_packets long, b_bytes long, squares long, t0 long, t1 long, fin long, syn long, rst long, ack long, "
     "dead boolean, reasons array<string>"
 )
 _NAMES = [part.split()[0] for part in _STATE.split(", ")]
@@ -73,7 +75,7 @@ class FlowProcessor(StatefulProcessor):
             state = dict.fromkeys(_NAMES, 0) | {
                 "first_seq": int(head["seq"]), "src": head["src"], "dst": head["dst"],
                 "src_port": _int(head["src_port"]), "dst_port": _int(head["dst_port"]), "proto": _int(head["proto"]),
-                "squares": 0.0, "t0": int(head["t"]), "t1": int(head["t"]), "dead": bool(dead),
+                "squares": 0, "t0": int(head["t"]), "t1": int(head["t"]), "dead": bool(dead),
                 "reasons": [head["head_error"]] if dead else [],
             }
         reasons = list(state["reasons"])
@@ -85,19 +87,19 @@ class FlowProcessor(StatefulProcessor):
         back = (packets["src"] == state["dst"]) & (packets["dst"] == state["src"])
         back &= (packets["src_port"] == state["dst_port"]) & (packets["dst_port"] == state["src_port"])
         why = error.copy()
-        why[why.isna() & (packets["proto"] != state["proto"])] = "IP protocol changed within Zeek connection uid"
-        why[why.isna() & ~(same | back)] = "packet endpoints changed within Zeek connection uid"
+        why[why.isna() & (packets["proto"] != state["proto"])] = OTHER_PROTOCOL
+        why[why.isna() & ~(same | back)] = OTHER_ENDPOINTS
         good = packets[why.isna()]
         side_a, payload = same[good.index], good["payload_len"].astype("int64")
         no_flags = good["tcp_flags"].isna() & (good["proto"] == TCP)
-        why[good.index[no_flags]] = "packet observation is missing tcp_flags"
+        why[good.index[no_flags]] = MISSING.format("tcp_flags")
         flags = good["tcp_flags"].fillna(0).astype("int64").where(good["proto"] == TCP, 0)
         moved = {
             "a_packets": state["a_packets"] + int(side_a.sum()),
             "b_packets": state["b_packets"] + int((~side_a).sum()),
             "a_bytes": state["a_bytes"] + int(payload[side_a].sum()),
             "b_bytes": state["b_bytes"] + int(payload[~side_a].sum()),
-            "squares": state["squares"] + float((payload.astype("float64") ** 2).sum()),
+            "squares": state["squares"] + int((payload * payload).sum()),
             **{n: state[n] + int(((flags & m) != 0).sum()) for n, m in FLAG_MASKS.items()},
             "reasons": list(dict.fromkeys([*reasons, *why.dropna()])),
         }
@@ -119,20 +121,20 @@ class FlowProcessor(StatefulProcessor):
         if state is None:
             empty = dict.fromkeys(_OUT) | {
                 "flow_id": uid, "observed_us": int(marker["t"]), "packet_count": 0, "flow_end_observed": True,
-                "incomplete_reasons": ["flow-end marker has no packet observations"],
+                "incomplete_reasons": [NO_PACKETS],
             }
             return [empty[c] for c in _OUT]
         reasons = list(state["reasons"])
         if not state["dead"]:
             if marker is None:
-                reasons.append("Zeek flow-end marker was not observed")
+                reasons.append(NO_END)
             else:
                 for c in ("src", "dst", "src_port", "dst_port", "proto"):
                     if pd.notna(marker[c]) and marker[c] != state[c]:
-                        reasons.append(f"flow-end marker {c} does not match first packet direction")
+                        reasons.append(MARKER_MISMATCH.format(c))
         n = state["a_packets"] + state["b_packets"]
         total = state["a_bytes"] + state["b_bytes"]
-        spread = max(n * state["squares"] - float(total) ** 2, 0.0)
+        spread = float(n * state["squares"] - total * total)
         done = {
             "flow_id": uid, "observed_us": state["t1"] if marker is None else int(marker["t"]),
             "flow_start_us": state["t0"], "source_ip": state["src"], "source_port": state["src_port"],
@@ -159,21 +161,13 @@ def packets_to_flows_stream(df: DataFrame, seq: str = "arrival_seq", quiet_secon
     Field checks stay in Spark expressions; the processor sees their result. Needs the RocksDB state
     store.
     """
-    from ..operators.packet_flows import _marker_reason, _unusable
-
-    field = F.coalesce(*[_unusable(df, n) for n in ("src", "dst", "src_port", "dst_port", "proto")])
-    marker = _marker_reason(df)
-    negative = F.when(F.col("payload_len") < 0, F.lit("payload_len must not be negative"))
-    same = (F.col("src") == F.col("dst")) & (F.col("src_port") == F.col("dst_port"))
-    unsupported = F.concat(F.lit("unsupported IP protocol "), F.col("proto").cast("string"), F.lit("; TCP/UDP required"))
-    head = F.coalesce(
-        marker, field, F.when(~F.col("proto").isin(TCP, UDP), unsupported),
-        F.when(same, F.lit("packet endpoints do not distinguish forward from backward")),
-    )
+    errors = packet_errors(df)
+    text = lambda code: reason_text(code, F.col("proto"))
     prepared = df.filter(F.col("uid").isNotNull()).select(
         "uid", F.col(seq).cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
         "src", "src_port", "dst", "dst_port", "proto", "payload_len", "tcp_flags", "flow_complete",
-        F.coalesce(marker, field, _unusable(df, "payload_len"), negative).alias("error"), head.alias("head_error"),
+        text(F.coalesce(errors["marker"], errors["field"], errors["payload"])).alias("error"),
+        text(F.coalesce(errors["marker"], errors["head"])).alias("head_error"),
     )
     return prepared.groupBy("uid").transformWithStateInPandas(
         statefulProcessor=FlowProcessor(int(quiet_seconds * 1000)), outputStructType=FLOW_SCHEMA, outputMode="append",
