@@ -122,12 +122,12 @@ def tls_flow_features(
     )
     gaps = lambda frame: gaps_by_time(frame, ["uid"], "ts", rows=chunk)
     overall, ahead, back = gaps(packets), gaps(packets.filter(forward)), gaps(packets.filter(~forward))
+    join = lambda a, b: join_on(a, b, ["uid"], null_safe=False)
     named = lambda g, prefix, cols: g.select("uid", *[F.col(f"iat_{c}").alias(f"{prefix}_iat_{c}") for c in cols])
-    out = join_on(counts, named(ahead, "fwd", ("mean", "std", "max", "min")), ["uid"])
-    out = join_on(out, named(back, "bwd", ("mean", "std")), ["uid"])
-    out = join_on(out, named(overall, "overall", ("mean", "std")), ["uid"])
-    out = join_on(out, _dominant_frequency(packets, counts, bins), ["uid"])
-    out = join_on(out, sessions, ["uid"])
+    out = join(counts, named(ahead, "fwd", ("mean", "std", "max", "min")))
+    out = join(out, named(back, "bwd", ("mean", "std")))
+    out = join(out, named(overall, "overall", ("mean", "std")))
+    out = join(join(out, _dominant_frequency(packets, counts, bins)), sessions)
     version, alpn = F.lower(F.coalesce("version", F.lit(""))), F.lower(F.coalesce("alpn", F.lit("")))
     name = F.coalesce(F.col("server_name"), F.lit(""))
     quic = F.lower(F.coalesce("proto", F.lit(""))) == "quic"
@@ -142,28 +142,34 @@ def tls_flow_features(
 
 
 def _dominant_frequency(packets: DataFrame, spans: DataFrame, bins: int) -> DataFrame:
-    """Strongest frequency of a flow's packet counts, one group of at most ``bins`` rows per flow."""
+    """Strongest frequency of each flow's packet counts.
+
+    A flow is at most ``bins`` counts by now; they are packed into one short array per flow, and a
+    vectorised function transforms a whole Arrow batch of flows as one matrix.
+    """
     from .chunks import join_on
 
-    timed = join_on(packets.select("uid", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t")), spans.select("uid", "_t0", "_t1"), ["uid"])
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = join_on(packets.select("uid", micros.alias("_t")), spans.select("uid", "_t0", "_t1"), ["uid"], null_safe=False)
     width = F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1))
     slot = F.least(F.floor((F.col("_t") - F.col("_t0")) * bins / width), F.lit(bins - 1)).cast("int")
-    slots = timed.groupBy("uid", "_t0", "_t1", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-
-    def transform(group: pd.DataFrame) -> pd.DataFrame:
-        seconds = (group["_t1"].iloc[0] - group["_t0"].iloc[0]) / 1e6
-        series = np.zeros(bins)
-        series[group["slot"].to_numpy()] = group["n"].to_numpy()
-        if seconds <= 0:
-            return pd.DataFrame({"uid": group["uid"].iloc[:1], "dominant_freq_hz": [0.0], "dominant_freq_power": [0.0]})
-        power = np.abs(np.fft.rfft(series - series.mean())) ** 2
-        best = int(power[1:].argmax()) + 1
-        share = float(power[best] / power[1:].sum()) if power[1:].sum() > 0 else 0.0
-        return pd.DataFrame(
-            {"uid": group["uid"].iloc[:1], "dominant_freq_hz": [best / seconds if share else 0.0], "dominant_freq_power": [share]}
-        )
-
-    kind = spans.schema["uid"].dataType.simpleString()
-    return slots.groupBy("uid").applyInPandas(
-        transform, f"uid {kind}, dominant_freq_hz double, dominant_freq_power double"
+    slots = timed.groupBy("uid", slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"), ((F.first("_t1") - F.first("_t0")) / F.lit(1e6)).alias("seconds")
     )
+    packed = slots.groupBy("uid").agg(
+        F.collect_list("slot").alias("at"), F.collect_list("n").alias("counts"), F.first("seconds").alias("seconds")
+    )
+
+    @F.pandas_udf("dominant_freq_hz double, dominant_freq_power double")
+    def strongest(at: pd.Series, counts: pd.Series, seconds: pd.Series) -> pd.DataFrame:
+        series = np.zeros((len(at), bins))
+        row = np.repeat(np.arange(len(at)), at.str.len())
+        series[row, np.concatenate(at.to_list())] = np.concatenate(counts.to_list())
+        power = np.abs(np.fft.rfft(series - series.mean(axis=1, keepdims=True), axis=1))[:, 1:] ** 2
+        whole, long = power.sum(axis=1), seconds.to_numpy() > 0
+        alive = long & (whole > 1e-9)
+        share = np.where(alive, power.max(axis=1) / np.where(alive, whole, 1.0), 0.0)
+        hertz = np.where(alive, (power.argmax(axis=1) + 1) / np.where(long, seconds, 1.0), 0.0)
+        return pd.DataFrame({"dominant_freq_hz": hertz, "dominant_freq_power": share})
+
+    return packed.select("uid", strongest("at", "counts", "seconds").alias("_f")).select("uid", "_f.*")

@@ -139,18 +139,18 @@ def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataF
     summed = running(
         chunked, by, "score", {"p_below": ("sum", F.col("p"), False), "q_below": ("sum", F.col("q"), False)}, chunked=True
     )
-    totals = counts.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     if by:
         return join_on(summed, totals, by)
-    both = totals.select(F.struct("P", "Q").alias("_t"))
-    return summed.withColumn("_t", both.scalar()).select("*", "_t.P", "_t.Q").drop("_t")
+    both = totals.select(F.struct("all_p", "all_q").alias("_t"))
+    return summed.withColumn("_t", both.scalar()).select("*", "_t.all_p", "_t.all_q").drop("_t")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """ROC AUC by ranks, equal scores counting half. Null when a group has one class only."""
     points = _by_score(df, label, score, by)
     wins = F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2.0))
-    p, q = F.first("P"), F.first("Q")
+    p, q = F.first("all_p"), F.first("all_q")
     auc = F.when((p > 0) & (q > 0), wins / (p.cast("double") * q))
     return points.groupBy(*by).agg(auc.alias("roc_auc"), p.alias("positives"), q.alias("negatives"))
 
@@ -158,18 +158,18 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Average precision: the sum over distinct scores of recall gain times precision."""
     points = _by_score(df, label, score, by)
-    tp = F.col("P") - F.col("p_below")
-    seen = tp + F.col("Q") - F.col("q_below")
-    term = F.when(F.col("P") > 0, F.col("p") / F.col("P") * tp / seen)
+    tp = F.col("all_p") - F.col("p_below")
+    seen = tp + F.col("all_q") - F.col("q_below")
+    term = F.when(F.col("all_p") > 0, F.col("p") / F.col("all_p") * tp / seen)
     return points.groupBy(*by).agg(F.sum(term).alias("average_precision"))
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score: rates when everything at or above it is flagged."""
     points = _by_score(df, label, score, by)
-    tp, fp = F.col("P") - F.col("p_below"), F.col("Q") - F.col("q_below")
-    precision, recall = safe_divide(tp, tp + fp), safe_divide(tp, F.col("P"))
-    fpr = safe_divide(fp, F.col("Q"))
+    tp, fp = F.col("all_p") - F.col("p_below"), F.col("all_q") - F.col("q_below")
+    precision, recall = safe_divide(tp, tp + fp), safe_divide(tp, F.col("all_p"))
+    fpr = safe_divide(fp, F.col("all_q"))
     return points.select(
         *by, "score", tp.alias("tp"), fp.alias("fp"), recall.alias("tpr"), fpr.alias("fpr"), precision.alias("precision"),
         (recall - fpr).alias("youden_j"),
@@ -250,7 +250,7 @@ def drift_score(training: DataFrame, live: DataFrame, columns: Sequence[str], bi
     )
     points = _by_score(tagged, "_live", "value", ["feature"])
     share_of = lambda below, at, total: (F.col(below) + F.col(at)) / F.col(total)
-    gap = F.abs(share_of("p_below", "p", "P") - share_of("q_below", "q", "Q"))
+    gap = F.abs(share_of("p_below", "p", "all_p") - share_of("q_below", "q", "all_q"))
     return join_on(psi, points.groupBy("feature").agg(F.max(gap).alias("ks")), ["feature"])
 
 
