@@ -25,7 +25,7 @@ class ExfilProcessor(StatefulProcessor):
         self.history = handle.getListState("history", ", ".join(f"`{c}` double" for c in BASE))
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values("_seq")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq_no")
         stored = list(self.history.get()) if self.history.exists() else []
         past = pd.DataFrame(stored, columns=list(BASE), dtype=float)
         values = pd.concat([past, batch[list(BASE)].astype(float)], ignore_index=True)
@@ -34,7 +34,7 @@ class ExfilProcessor(StatefulProcessor):
         std = before.rolling(HISTORY, min_periods=2).std().fillna(0.0)
         stats = {"mean": mean, "std": std}
         out = pd.DataFrame({c: [k] * len(batch) for c, k in zip(self.columns, key)})
-        out["seq"] = batch["_seq"].to_numpy()
+        out["seq"] = batch["seq_no"].to_numpy()
         for name in EXFIL_FEATURES:
             column, _, stat = name.rsplit("_", 2)
             out[name] = stats[stat][column].to_numpy()[len(past):]
@@ -52,7 +52,7 @@ def exfil_context_stream(df: DataFrame, by: Sequence[str], seq: str, derive: boo
     """The ten previous-20 features per record of a DNS stream. Needs the RocksDB state store."""
     by = list(by)
     base = dns_base_features(df, lenient=False) if derive else df
-    prepared = base.select(*by, F.col(seq).cast("long").alias("_seq"), *[F.col(c).cast("double").alias(c) for c in BASE])
+    prepared = base.select(*by, F.col(seq).cast("long").alias("seq_no"), *[F.col(c).cast("double").alias(c) for c in BASE])
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{keys}, seq long, {', '.join(f'{n} double' for n in EXFIL_FEATURES)}, history_records_used long"
     return prepared.groupBy(*by).transformWithStateInPandas(

@@ -39,7 +39,7 @@ class FlowProcessor(StatefulProcessor):
         self.flow = handle.getValueState("flow", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values("seq")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
         state = dict(zip(_NAMES, self.flow.get())) if self.flow.exists() else None
         ends = batch.index[batch["flow_complete"] == True]  # noqa: E712 - nulls are not ends
         out = []
@@ -54,8 +54,9 @@ class FlowProcessor(StatefulProcessor):
             self.flow.clear()
         else:
             self.flow.update(tuple(state[n] for n in _NAMES))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.quiet_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if state is not None and self.quiet_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
         yield pd.DataFrame(out, columns=_OUT)

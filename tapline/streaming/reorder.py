@@ -103,13 +103,14 @@ class ReorderProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         buffer, payload = self._load()
         out = []
-        arrived = pd.concat(list(rows)).sort_values("_arrival")
-        for t, arrival, text in zip(arrived["_t"], arrived["_arrival"], arrived["_payload"]):
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values("arrival_no")
+        for t, arrival, text in zip(arrived["at_us"], arrived["arrival_no"], arrived["payload_text"]):
             payload[int(arrival)] = text
             out += buffer.push(int(t), int(arrival))
         self._save(buffer, payload)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.quiet_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if buffer.heap and self.quiet_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
         yield self._emit(key, out, payload)
@@ -135,8 +136,8 @@ def reorder_stream(
     """
     by = list(by)
     prepared = df.select(
-        *by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(seq).cast("long").alias("_arrival"),
-        F.to_json(F.struct(*df.columns)).alias("_payload"),
+        *by, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"), F.col(seq).cast("long").alias("arrival_no"),
+        F.to_json(F.struct(*df.columns)).alias("payload_text"),
     )
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     columns = [*by, "arrival", "payload", "late", "too_late", "overflowed", "refused", "release_seq"]

@@ -22,11 +22,11 @@ class ContextProcessor(StatefulProcessor):
         self.clock = handle.getValueState("clock", "due long, last long")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values("_seq")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq_no")
         slots = dict(self.slots.get()) if self.slots.exists() else {}
         due, last = self.clock.get() if self.clock.exists() else (None, None)
         out = []
-        for t, seq in zip(batch["_t"], batch["_seq"]):
+        for t, seq in zip(batch["at_us"], batch["seq_no"]):
             t, seq = int(t), int(seq)
             if last is not None and t < last:
                 out.append((*key, None, None, t, seq, None, "Window events must be timestamp-ordered"))
@@ -46,8 +46,9 @@ class ContextProcessor(StatefulProcessor):
             self.slots.put(sorted(slots.items()))
         if last is not None:
             self.clock.update((due, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.quiet_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if self.quiet_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
         yield self._frame(out)
@@ -75,7 +76,7 @@ def context_windows_stream(
     """Emissions of a stream whose events are in time order per key; refused events carry a reason."""
     by = list(by)
     prepared = df.select(
-        *by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(seq).cast("long").alias("_seq")
+        *by, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"), F.col(seq).cast("long").alias("seq_no")
     )
     columns = [*by, "start_us", "end_us", "triggered_us", "trigger_seq", "context_count", "reject_reason"]
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
