@@ -83,19 +83,40 @@ def assign_chunks(
     return joined.withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0).cast("long"))).drop("_block")
 
 
-def assign_value_chunks(df: DataFrame, by: Sequence[str], value: str, parts: int = 128) -> DataFrame:
-    """Add ``_chunk`` by approximate quantiles of a numeric column, for a modest number of keys.
+def assign_value_chunks(
+    df: DataFrame, by: Sequence[str], value: str, parts: int = 64, rows: int = CHUNK_ROWS
+) -> DataFrame | None:
+    """Add ``_chunk`` by approximate quantiles of a numeric column; None when no key needs it.
 
-    Meant for frames with one row per distinct value, where quantile cuts balance the chunks.
+    For staged frames with one row per distinct value of a key, where quantile cuts balance the
+    chunks.
     """
     by = list(by)
+    hot = hot_keys(df, by, rows)
+    if hot is None:
+        return None
     fractions = [i / parts for i in range(1, parts)]
     cuts = df.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(F.col(value), fractions, 20 * parts)).alias("_cuts")
     )
-    joined = join_on(df, cuts, by) if by else df.withColumn("_cuts", cuts.scalar())
+    if by:
+        joined = join_on(df, join_on(cuts, if_small(hot), by, "left_semi", null_safe=False), by, null_safe=False)
+    else:
+        joined = df.withColumn("_cuts", cuts.scalar())
     below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    return joined.withColumn(CHUNK, F.coalesce(below, F.lit(0)).cast("long")).drop("_cuts")
+    # size is -1 for the keys without cuts: one chunk
+    return joined.withColumn(CHUNK, F.greatest(below, F.lit(0)).cast("long")).drop("_cuts")
+
+
+def running_by_value(
+    df: DataFrame, by: Sequence[str], value: str, values: dict[str, tuple[str, Column, bool]], parts: int = 64,
+    rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Running totals along a numeric column of any kind, for a staged frame of distinct values."""
+    chunked = assign_value_chunks(df, by, value, parts, rows)
+    if chunked is None:
+        return running(df, by, value, values, known_small=True)
+    return running(chunked, by, value, values, chunked=True)
 
 
 def with_halo(chunked: DataFrame, by: Sequence[str], seq: str, n: int) -> DataFrame:
@@ -160,14 +181,16 @@ def running(
     descending: bool = False,
     rows: int = CHUNK_ROWS,
     chunked: bool = False,
+    known_small: bool = False,
 ) -> DataFrame:
     """Running sum, max or min along each key.
 
     ``values`` maps a new name to (kind, expression, inclusive). Exclusive sums start at 0,
-    exclusive extremes at null. With ``chunked`` the frame already has ``_chunk``.
+    exclusive extremes at null. With ``chunked`` the frame already has ``_chunk``; with
+    ``known_small`` the caller has checked that no key needs it.
     """
     by = list(by)
-    frame = df if chunked else assign_chunks(df, by, seq, rows)
+    frame = df if chunked else None if known_small else assign_chunks(df, by, seq, rows)
     direction = (lambda c: F.col(c).desc()) if descending else F.col
 
     def along(window: WindowSpec, name: str) -> Column:
@@ -226,7 +249,8 @@ def row_numbers(
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], parts: int = 128
+    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], parts: int = 64,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles without holding a group in one task.
 
@@ -234,18 +258,12 @@ def exact_percentiles(
     percentile reads the two values around its position.
     """
     by = list(by)
-    counts = (
+    counts = stage(
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(
-        assign_value_chunks(counts, by, "_x", parts),
-        by,
-        "_x",
-        {"_below": ("sum", F.col("_n"), False)},
-        chunked=True,
-    )
+    ranked = running_by_value(counts, by, "_x", {"_below": ("sum", F.col("_n"), False)}, parts, rows)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     joined = join_on(ranked, totals, by) if by else ranked.withColumn("_total", totals.scalar())
     out = []

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import safe_divide
-from .chunks import assign_value_chunks, join_on, running
+from ..session import stage
+from .chunks import CHUNK_ROWS, join_on, running_by_value
 from .profile import unpivot
 
 # Threshold grids as (first, last, step).
@@ -127,18 +128,16 @@ def threshold_neighbourhood(sweep: DataFrame, value: float, reach: float = 0.05)
     return sweep.filter(F.abs(F.col("threshold") - value) <= reach + 1e-9)
 
 
-def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str], rows: int = CHUNK_ROWS) -> DataFrame:
     """Positives and negatives per distinct score with those strictly below, and the group totals."""
     by = list(by)
-    counts = (
+    counts = stage(
         df.filter(F.col(score).isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
     )
-    chunked = assign_value_chunks(counts, by, "score")
-    summed = running(
-        chunked, by, "score", {"p_below": ("sum", F.col("p"), False), "q_below": ("sum", F.col("q"), False)}, chunked=True
-    )
+    below = {"p_below": ("sum", F.col("p"), False), "q_below": ("sum", F.col("q"), False)}
+    summed = running_by_value(counts, by, "score", below, rows=rows)
     totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     if by:
         return join_on(summed, totals, by)

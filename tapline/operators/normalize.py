@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import evaluated, field, first_present, parse_ts, present_int, strict_int, ts_reject
+from ..functions.parsing import evaluated, field, parse_ts, present_int, strict_int, ts_reject
 
 # Supported event types and the fields each must carry.
 SUPPORTED_TYPES = ("conn", "dns", "ssl", "tls", "packet")
@@ -35,10 +35,6 @@ CONN_FEATURES = {
 }
 
 
-def event_type(raw: str = "raw") -> Column:
-    return F.lower(F.trim(first_present(raw, "event_type", "type", "log_type")))
-
-
 _COUNTERS = {"bytes": ("bytes", "orig_bytes", "resp_bytes"), "packets": ("packets", "orig_pkts", "resp_pkts")}
 
 
@@ -49,15 +45,25 @@ def normalize(df: DataFrame, raw: str = "raw") -> DataFrame:
     keeps the generated code small.
     """
     kept = [c for c in df.columns if c not in ("event_type", "reject_reason")]
-    looked_up = {"event_type": event_type(raw)}
+    given = evaluated(df, kept, {"_given": F.map_filter(raw, lambda _, v: (v != "") & (v != "-"))})
+    first = lambda *names: F.coalesce(*[field("_given", n) for n in names])
+    looked_up = {"event_type": F.lower(F.trim(first("event_type", "type", "log_type")))}
     looked_up |= {f"_f{i}": field(raw, n) for i, n in enumerate(("ts", *ENDPOINT_FIELDS))}
-    looked_up |= {f"_t_{n}": first_present(raw, *names) for n, names in ALIASES.items()}
-    looked_up |= {f"_c_{n}": first_present(raw, n) for names in _COUNTERS.values() for n in names}
-    found = evaluated(df, kept, looked_up)
-    numbers = {"observed_at": parse_ts(F.col("_f0"))}
-    numbers |= {n: strict_int(F.col(f"_t_{n}")) for n in ("source_port", "destination_port")}
-    numbers |= {f"_i_{n}": strict_int(F.col(f"_c_{n}")) for names in _COUNTERS.values() for n in names}
-    parsed = evaluated(found, found.columns, numbers)
+    looked_up |= {f"_t_{n}": first(*names) for n, names in ALIASES.items()}
+    looked_up |= {f"_c_{n}": first(n) for names in _COUNTERS.values() for n in names}
+    found = evaluated(given, kept, looked_up)
+    # one expression over an array instead of eight copies keeps the generated method small
+    texts = {n: f"_t_{n}" for n in ("source_port", "destination_port")}
+    texts |= {f"_i_{n}": f"_c_{n}" for names in _COUNTERS.values() for n in names}
+    numbers = {
+        "observed_at": parse_ts(F.col("_f0")),
+        "_numbers": F.transform(F.array(*[F.col(c) for c in texts.values()]), strict_int),
+    }
+    numbered = evaluated(found, found.columns, numbers)
+    parsed = numbered.select(
+        *[c for c in numbered.columns if c != "_numbers"],
+        *[F.col("_numbers")[i].alias(n) for i, n in enumerate(texts)],
+    )
     bad = lambda text, number: F.when(F.col(number).isNull(), F.col(text))
     counts, faults = {}, [bad("_t_source_port", "source_port"), bad("_t_destination_port", "destination_port")]
     for name, (direct, first, second) in _COUNTERS.items():

@@ -70,14 +70,15 @@ def test_row_numbers(skewed, size):
     assert (got.sort_values(["key", "t", "seq"])["n"] == want).all()
 
 
-def test_exact_percentiles(skewed):
+@pytest.mark.parametrize("size", [20, 10_000])
+def test_exact_percentiles(skewed, size):
     marks = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
-    got = C.exact_percentiles(skewed, ["key"], "v", marks, parts=8).toPandas().set_index("key")
+    got = C.exact_percentiles(skewed, ["key"], "v", marks, 8, size).toPandas().set_index("key")
     frame = skewed.toPandas()
     for name, f in marks.items():
         want = frame.groupby("key")["v"].quantile(f)
         assert (got[name] - want).abs().max() < 1e-9
-    whole = C.exact_percentiles(skewed, [], "v", marks, parts=8).first()
+    whole = C.exact_percentiles(skewed, [], "v", marks, 8, size).first()
     assert abs(whole["p99"] - frame["v"].quantile(0.99)) < 1e-9
 
 
