@@ -22,7 +22,7 @@ def evaluated(df, keep: list[str], computed: dict[str, Column]):
     chains are long, so the copies grow beyond what can be compiled; a one-row generator stops it.
     """
     projected = df.select(*keep, *[v.alias(f"_e_{k}") for k, v in computed.items()])
-    row = F.struct(*[F.col(f"_e_{k}").alias(k) for k in computed])
+    row = F.struct(*[F.col(f"`_e_{k}`").alias(k) for k in computed])
     return projected.select(*keep, F.inline(F.array(row)))
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parsing import evaluated
 from ..functions.scoring import alert_confidence, alert_id, raw_model_score
 from ..session import stage
 from .beacon import micros
@@ -42,10 +43,14 @@ class Detector:
     def run(self, df: DataFrame) -> DataFrame:
         """Predictions for rows that satisfy the contract; the others get a reject reason."""
         prepared = self.features(df) if self.features else df
+        # features and score are used by several columns and filters: each is computed once
+        prepared = evaluated(prepared, [], {c: F.col(f"`{c}`") for c in prepared.columns})
         checked = select_contract(prepared, self.contract)
         scored = self.scorer(checked) if callable(self.scorer) else checked.withColumn("score", self.scorer)
         ready = F.col("vector").isNotNull()
-        out = decide(scored.withColumn("score", F.when(ready, F.col("score"))), "score", self.threshold, self.labels)
+        others = [c for c in scored.columns if c != "score"]
+        scored = evaluated(scored, [f"`{c}`" for c in others], {"score": F.when(ready, F.col("score"))})
+        out = decide(scored, "score", self.threshold, self.labels)
         why = F.concat(
             F.lit("Skipped: current event raw metadata is missing required detector inputs: "),
             F.array_join("missing_inputs", ", "),
