@@ -33,6 +33,12 @@ def test_auc_against_all_pairs(scored):
     assert M.roc_auc(scored.filter("label = 1"), "label", "score").first().roc_auc is None
 
 
+def test_score_totals_do_not_depend_on_chunks(scored):
+    shape = lambda df: sorted((r.source, r.score, r.p_below, r.q_below, r.all_p, r.all_q) for r in df.collect())
+    small = M._by_score(scored, "label", "score", ["source"], rows=10)
+    assert shape(small) == shape(M._by_score(scored, "label", "score", ["source"]))
+
+
 @pytest.mark.parametrize("name", list(M.GRIDS))
 def test_sweep_against_each_threshold(scored, name):
     grid = M.threshold_grid(name)
