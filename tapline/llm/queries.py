@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec
+from . import bpe_codec, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_codec.encode_records(records(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return bpe_codec.record_digests(encoded).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_budget(records(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return counted.withColumnRenamed("event_id", "doc_id")

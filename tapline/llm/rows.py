@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[tu
     """
     for batch in batches:
         column = batch.column(text)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
