@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_counts
+from ..session import shared_dir
+from . import bpe_codec, line_rules, secrets, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +38,61 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_budget(records(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
     return counted.withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("findings")
+    return secrets.scan_records(records(spark, sf_dir)).select(
+        F.col("event_id").alias("doc_id"),
+        *[secrets.count_of(found, kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.listed(secrets.base_only(found)).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(found).alias("spans"),
+    )
+
+
+@query
+def op7_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write_token_shards(records(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    stored = token_store.read_token_shards(spark, folder)
+    return stored.select(F.col("event_id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+OP10_WORDS = """base AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM {docs}),
+cut AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM base),
+win AS (
+  SELECT r, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM cut WHERE len(ws) >= 8)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(8) AS x(k) GROUP BY r),
+line AS (SELECT r, host, t, unnest(string_split(t, chr(10))) AS l FROM base),
+full_line AS (
+  SELECT *, lower(trim(translate(l, chr(9) || chr(11) || chr(12) || chr(13) || '123456789', '    000000000'))) AS norm
+  FROM line WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+common AS (SELECT host, norm FROM full_line GROUP BY host, norm HAVING count(DISTINCT t) > 100),
+per AS (
+  SELECT r, count(*) - count(DISTINCT l) AS dup, sum(length(l)) AS total,
+    coalesce(sum(length(l)) FILTER ((host, norm) IN (SELECT (host, norm) FROM common)), 0) AS removed
+  FROM full_line GROUP BY r),
+judged AS (
+  SELECT c.*, len(ws) AS n_words, coalesce(cov.n, 0) AS n_repeat_words, coalesce(per.dup, 0) AS n_dup_lines,
+    len(ws) < 20 OR 100 * coalesce(cov.n, 0) > 30 * len(ws) AS base_failed,
+    coalesce(per.removed, 0) AS removed, coalesce(per.total, 0) AS total
+  FROM cut c LEFT JOIN cov USING (r) LEFT JOIN per USING (r))"""
+
+ORACLES["op10_line_quality"] = (
+    "WITH "
+    + OP10_WORDS.format(docs="documents")
+    + """
+SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS bigint) AS word_chars,
+  cast(length(t) - length(translate(t, '#*$%&|<>', '')) AS bigint) AS n_symbols, cast(n_dup_lines AS bigint) AS n_dup_lines,
+  cast(n_repeat_words AS bigint) AS n_repeat_words, cast(removed AS bigint) AS removed_chars, base_failed,
+  NOT base_failed AND 100 * removed <= 50 * total AS kept
+FROM judged"""
+)
+
+
+@query
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_quality(records(spark, sf_dir)).withColumnRenamed("event_id", "doc_id")

@@ -41,7 +41,7 @@ def id_type(rows: DataFrame, id_col: str) -> str:
 
 
 def map_texts(
-    rows: DataFrame, id_col: str, text_col: str, one: Callable[[], Callable[[list[str]], list[pa.Array]]], columns: str
+    rows: DataFrame, id_col: str, text_col: str, one: Callable[[], Callable[[list[str]], list[pa.Array]]], columns: str | list[str]
 ) -> DataFrame:
     """``id`` and, from every text, the columns that ``one()`` makes of a list of texts.
 
@@ -55,5 +55,6 @@ def map_texts(
             made = apply(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["id", *names])
 
-    names = [c.strip().split(" ")[0] for c in columns.split(", ")]
-    return id_and_text(rows, id_col, text_col).mapInArrow(run, f"id {kind}, {columns}")
+    columns = columns.split(", ") if isinstance(columns, str) else columns
+    names = [c.split(" ")[0] for c in columns]
+    return id_and_text(rows, id_col, text_col).mapInArrow(run, ", ".join([f"id {kind}", *columns]))

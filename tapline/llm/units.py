@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 UNIT_CHARS = 64
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 # A space is a safe place to cut before if a character follows that no Unicode version takes for white space.
 _SAFE = "[!-~¡-ʯぁ-힣]"
 _CUT = re.compile(f" (?={_SAFE})")
