@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe_codec, line_rules, secrets, token_counts, token_store
+from . import bpe_codec, language_model, line_rules, quality_model, secrets, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,24 @@ FROM judged"""
 @query
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(records(spark, sf_dir)).withColumnRenamed("event_id", "doc_id")
+
+
+def part_of(id_col: str, parts: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+@query
+def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = records(spark, sf_dir)
+    model = language_model.train_language(events.filter(part_of("event_id", 4) != 2))
+    found = language_model.identify_language(events, model)
+    return found.select(F.col("event_id").alias("doc_id"), (part_of("event_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = records(spark, sf_dir)
+    reviews = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("event_id"), F.col("quality").alias("label"))
+    model = quality_model.train_quality(events, reviews.filter(part_of("event_id", 5) != 0))
+    scored = quality_model.score_quality(events, model, threshold=0.3)
+    return scored.select(F.col("event_id").alias("doc_id"), (part_of("event_id", 5) == 0).alias("held_out"), "score", "predicted")
