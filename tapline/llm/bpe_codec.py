@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,7 @@ from .units import UNIT_CHARS, UnitCache
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _POSITION = 32
 _NONE = 1 << 62
+KNOWN_WORDS = 600_000
 
 
 def byte_chars() -> list[str]:
@@ -30,8 +32,9 @@ def byte_chars() -> list[str]:
 class PairTree:
     """Minimum tree over the ranks of adjacent pairs.
 
-    A leaf is ``rank << 32 | position``, so the root is the leftmost pair of the lowest rank. A merge
-    changes three leaves, each in logarithmic time, and it ends when the root holds no mergeable pair.
+    A leaf is ``rank << 32 | position``, so the root, element 1, is the leftmost pair of the lowest rank. A
+    merge changes three leaves at most; each is carried upwards, in logarithmic time, until a node keeps
+    its minimum.
     """
 
     def __init__(self, leaves: list[int]):
@@ -44,19 +47,6 @@ class PairTree:
             tree[i] = a if a < b else b
         self.size, self.tree = size, tree
 
-    def put(self, position: int, leaf: int) -> None:
-        tree, i = self.tree, position + self.size
-        tree[i] = leaf
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            if b < a:
-                a = b
-            if tree[i] == a:
-                return
-            tree[i] = a
-            i >>= 1
-
 
 class Codec:
     """Encoder and decoder of a byte-level BPE vocabulary file (JSON with ``vocab`` and ``merges``)."""
@@ -78,6 +68,10 @@ class Codec:
             self.pieces[k] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.added = {a: np.array([k], "<u4").tobytes() for a, k in added.items()}
         self.at_added = regex.compile("|".join(regex.escape(a) for a in sorted(added, key=len, reverse=True))) if added else None
+        self.byte_array, self.merged_array = np.array(self.byte_ids), np.array(self.merged)
+        keys = np.array([(k >> 32) * len(self.pieces) + (k & 0xFFFFFFFF) for k in self.ranks])
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()))[order]
         self.split, self.words = regex.compile(SPLIT), {}
         self.units = UnitCache(self.resolve)
 
@@ -93,7 +87,7 @@ class Codec:
                 rank = ranks(symbols[i] << 32 | symbols[i + 1])
                 leaves.append(_NONE if rank is None else rank << _POSITION | i)
             pairs = PairTree(leaves)
-            tree, put = pairs.tree, pairs.put
+            tree, size = pairs.tree, pairs.size
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             while (top := tree[1]) != _NONE:
                 i, rank = top & 0xFFFFFFFF, top >> _POSITION
@@ -102,43 +96,118 @@ class Codec:
                 symbols[i] = now = merged[rank]
                 symbols[j] = -1
                 after[i] = k
-                if j < n - 1:
-                    put(j, _NONE)
+                changed = []
+                if (h := before[i]) >= 0:
+                    rank = ranks(symbols[h] << 32 | now)
+                    changed.append((h, _NONE if rank is None else rank << _POSITION | h))
                 rank = None
                 if k < n:
                     before[k] = i
                     rank = ranks(now << 32 | symbols[k])
-                put(i, _NONE if rank is None else rank << _POSITION | i)
-                if (h := before[i]) >= 0:
-                    rank = ranks(symbols[h] << 32 | now)
-                    put(h, _NONE if rank is None else rank << _POSITION | h)
+                    changed.append((j, _NONE))
+                changed.append((i, _NONE if rank is None else rank << _POSITION | i))
+                for at, leaf in changed:
+                    at += size
+                    while True:
+                        tree[at] = leaf
+                        if at == 1:
+                            break
+                        beside = tree[at ^ 1]
+                        if beside < leaf:
+                            leaf = beside
+                        at >>= 1
+                        if tree[at] == leaf:
+                            break
             symbols = [s for s in symbols if s >= 0]
-        return np.array(symbols, "<u4").tobytes()
-
-    def plain(self, unit: str) -> bytes:
-        out, words = [], self.words
-        for word in self.split.findall(unit):
-            if (got := words.get(word)) is None:
-                got = self.word(word)
-                if len(word) <= UNIT_CHARS:
-                    words[word] = got
-            out.append(got)
-        return b"".join(out)
+        return array("I", symbols).tobytes()
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
+        key = left * len(self.pieces) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.pair_ranks[at] << 6 | position, _NONE)
+
+    def same_size(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids of many pieces of at most ``width + 1`` bytes: their trees are the rows of one array.
+
+        Every step takes the root of each tree, merges that pair and carries the changed leaves upwards.
+        """
+        sizes = np.array([len(w) for w in words])
+        symbols = np.full((len(words), width + 3), -1, np.int64)
+        symbols[:, : width + 1][np.arange(width + 1) < sizes[:, None]] = self.byte_array[np.frombuffer(b"".join(words), np.uint8)]
+        tree = np.full((len(words), 2 * width), _NONE, np.int64)
+        tree[:, width:] = self.leaves(symbols[:, :width], symbols[:, 1 : width + 1], np.arange(width))
+        for i in range(width - 1, 0, -1):
+            tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
+        after = np.tile(np.arange(1, width + 4), (len(words), 1))
+        before = np.tile(np.arange(-1, width + 2), (len(words), 1))
+
+        def put(rows: np.ndarray, position: np.ndarray, leaf: np.ndarray | int) -> None:
+            at = position + width
+            tree[rows, at] = leaf
+            while at[0] > 1:
+                at = at >> 1
+                tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+
+        rows = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(rows):
+            top = tree[rows, 1]
+            i = top & 63
+            j = after[rows, i]
+            k = after[rows, j]
+            h = before[rows, i]
+            now = self.merged_array[top >> 6]
+            symbols[rows, i], symbols[rows, j], after[rows, i], before[rows, k] = now, -1, k, i
+            put(rows, i, self.leaves(now, symbols[rows, k], i))
+            for mine, position, leaf in ((j < width, j, None), (h >= 0, h, now)):
+                if mine.any():
+                    r, at = rows[mine], position[mine]
+                    put(r, at, _NONE if leaf is None else self.leaves(symbols[r, at], leaf[mine], at))
+            rows = rows[tree[rows, 1] != _NONE]
+        kept = symbols >= 0
+        data, ends = symbols[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces: short ones together, by the size of their trees, long ones one by one."""
+        out, bins = {}, {}
+        for word in words:
+            data = word.encode()
+            if len(data) == 1:
+                out[word] = array("I", [self.byte_ids[data[0]]]).tobytes()
+            elif len(data) <= 33:
+                bins.setdefault(max(2, 1 << (len(data) - 2).bit_length()), []).append((word, data))
+            else:
+                out[word] = self.word(word)
+        for width, members in bins.items():
+            out.update(zip([w for w, _ in members], self.same_size([d for _, d in members], width), strict=True))
+        return out
 
     def resolve(self, units: list[str]) -> list[bytes]:
-        if len(self.words) > 400_000:
-            self.words = {}
-        out = []
+        """Ids of units, with added tokens matched first."""
+        split, cut, missing = self.split.findall, [], {}
         for unit in units:
-            if self.at_added is not None and (found := self.at_added.search(unit)):
-                parts, at = [], 0
-                while found:
-                    parts += [self.plain(unit[at : found.start()]), self.added[found.group()]]
+            if self.at_added is not None and self.at_added.search(unit):
+                words, at = [], 0
+                for found in self.at_added.finditer(unit):
+                    words += [*split(unit[at : found.start()]), self.added[found.group()]]
                     at = found.end()
-                    found = self.at_added.search(unit, at)
-                out.append(b"".join([*parts, self.plain(unit[at:])]))
+                words += split(unit[at:])
             else:
-                out.append(self.plain(unit))
+                words = split(unit)
+            cut.append(words)
+            for word in words:
+                if word not in self.words and isinstance(word, str):
+                    missing[word] = None
+        new = self.learn(list(missing))
+        if len(self.words) + len(new) > KNOWN_WORDS:
+            self.words = {w: self.words[w] for words in cut for w in words if w in self.words}
+        self.words.update(new)
+        known = self.words
+        out = [b"".join([w if isinstance(w, bytes) else known[w] for w in words]) for words in cut]
+        for word in new:
+            if len(word) > UNIT_CHARS:
+                del known[word]
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

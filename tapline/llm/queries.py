@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe_codec, language_model, line_rules, quality_model, secrets, token_counts, token_store
+from . import bpe_codec, language_model, line_rules, page_text, quality_model, secrets, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,11 @@ def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model.train_quality(events, reviews.filter(part_of("event_id", 5) != 0))
     scored = quality_model.score_quality(events, model, threshold=0.3)
     return scored.select(F.col("event_id").alias("doc_id"), (part_of("event_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    keyed = pages.select(F.struct("page_id", "url").alias("page_id"), "html")
+    found = page_text.extract_text(keyed, page_text.train_pages(pages))
+    return found.select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
