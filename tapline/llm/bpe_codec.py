@@ -211,7 +211,7 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, "<u4") for b in self.units.encode(texts)]
+        return self.units.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""

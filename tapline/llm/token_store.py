@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -154,7 +155,7 @@ def library_units(path: str) -> UnitCache:
     tokenizer.no_padding()
 
     def resolve(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(units, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(units, add_special_tokens=False)]
 
     return UnitCache(resolve)
 
@@ -175,11 +176,11 @@ def write_token_shards(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, part, shard = library_units(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         held, ids, lengths = [], [], []
 
         def close() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4"))
+            matrix = WaveletMatrix.build(np.concatenate(ids))
             row = [[part], [shard], pa.array([pa.chunked_array(held).to_pylist()], pa.list_(held[0].type)), [lengths], [matrix.to_bytes()]]
             types = [pa.int32(), pa.int32(), None, pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([x if t is None else pa.array(x, t) for x, t in zip(row, types, strict=True)], names=names)
@@ -189,7 +190,7 @@ def write_token_shards(
             start = 0
             for i, made in enumerate(units.encode(texts)):
                 ids += [made, end]
-                lengths.append(len(made) // 4 + 1)
+                lengths.append(len(made) + 1)
                 total += lengths[-1]
                 if total >= shard_tokens:
                     held.append(batch.column(0).slice(start, i + 1 - start))

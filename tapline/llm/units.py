@@ -1,20 +1,43 @@
-"""Cut texts into units that a byte-level BPE encodes independently, and remember their ids."""
+"""Distinct parts of many texts, so that each is looked up once; and units that a byte-level BPE encodes apart."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 UNIT_CHARS = 64
-CACHE_UNITS = 600_000
+CACHE_UNITS = 900_000
 # A space is a safe place to cut before if a character follows that no Unicode version takes for white space.
 _SAFE = "[!-~¡-ʯぁ-힣]"
 _CUT = re.compile(f" (?={_SAFE})")
 _starts_safe = re.compile(_SAFE).match
 
 
+def distinct_parts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts between single spaces, the number of each part in its order, and each text's range."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+
+
+def gather(pieces: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unsigned 32-bit numbers of the pieces laid out in an order, and how many each place got."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+    flat, first = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
+    placed = sizes[order]
+    ends = np.cumsum(placed)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat(first[order] - (ends - placed), placed)
+    at += np.arange(total)
+    return flat[at], placed
+
+
 class UnitCache:
-    """Ids of texts as little-endian unsigned 32-bit integers, from the ids of their units.
+    """Ids of texts as arrays of unsigned 32-bit integers, from the ids of their units.
 
     The splitting rule of byte-level BPE puts the last space before a word into the word's own piece, so
     a text may be cut before every such space without a change of the ids. ``resolve`` gets a list of
@@ -25,30 +48,44 @@ class UnitCache:
     def __init__(self, resolve: Callable[[list[str]], list[bytes]]):
         self.resolve, self.known = resolve, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        get, cut, missing, long = self.known.get, [], {}, {}
-        for text in texts:
-            parts = text.split(" ")
-            got = list(map(get, parts))
-            if None in got and not all(_starts_safe(p) for p, g in zip(parts[1:], got[1:], strict=True) if g is None):
-                parts = _CUT.split(text)
-                got = list(map(get, parts))
-            if None in got:
-                for p, g in zip(parts, got, strict=True):
-                    if g is None:
-                        (missing if len(p) <= UNIT_CHARS else long)[p] = None
-            cut.append((parts, got))
-        heads = dict.fromkeys(parts[0] for parts, _ in cut)
-        made = self.resolve([" " + p for p in (*missing, *long)] + list(heads))
-        new = dict(zip((*missing, *long), made, strict=False))
-        heads = dict(zip(heads, made[len(new) :], strict=True))
-        self.known.update((p, new[p]) for p in missing)
-        out = []
-        for parts, got in cut:
-            got[0] = heads[parts[0]]
-            if None in got:
-                got = [new[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-            out.append(b"".join(got))
+    def look_up(self, units: list[str], safe: Callable[[str], object]) -> list[bytes | None]:
+        """Ids of distinct units, each written without the space it starts with; None for unsafe ones."""
+        got = list(map(self.known.get, units))
+        missing = [i for i, g in enumerate(got) if g is None and safe(units[i])] if None in got else ()
+        if missing:
+            if len(self.known) + len(missing) > CACHE_UNITS:
+                self.known = {}
+            for i, made in zip(missing, self.resolve([" " + units[i] for i in missing]), strict=True):
+                got[i] = made
+                if len(units[i]) <= UNIT_CHARS:
+                    self.known[units[i]] = made
+        return got
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        parts, order, ranges = distinct_parts(texts)
+        pieces = self.look_up(parts, _starts_safe)
+        heads = [t.partition(" ")[0] for t in texts]
+        cuts = {}
+        if None in pieces:
+            unsafe = np.array([p is None for p in pieces])
+            pieces = [p or b"" for p in pieces]
+            hit = unsafe[order]
+            hit[ranges[:-1]] = False
+            for i in np.flatnonzero(np.add.reduceat(hit, ranges[:-1], dtype=np.int64)).tolist():
+                cuts[i] = _CUT.split(texts[i])
+                heads[i] = cuts[i][0]
+                order[ranges[i] : ranges[i + 1]] = order[ranges[i]]
+        numbers = {h: k for k, h in enumerate(dict.fromkeys(heads), len(pieces))}
+        pieces += self.resolve(list(numbers))
+        order[ranges[:-1]] = [numbers[h] for h in heads]
+        flat, placed = gather(pieces, order)
+        out = np.split(flat, np.cumsum(np.add.reduceat(placed, ranges[:-1]))[:-1])
+        if cuts:
+            extra = list(dict.fromkeys(p for cut in cuts.values() for p in cut[1:]))
+            made = dict(zip(extra, self.look_up(extra, bool), strict=True))
+            made[""] = b""
+            for i, cut in cuts.items():
+                out[i] = np.frombuffer(b"".join([pieces[numbers[cut[0]]], *map(made.__getitem__, cut[1:])]), "<u4")
         return out
