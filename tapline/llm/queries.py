@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe_codec, language_model, line_rules, page_text, quality_model, secrets, token_counts, token_store
+from . import bpe_codec, language_model, line_rules, page_text, quality_model, scenario_leaks, secrets, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,13 @@ def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = pages.select(F.struct("page_id", "url").alias("page_id"), "html")
     found = page_text.extract_text(keyed, page_text.train_pages(pages))
     return found.select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("scenario_id"), F.col("text").alias("raw"))
+
+
+@query
+def op5_scenario_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scenario_leaks.find_leaks(records(spark, sf_dir), scenarios(spark, sf_dir))
+    return found.withColumnsRenamed({"event_id": "doc_id", "scenario_id": "item_id"})
