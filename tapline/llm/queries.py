@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe_codec, language_model, line_rules, page_text, quality_model, scenario_leaks, secrets, token_counts, token_store
+from . import bpe_codec, language_model, line_rules, near_copies, page_text, quality_model, scenario_leaks, secrets, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,8 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_scenario_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scenario_leaks.find_leaks(records(spark, sf_dir), scenarios(spark, sf_dir))
     return found.withColumnsRenamed({"event_id": "doc_id", "scenario_id": "item_id"})
+
+
+@query
+def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(records(spark, sf_dir), width=4, percent=85).withColumnRenamed("event_id", "doc_id")

@@ -1,3 +1,4 @@
+import uuid
 import zlib
 
 import numpy as np
@@ -29,11 +30,11 @@ def test_matrix(size, letters):
         m.select(60_000, 0)
 
 
-def test_shards(spark, tmp_path):
+def test_shards(spark):
     texts = [None, "", "Conn  to\n10.0.0.1 <|endoftext|> x", "ä" * 300, "a b " * 20_000, "same", "same"]
     rows = [(i * 7 % 5 - 1 if i < 5 else 9, t, "clash") for i, t in enumerate(texts)] + [(100 + i, f"event {i} closed", "c") for i in range(200)]
     events = spark.createDataFrame(rows, "event_id long, raw string, start string")
-    folder = f"{shared_dir(spark)}/{tmp_path.name}"
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     token_store.write_token_shards(events.repartition(3), PATH, folder, end_id=2, shard_tokens=300)
     got = token_store.read_token_shards(spark, folder).orderBy("event_id", "start").collect()
     t, start = Tokenizer.from_file(PATH), 0
@@ -45,7 +46,7 @@ def test_shards(spark, tmp_path):
         start += len(ids)
 
 
-def test_empty(spark, tmp_path):
-    folder = f"{shared_dir(spark)}/{tmp_path.name}-none"
+def test_empty(spark):
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     token_store.write_token_shards(spark.createDataFrame([], "event_id long, raw string"), PATH, folder, end_id=2)
     assert token_store.read_token_shards(spark, folder).agg(F.count("*")).first()[0] == 0
