@@ -14,7 +14,7 @@ from ..functions.scoring import alert_confidence, alert_id, raw_model_score
 from ..session import stage
 from .beacon import micros
 from .chunks import CHUNK_ROWS, join_on, over_previous, running
-from .normalize import select_contract
+from .normalize import missing_fields, select_contract
 from .threats import time_bucket
 
 # Alert enumerations.
@@ -23,6 +23,23 @@ STATUSES = ("NEW", "ACKNOWLEDGED", "RESOLVED")
 INCIDENT_STATES = ("NEW", "ACKNOWLEDGED", "INVESTIGATING", "CONFIRMED", "FALSE_POSITIVE", "RESOLVED")
 
 
+# The texts of failure rows.
+MISSING_INPUTS = "Skipped: current event raw metadata is missing required detector inputs: "
+MISSING_FLOW_INPUTS = "Skipped: packet-derived flow output is missing required detector inputs: "
+INCOMPLETE_FLOW = "Skipped: packet-derived flow feature contract is incomplete: "
+NOT_READY = "Detector is not ready_for_inference"
+
+
+def input_failure(names: Column, of_flow: bool) -> Column:
+    return F.concat(F.lit(MISSING_FLOW_INPUTS if of_flow else MISSING_INPUTS), F.array_join(names, ", "))
+
+
+def flow_failure(df: DataFrame) -> Column:
+    """Why a flow cannot be scored, from its own reasons."""
+    reasons = F.col("incomplete_reasons") if "incomplete_reasons" in df.columns else F.array().cast("array<string>")
+    return F.concat(F.lit(INCOMPLETE_FLOW), F.array_join(reasons, "; "))
+
+
 @dataclass(frozen=True)
 class Detector:
     """A detector: contract, feature function and scorer, all over whole DataFrames.
@@ -39,24 +56,34 @@ class Detector:
     features: Callable[[DataFrame], DataFrame] | None = None
     version: str = "1.0"
     labels: tuple[str, str] = ("Benign", "Threat")
+    inputs: tuple[str, ...] = ()
 
     def run(self, df: DataFrame) -> DataFrame:
-        """Predictions for rows that satisfy the contract; the others get a reject reason."""
+        """Predictions for rows that satisfy the contract; the others get a reject reason and no score.
+
+        What goes into the features is checked first, as features turn nulls into zeros: a flow must be
+        ``complete`` where the rows say so, and no column of ``inputs`` may be null.
+        """
+        of_flow = "complete" in df.columns
+        whole = F.coalesce("complete", F.lit(False)) if of_flow else F.lit(True)
+        absent = [c for c in self.inputs if c not in df.columns]
+        lost = F.concat(missing_fields([c for c in self.inputs if c in df.columns]), F.array(*[F.lit(c) for c in absent]).cast("array<string>"))
+        df = df.withColumn("_unfit", F.when(~whole, flow_failure(df)).when(F.size(lost) > 0, input_failure(lost, of_flow)))
         prepared = self.features(df) if self.features else df
+        if "_unfit" not in prepared.columns:
+            raise ValueError("the feature function must keep the column _unfit")
         # features and score are used by several columns and filters: each is computed once
         prepared = evaluated(prepared, [], {c: F.col(f"`{c}`") for c in prepared.columns})
         checked = select_contract(prepared, self.contract)
+        checked = checked.withColumn("vector", F.when(F.col("_unfit").isNull(), F.col("vector")))
         scored = self.scorer(checked) if callable(self.scorer) else checked.withColumn("score", self.scorer)
         ready = F.col("vector").isNotNull()
         others = [c for c in scored.columns if c != "score"]
         scored = evaluated(scored, [f"`{c}`" for c in others], {"score": F.when(ready, F.col("score"))})
         out = decide(scored, "score", self.threshold, self.labels)
-        why = F.concat(
-            F.lit("Skipped: current event raw metadata is missing required detector inputs: "),
-            F.array_join("missing_inputs", ", "),
-        )
+        why = F.coalesce("_unfit", input_failure(F.col("missing_inputs"), of_flow))
         return (
-            out.withColumn("reject_reason", F.when(~ready, why))
+            out.withColumn("reject_reason", F.when(~ready, why)).drop("_unfit")
             .withColumn("detector", F.lit(self.name))
             .withColumn("detector_version", F.lit(self.version))
             .withColumn("score_type", F.lit(self.score_type))
@@ -90,7 +117,7 @@ def gate_ready(df: DataFrame, status: DataFrame, name: str = "detector") -> tupl
     """Part rows whose detector is ready from failure rows. ``status``: name, ready, error_reason."""
     joined = join_on(df, status.select(name, "ready", "error_reason"), [name])
     ready = F.coalesce("ready", F.lit(False))
-    reason = F.concat(F.lit("Skipped: "), F.coalesce("error_reason", F.lit("Detector is not ready_for_inference")))
+    reason = F.concat(F.lit("Skipped: "), F.coalesce("error_reason", F.lit(NOT_READY)))
     good = joined.filter(ready).drop("ready", "error_reason")
     bad = joined.filter(~ready).withColumn("reject_reason", reason).drop("ready", "error_reason")
     return good, bad

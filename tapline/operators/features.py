@@ -16,6 +16,11 @@ from .packet_flows import DDOS_INPUTS, PORTSCAN_INPUTS
 
 EPS = 1e-9
 
+
+def _kept(df: DataFrame, keep: Sequence[str]) -> list[str]:
+    """Columns to keep; a detector's verdict on the inputs always stays."""
+    return [*keep, *(["_unfit"] if "_unfit" in df.columns and "_unfit" not in keep else [])]
+
 # Order of the volumetric-attack vector.
 DDOS_FEATURES = (
     "Flow Packets/s", "Flow Bytes/s", "Flow Duration", "fwd_byte_ratio", "packet_asymmetry", "byte_asymmetry",
@@ -38,12 +43,12 @@ def ddos_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "packet_size_variability": ratio(c("Packet Length Std"), c("Packet Length Mean"), EPS),
         "is_udp": (c("Protocol") == 17).cast("double"),
     }
-    return df.select(*keep, *[P.clean_numeric(derived.get(n, F.col(n))).alias(n) for n in DDOS_FEATURES])
+    return df.select(*_kept(df, keep), *[P.clean_numeric(derived.get(n, F.col(n))).alias(n) for n in DDOS_FEATURES])
 
 
 def portscan_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The 8 scan features, cleaned."""
-    return df.select(*keep, *[P.clean_numeric(n).alias(n) for n in PORTSCAN_INPUTS])
+    return df.select(*_kept(df, keep), *[P.clean_numeric(n).alias(n) for n in PORTSCAN_INPUTS])
 
 
 def dns_base_features(df: DataFrame, lenient: bool = True) -> DataFrame:

@@ -164,7 +164,11 @@ def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] =
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct score: rates when everything at or above it is flagged."""
+    """One row per distinct score: rates when everything at or above it is flagged.
+
+    A rate over no rows is 0, as in the confusion metrics; average precision without a positive is null,
+    as it would be the mean of nothing.
+    """
     points = _by_score(df, label, score, by)
     tp, fp = F.col("all_p") - F.col("p_below"), F.col("all_q") - F.col("q_below")
     precision, recall = safe_divide(tp, tp + fp), safe_divide(tp, F.col("all_p"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,51 +115,3 @@ def reorder_stats(reordered: DataFrame, by: Sequence[str], seq: str, rows: int =
     )
     peak = moved.groupBy(*by).agg(F.max(F.col("_entered") - F.col("_left")).alias("peak_buffer_depth"))
     return join_on(counts, peak, by).withColumn("peak_buffer_depth", F.coalesce("peak_buffer_depth", F.lit(0)))
-
-
-def reorder_bounded(
-    df: DataFrame, by: Sequence[str], ts: str, seq: str, lateness: float, capacity: int,
-    late: str = "release", overflow: str = "release_oldest",
-) -> DataFrame:
-    """Reorder with a buffer of ``capacity`` rows per key.
-
-    Overflow depends on the exact arrival sequence, so each key is one ordered stream. Arrivals are
-    sorted by Spark within partitions and walked in Arrow batches; only the buffer is held, never
-    the key. Adds ``late``, ``too_late``, ``overflowed`` (this arrival found the buffer full),
-    ``release_seq`` (null when quarantined or refused) and ``refused``.
-    """
-    from ..streaming.reorder import BoundedBuffer
-
-    by = list(by)
-    limit = int(round(lateness * 1_000_000))
-    columns = [*by, seq]
-    base = df.select(*by, F.col(seq).cast("long").alias(seq), micros(ts).alias("_t"))
-    parted = base.repartition(*by).sortWithinPartitions(*by, seq)
-    fields = [base.schema[c] for c in columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += ", late boolean, too_late boolean, overflowed boolean, refused boolean, release_seq long"
-
-    def walk(batches):
-        buffer, current = None, None
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                key = tuple(row[: len(by)])
-                if key != current:
-                    if buffer is not None:
-                        done += buffer.drain()
-                    buffer, current = BoundedBuffer(limit, capacity, late, overflow, prefix=key), key
-                done += buffer.push(row[len(by) + 1], row[len(by)])
-            yield _frame(done, columns)
-        if buffer is not None:
-            yield _frame(buffer.drain(), columns)
-
-    return parted.mapInPandas(walk, schema)
-
-
-def _frame(records: list[dict], columns: Sequence[str]) -> pd.DataFrame:
-    flags = ["late", "too_late", "overflowed", "refused", "release_seq"]
-    out = pd.DataFrame(
-        [(*r["prefix"], r["arrival"], *[r[f] for f in flags]) for r in records], columns=[*columns, *flags]
-    )
-    return out.astype({"release_seq": "Int64"})

@@ -31,6 +31,10 @@ def order_violations(df: DataFrame, by: Sequence[str], ts: str, seq: str, rows:
     ).drop("_t", "_max")
 
 
+def _floating(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("double", "float")
+
+
 def _span(seconds: float) -> Column:
     return F.lit(int(round(seconds * 1_000_000))).cast("long")
 
@@ -43,9 +47,12 @@ def context_triggers(
 
     Only the first row at a time can trigger, and its context is all earlier rows within the span
     and itself. Context counts and sums are differences of running totals over distinct times, so a
-    key's events are never gathered.
+    key's events are never gathered. Differences are exact for integers and decimals only;
+    ``context_windows`` sums floating-point columns over the members of each context.
     """
     by = list(by)
+    if broken := [c for c in sums if _floating(df, c)]:
+        raise ValueError(f"running totals of floating-point columns would cancel: {broken}")
     step, span = _span(interval), _span(context)
     first_row = F.struct(F.col(seq).cast("long").alias("seq"), *[F.col(c) for c in sums])
     timed = df.withColumn("_t", micros(ts))
@@ -92,7 +99,13 @@ def context_windows(
     sums: Sequence[str] = (), rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One row per emission: a trigger after a pause emits every interval passed, with one context."""
-    triggers = context_triggers(df, by, ts, seq, context, interval, sums, rows)
+    by = list(by)
+    floating = [c for c in sums if _floating(df, c)]
+    triggers = context_triggers(df, by, ts, seq, context, interval, [c for c in sums if c not in floating], rows)
+    if floating:
+        members = context_members(df, by, ts, seq, context, interval, rows)
+        totals = members.groupBy(*by, "trigger_seq").agg(*[F.sum(c).alias(f"context_{c}") for c in floating])
+        triggers = join_on(triggers, totals, [*by, "trigger_seq"])
     step = _span(interval)
     spread = triggers.withColumn("k", F.explode(F.sequence("first_k", "last_k")))
     edge = lambda offset: F.timestamp_micros(F.unix_micros("anchor_at") + (F.col("k") - offset) * step)

@@ -27,7 +27,7 @@ def alert_ids(t: Tables):
 _DDOS_SCORE_SQL = "abs(fwd-bwd)/(n+1e-9)*0.5+0.5*fwd_bytes/(fwd_bytes+bwd_bytes+1e-9)"
 
 
-def _detector() -> A.Detector:
+def ddos_detector() -> A.Detector:
     from ..operators.features import DDOS_FEATURES, ddos_features
 
     keep = ["flow_id", "source_ip", "source_port", "destination_ip", "destination_port", "ip_protocol", "observed_at"]
@@ -46,7 +46,7 @@ SELECT uid AS flow_id, source_ip, destination_ip, 'DDoS' AS threat_class, 'NEW'
 )
 def threshold_alerts(t: Tables):
     flows = PF.packets_to_flows(V.packets(t)).filter("complete")
-    out = A.to_alerts(_detector().run(flows), ["detector", "detector_version", "flow_id"])
+    out = A.to_alerts(ddos_detector().run(flows), ["detector", "detector_version", "flow_id"])
     return rounded(out.select("flow_id", "source_ip", "destination_ip", "threat_class", "status", "raw_model_score", "confidence", "alert_id"))
 
 
@@ -57,7 +57,7 @@ SELECT CASE WHEN score>=0.6 THEN 'DETECTED' ELSE 'BENIGN' END AS status, CASE WH
 )
 def threshold_decisions(t: Tables):
     flows = PF.packets_to_flows(V.packets(t)).filter("complete")
-    return _detector().run(flows).groupBy("status", "threat_class").agg(F.count(F.lit(1)).alias("flows"))
+    return ddos_detector().run(flows).groupBy("status", "threat_class").agg(F.count(F.lit(1)).alias("flows"))
 
 
 @query(

@@ -74,11 +74,6 @@ def reorder_stats(t: Tables):
     return rounded(O.reorder_stats(out, ["sensor"], "arrival_seq"))
 
 
-@query("reorder_bounded")
-def reorder_bounded(t: Tables):
-    return O.reorder_bounded(V.events(t), ["sensor"], "ts", "arrival_seq", LATENESS, 4, "release")
-
-
 @query(
     "order_violations",
     f"""WITH {V.EVENTS_SQL}, o AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v_events)

@@ -13,7 +13,7 @@ from ..operators import packet_flows as PF
 from ..sources.flows import netflow_columns, trimmed
 from ..sources.zeek import decode_lines
 from . import views as V
-from .registry import Tables, micros, query, rounded
+from .registry import ORACLES, Tables, micros, query, rounded
 
 _FEATURE_SQL = """SELECT uid AS flow_id, source_ip, source_port, destination_ip, destination_port, protocol, n AS packet_count,
   us AS duration_us, fwd AS fwd_packets, bwd AS bwd_packets, cast(fwd_bytes AS bigint) AS fwd_bytes,
@@ -67,6 +67,19 @@ def flow_completeness(t: Tables):
     )
 
 
+@query(
+    "incomplete_flow_failures",
+    f"""SELECT flow_id, 'Skipped: packet-derived flow feature contract is incomplete: '||reasons AS reject_reason, 'INSUFFICIENT_CONTEXT' AS status, NULL::double AS score
+FROM ({ORACLES["flow_completeness"]}) WHERE NOT complete""",
+)
+def incomplete_flow_failures(t: Tables):
+    """Every flow goes to the detector; those with a reason come out with it and without a score."""
+    from .alert_queries import ddos_detector
+
+    out = ddos_detector().run(PF.packets_to_flows(V.packets(t, dirty=True)))
+    return rounded(out.filter("reject_reason IS NOT NULL OR score IS NULL").select("flow_id", "reject_reason", "status", "score"))
+
+
 @query(
     "flow_segments",
     """WITH p AS (SELECT l_suppkey AS uid, l_orderkey*1000000+l_partkey AS seq, min(l_quantity) AS q FROM lineitem GROUP BY 1,2),
@@ -483,10 +496,10 @@ def tls_rule_score(t: Tables):
     """SELECT vec_id, names, round(top_value,4) AS top_value FROM (
   SELECT vec_id, string_agg(name, ',' ORDER BY abs(v) DESC, name) AS names, arg_max(v, abs(v)) AS top_value FROM (
     SELECT vec_id, 'e'||i AS name, embedding[i+1]::double AS v, row_number() OVER (PARTITION BY vec_id ORDER BY abs(embedding[i+1]) DESC, i) AS rn
-    FROM embeddings, (SELECT unnest(range(0,8)) AS i)) WHERE rn<=5 GROUP BY vec_id)""",
+    FROM embeddings, (SELECT unnest(range(0,64)) AS i)) WHERE rn<=5 GROUP BY vec_id)""",
 )
 def top_features(t: Tables):
-    cols = [f"e{i}" for i in range(8)]
+    cols = [f"e{i}" for i in range(V.DIMENSIONS)]
     out = V.vectors(t).withColumn("top", S.top_features(cols, 5))
     return out.select(
         "vec_id", F.array_join(F.transform("top", lambda p: p["name"]), ",").alias("names"), F.col("top")[0]["value"].alias("top_value")

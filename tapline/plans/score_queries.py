@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -115,15 +117,15 @@ pc AS (SELECT source, score, p, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p)
   WINDOW w AS (PARTITION BY source ORDER BY score DESC))"""
 
 
-@query("average_precision", f"WITH {V.SCORED_SQL}, {_POINTS} SELECT source, round(sum(p/pp*tp/(tp+fp)),6) AS average_precision FROM pc GROUP BY 1")
+@query("average_precision", f"WITH {V.SCORED_SQL}, {_POINTS} SELECT source, round(sum(p/nullif(pp,0)*tp/(tp+fp)),6) AS average_precision FROM pc GROUP BY 1")
 def average_precision(t: Tables):
     return rounded(M.average_precision(V.scored(t), "label", "score", ["source"]))
 
 
 @query(
     "roc_points",
-    f"""WITH {V.SCORED_SQL}, {_POINTS} SELECT source, score, tp::bigint AS tp, fp::bigint AS fp, round(tp/pp,6) AS tpr, round(fp/qq,6) AS fpr,
-  round(tp/(tp+fp),6) AS "precision", round(tp/pp-fp/qq,6)+0.0 AS youden_j FROM pc""",
+    f"""WITH {V.SCORED_SQL}, {_POINTS} SELECT source, score, tp::bigint AS tp, fp::bigint AS fp, round(coalesce(tp/nullif(pp,0),0),6) AS tpr, round(coalesce(fp/nullif(qq,0),0),6) AS fpr,
+  round(tp/(tp+fp),6) AS "precision", round(coalesce(tp/nullif(pp,0),0)-coalesce(fp/nullif(qq,0),0),6)+0.0 AS youden_j FROM pc""",
 )
 def roc_points(t: Tables):
     return rounded(M.roc_points(V.scored(t), "label", "score", ["source"]).drop("f1"))
@@ -131,7 +133,7 @@ def roc_points(t: Tables):
 
 @query(
     "best_points",
-    f"""WITH {V.SCORED_SQL}, {_POINTS}, v AS (SELECT source, score, tp/pp-fp/qq AS j, 2*tp/(tp+fp+pp) AS f FROM pc)
+    f"""WITH {V.SCORED_SQL}, {_POINTS}, v AS (SELECT source, score, coalesce(tp/nullif(pp,0),0)-coalesce(fp/nullif(qq,0),0) AS j, 2*tp/(tp+fp+pp) AS f FROM pc)
 SELECT source, arg_max(score, round(j,12)*1e6+score*1e-9) AS youden_score, round(max(j),6)+0.0 AS youden_j, round(max(f),6) AS max_f1 FROM v GROUP BY 1""",
 )
 def best_points(t: Tables):
@@ -489,18 +491,21 @@ def concat_captures(t: Tables):
 
 @query(
     "stored_flow_features",
-    f"""WITH {V.SCORED_SQL} SELECT label, round(avg(score),6) AS mean_score, CASE WHEN avg(score)>=0.5 THEN 'DETECTED' ELSE 'BENIGN' END AS status FROM v_scored GROUP BY 1""",
+    f"""WITH {V.SCORED_SQL} SELECT source, doc_id, label, round(score,6) AS score FROM v_scored""",
 )
 def stored_flow_features(t: Tables):
-    from ..operators.alerts import decide
+    """Scored rows saved by capture, without the helper column, and read back."""
+    from ..session import shared_dir
+    from ..sources.sinks import save_features
 
-    means = V.scored(t).groupBy("label").agg(F.avg("score").alias("mean_score"))
-    return rounded(decide(means, "mean_score", 0.5).drop("threat_class"))
+    path = f"{shared_dir(t.spark)}/features-{uuid.uuid4().hex}"
+    save_features(V.scored(t).select("source", "doc_id", "label", "score", "n_chars"), path, ["n_chars"])
+    return rounded(t.spark.read.parquet(path).select("source", "doc_id", "label", "score"))
 
 
 # --- models ------------------------------------------------------------------------------------
 
-_E = [f"e{i}" for i in range(8)]
+_E = [f"e{i}" for i in range(V.DIMENSIONS)]
 
 
 def _model_rows(t: Tables):

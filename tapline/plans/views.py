@@ -201,8 +201,11 @@ DOMAINS_SQL = """v_domains AS (
   SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS domain FROM pages)"""
 
 
-def vectors(t: Tables, n: int = 8) -> DataFrame:
-    """The first components of each embedding as columns, with a label from the rest."""
-    parts = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)]
-    label = (F.col("embedding")[0] + F.col("embedding")[n] > 0).cast("long")
-    return t.embeddings.select("vec_id", *parts, label.alias("label"), (F.col("vec_id") % 7).alias("source"))
+DIMENSIONS = 64  # components of every embedding of the given table
+
+
+def vectors(t: Tables) -> DataFrame:
+    """All components of each embedding as columns, with the given label (odd classes against even ones)."""
+    parts = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)]
+    label = (F.col("label").cast("long") % 2).alias("label")
+    return t.embeddings.select("vec_id", *parts, label, (F.col("vec_id") % 7).alias("source"))

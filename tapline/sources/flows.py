@@ -59,11 +59,15 @@ def read_netflow_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFram
 
 
 def load_captures(spark: SparkSession, captures: Sequence[tuple[str, int]]) -> DataFrame:
-    """Union of labelled capture files with ``label``, ``source`` and ``source_path``."""
+    """Union of labelled capture files with ``label``, ``source`` (the whole path) and ``source_file`` (its name)."""
+    from .zeek import path_of_metadata
+
     frames = [
         trimmed(
             spark.read.csv(path, header=True).select(
-                "*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source")
+                "*",
+                path_of_metadata(F.col("_metadata.file_path")).alias("source"),
+                F.col("_metadata.file_name").alias("source_file"),
             )
         ).withColumn("label", F.lit(label))
         for path, label in captures

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.chunks import join_on
+
 _NUMERIC = (T.DoubleType, T.FloatType)
 
 
@@ -48,19 +52,20 @@ def score_csv_to_jsonl(
 ) -> None:
     """Score CSV records to JSON lines.
 
-    ``score`` receives ``source`` (the file) and ``seq`` (the line), so stateful features start
-    afresh in every file.
+    ``score`` receives ``source`` (the whole path), ``source_file`` and ``seq`` (the line), so stateful
+    features start afresh in every file. Every file is read by its own header: files are grouped by their
+    header line, of which there are few, and a column that a file lacks is null in its rows.
     """
-    from .zeek import numbered_lines
-
-    schema = ", ".join(f"`{n}` string" for n in trimmed_header(spark, path))
-    body = numbered_lines(spark, path).filter("line_number > 1 AND trim(line) <> ''")
-    rows = body.select(
-        F.col("source_file").alias("source"), F.col("line_number").alias("seq"), F.from_csv("line", schema).alias("r")
-    ).select("source", "seq", "r.*")
-    score(rows).write.mode(mode).json(out)
-
-
-def trimmed_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Column names of the CSV files, from the schema alone."""
-    return [c.strip() for c in spark.read.csv(path, header=True).columns]
+    from .zeek import numbered_lines, path_of_metadata
+
+    lines = numbered_lines(spark, path).withColumn("source", path_of_metadata(F.col("source_path")))
+    heads = lines.filter("line_number = 1").select("source", F.col("line").alias("header"))
+    headers = sorted(r.header for r in heads.select("header").distinct().collect())
+    body = join_on(lines.filter("line_number > 1 AND trim(line) <> ''"), heads, ["source"], "inner")
+    frames = []
+    for header in headers:
+        schema = ", ".join(f"`{n.strip()}` string" for n in next(csv.reader([header])))
+        rows = body.filter(F.col("header") == header).withColumn("r", F.from_csv("line", schema))
+        frames.append(rows.select("source", "source_file", F.col("line_number").alias("seq"), "r.*"))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    score(union).write.mode(mode).json(out)

@@ -17,7 +17,6 @@ from ..operators.chunks import join_on
 
 # Log names that give an event type.
 EVENT_TYPES = ("conn", "dns", "ssl", "tls", "packet")
-MAX_LINE_CHARS = 1_048_576
 
 PACKET_SCHEMA = T.StructType(
     [
@@ -46,6 +45,16 @@ def text_lines(reader) -> DataFrame:
     )
 
 
+def plain_path(path: Column) -> Column:
+    """A path without scheme, authority and repeated slashes, to match a configured file with a scanned one."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/+", "/")
+
+
+def path_of_metadata(path: Column) -> Column:
+    """``plain_path`` of a scan's file path, which is written as an encoded URI."""
+    return plain_path(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add an exact ``line_number``.
 
@@ -91,10 +100,11 @@ def parse_fields(line: Column) -> Column:
     return F.split(F.regexp_replace(line, r"^#fields[\t ]*", ""), "\t")
 
 
-def decode_lines(lines: DataFrame, max_chars: int = MAX_LINE_CHARS) -> DataFrame:
+def decode_lines(lines: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Lines with ``fields`` (null outside tab-separated files) to raw maps and reject reasons.
 
-    Header, comment and blank lines are dropped. Unparsable lines keep their text.
+    Header, comment and blank lines are dropped. Unparsable lines keep their text. Lines over ``max_chars``
+    are refused; by default a line may have any length.
     """
     body = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     values = split_tsv(F.col("line"))
@@ -102,8 +112,8 @@ def decode_lines(lines: DataFrame, max_chars: int = MAX_LINE_CHARS) -> DataFrame
         F.col("fields"), F.transform(F.col("_values"), lambda v: F.when(v != "-", v))
     )
     kind = event_type_of(F.col("source_file"))
-    too_long = F.length("line") > max_chars
-    undecodable = F.instr(F.col("line"), "�") > 0
+    too_long = F.lit(False) if max_chars is None else F.length("line") > max_chars
+    undecodable = ~F.is_valid_utf8("line")
     width = F.size("_values") != F.size("fields")
     where = F.col("line_number").cast("string")
     reason = (
@@ -160,7 +170,7 @@ def attach_headers(lines: DataFrame) -> DataFrame:
     return joined.withColumn("fields", F.try_element_at(above, F.lit(-1))["_names"]).drop("_headers")
 
 
-def read_zeek(spark: SparkSession, path: str | Sequence[str], max_chars: int = MAX_LINE_CHARS) -> DataFrame:
+def read_zeek(spark: SparkSession, path: str | Sequence[str], max_chars: int | None = None) -> DataFrame:
     """Raw records of sensor logs in either form, with file, line number and reject reason.
 
     A header names the columns of the lines below it up to the next header of the same file. Lines
@@ -189,19 +199,18 @@ def replay_scan(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Decoded records in configured file order with a global ``arrival_seq`` and ``event_id``.
 
     The index counts every decoded record from 0, also those that normalisation refuses later. It is
-    a file offset plus the record's rank in its file: records before a line are those lines less the
+    a file offset plus the record's rank in its file; files are told apart by their whole path: records before a line are those lines less the
     ones dropped, counted per block of lines, so no single task orders the whole replay.
     """
     from ..operators.chunks import running
 
-    rank = spark.createDataFrame(
-        [(i, f.rsplit("/", 1)[-1]) for i, f in enumerate(files)], "file_rank int, source_file string"
-    )
-    decoded = read_zeek(spark, list(files))
+    rank = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "file_rank int, source_path string")
+    rank = rank.withColumn("source_path", plain_path(F.col("source_path")))
+    decoded = read_zeek(spark, list(files)).withColumn("source_path", path_of_metadata(F.col("source_path")))
     good, _ = split_rejects(decoded)
-    ranked = good.join(F.broadcast(rank), "source_file")  # one row per configured file
+    ranked = good.join(F.broadcast(rank), "source_path")  # one row per configured file
     placed = running(
-        ranked.withColumn("_one", F.lit(1)), ["source_file"], "line_number",
+        ranked.withColumn("_one", F.lit(1)), ["file_rank"], "line_number",
         {"_in_file": ("sum", F.col("_one"), False)},
     ).drop("_one")
     counts = ranked.groupBy("file_rank").agg(F.count(F.lit(1)).alias("_n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.packet_flows import (
-    FLAG_MASKS, MARKER_MISMATCH, MISSING, NO_END, NO_PACKETS, OTHER_ENDPOINTS, OTHER_PROTOCOL, TCP, packet_errors, reason_text,
+    FLAG_MASKS, MARKER_MISMATCH, MISSING, NO_END, NO_PACKETS, NO_ID, OTHER_ENDPOINTS, OTHER_PROTOCOL, TCP, packet_errors, reason_text,
 )
 
 _SIDE = ("packets", "bytes")
@@ -157,20 +157,29 @@ def _int(value):
 
 
 def packets_to_flows_stream(df: DataFrame, seq: str = "arrival_seq", quiet_seconds: float = 0.0) -> DataFrame:
-    """Flow counters at each end marker; with ``quiet_seconds`` also for flows that fell silent.
+    """Flow counters at each end marker, and an incomplete flow for each packet without a flow id; with ``quiet_seconds`` also for flows that fell silent.
 
     Field checks stay in Spark expressions; the processor sees their result. Needs the RocksDB state
     store.
     """
     errors = packet_errors(df)
     text = lambda code: reason_text(code, F.col("proto"))
-    prepared = df.filter(F.col("uid").isNotNull()).select(
+    named, nameless = df.filter(F.col("uid").isNotNull()), df.filter(F.col("uid").isNull())
+    prepared = named.select(
         "uid", F.col(seq).cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
         "src", "src_port", "dst", "dst_port", "proto", "payload_len", "tcp_flags", "flow_complete",
         text(F.coalesce(errors["marker"], errors["field"], errors["payload"])).alias("error"),
         text(F.coalesce(errors["marker"], errors["head"])).alias("head_error"),
     )
-    return prepared.groupBy("uid").transformWithStateInPandas(
+    flows = prepared.groupBy("uid").transformWithStateInPandas(
         statefulProcessor=FlowProcessor(int(quiet_seconds * 1000)), outputStructType=FLOW_SCHEMA, outputMode="append",
         timeMode="ProcessingTime" if quiet_seconds else "None",
     )
+    known = {
+        "observed_us": F.unix_micros(F.col("ts").cast("timestamp")), "source_ip": F.col("src"), "source_port": F.col("src_port"),
+        "destination_ip": F.col("dst"), "destination_port": F.col("dst_port"), "packet_count": F.lit(0), "flow_end_observed": F.lit(False),
+        "incomplete_reasons": F.array(F.lit(NO_ID)),
+    }
+    types = {f.name: f.dataType for f in flows.schema.fields}
+    lost = nameless.select(*[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in types])
+    return flows.unionByName(lost)

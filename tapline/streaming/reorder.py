@@ -1,133 +1,95 @@
-"""Streaming reorder buffer: the keyed state is a bounded heap and the largest time seen."""
+"""Streaming reorder: each key keeps its unreleased rows and the largest event time it has seen."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 
-class BoundedBuffer:
-    """Arrival-by-arrival reorder rule for one key. Times are integers of any unit."""
-
-    def __init__(self, lateness: int, capacity: int, late: str, overflow: str, prefix: tuple = ()):
-        self.lateness, self.capacity, self.late, self.overflow = lateness, capacity, late, overflow
-        self.prefix = prefix
-        self.heap: list[tuple[int, int, bool, bool]] = []
-        self.seen: int | None = None
-        self.released = 0
-
-    def _record(self, arrival, late, too_late, overflowed, refused=False, release=False) -> dict:
-        number = None
-        if release:
-            self.released += 1
-            number = self.released
-        return {
-            "prefix": self.prefix, "arrival": arrival, "late": late, "too_late": too_late,
-            "overflowed": overflowed, "refused": refused, "release_seq": number,
-        }
-
-    def _pop(self) -> dict:
-        _, arrival, late, overflowed = heappop(self.heap)
-        return self._record(arrival, late, False, overflowed, release=True)
-
-    def push(self, time: int, arrival: int) -> list[dict]:
-        late = self.seen is not None and time < self.seen
-        self.seen = time if self.seen is None else max(self.seen, time)
-        mark = self.seen - self.lateness
-        if time < mark:
-            return [self._record(arrival, late, True, False, release=self.late == "release")]
-        out = []
-        full = len(self.heap) >= self.capacity
-        if full and self.overflow == "reject":
-            return [self._record(arrival, late, False, True, refused=True)]
-        if full:
-            out.append(self._pop())
-        heappush(self.heap, (time, arrival, late, full))
-        while self.heap and self.heap[0][0] <= mark:
-            out.append(self._pop())
-        return out
-
-    def drain(self) -> list[dict]:
-        out = []
-        while self.heap:
-            out.append(self._pop())
-        return out
+def release_at(marks: np.ndarray, times: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Position of the first arrival, not before a row's own, whose watermark reaches the row's time.
+
+    ``marks`` never falls, so it is one search; ``len(marks)`` stands for not yet.
+    """
+    return np.maximum(np.searchsorted(marks, times, side="left"), own)
 
 
 class ReorderProcessor(StatefulProcessor):
     """Releases the rows of a key in (time, arrival) order once the key's own watermark allows.
 
     Spark's watermark moves between micro-batches for the whole query; this rule moves with every
-    arrival of the key, so the largest time is kept in state. A timer drains keys that went quiet.
+    arrival of the key, so the largest time is kept in state. Unreleased rows are a map by (time,
+    arrival): a batch adds and removes only what changes. A timer drains keys that went quiet.
     """
 
-    def __init__(self, lateness: int, capacity: int, late: str, overflow: str, quiet_ms: int, columns: list[str]):
-        self.args = (lateness, capacity, late, overflow)
-        self.quiet_ms = quiet_ms
-        self.columns = columns
+    def __init__(self, lateness: int, late: str, quiet_ms: int, columns: list[str]):
+        self.lateness, self.late, self.quiet_ms, self.columns = lateness, late, quiet_ms, columns
 
     def init(self, handle):
         self.handle = handle
-        self.rows = handle.getListState("rows", "t long, arrival long, late boolean, overflowed boolean, payload string")
+        self.waiting = handle.getMapState("waiting", "t long, arrival long", "late boolean, payload string")
         self.clock = handle.getValueState("clock", "seen long, released long")
 
-    def _load(self):
-        buffer = BoundedBuffer(*self.args)
-        payload = {}
-        for t, arrival, late, overflowed, text in self.rows.get() if self.rows.exists() else ():
-            buffer.heap.append((t, arrival, late, overflowed))
-            payload[arrival] = text
-        heapify(buffer.heap)
-        if self.clock.exists():
-            buffer.seen, buffer.released = self.clock.get()
-        return buffer, payload
-
-    def _save(self, buffer, payload):
-        self.rows.clear()
-        if buffer.heap:
-            self.rows.put([(t, a, l, o, payload[a]) for t, a, l, o in buffer.heap])
-        if buffer.seen is not None:
-            self.clock.update((buffer.seen, buffer.released))
-
-    def _emit(self, key, records, payload):
-        flags = ["late", "too_late", "overflowed", "refused", "release_seq"]
-        rows = [(*key, r["arrival"], payload[r["arrival"]], *[r[f] for f in flags]) for r in records]
-        out = pd.DataFrame(rows, columns=self.columns)
-        return out.astype({"release_seq": "Int64"})
+    def _held(self) -> pd.DataFrame:
+        rows = [(*k, *v) for k, v in self.waiting.iterator()] if self.waiting.exists() else []
+        return pd.DataFrame(rows, columns=["t", "arrival", "late", "payload"])
+
+    def _frame(self, key, rows: pd.DataFrame, released: int) -> tuple[pd.DataFrame, int]:
+        """Output rows in release order; those without a position stay unnumbered."""
+        rows = rows.sort_values(["at", "t", "arrival"], ignore_index=True)
+        numbered = rows["numbered"].to_numpy(bool)
+        number = pd.Series(np.cumsum(numbered) + released, dtype="Int64").where(pd.Series(numbered))
+        out = {c: [k] * len(rows) for c, k in zip(self.columns, key, strict=False)}
+        out |= {c: rows[c] for c in ("arrival", "payload", "late", "too_late")} | {"release_seq": number}
+        return pd.DataFrame(out, columns=self.columns), released + int(numbered.sum())
 
     def handleInputRows(self, key, rows, timerValues):
-        buffer, payload = self._load()
-        out = []
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values("arrival_no")
-        for t, arrival, text in zip(arrived["at_us"], arrived["arrival_no"], arrived["payload_text"]):
-            payload[int(arrival)] = text
-            out += buffer.push(int(t), int(arrival))
-        self._save(buffer, payload)
+        new = pd.concat(list(rows), ignore_index=True).sort_values("arrival_no", ignore_index=True)
+        seen, released = self.clock.get() if self.clock.exists() else (None, 0)
+        t = new["at_us"].to_numpy(np.int64)
+        top = np.maximum.accumulate(np.concatenate([[t[0] if seen is None else seen], t]))
+        marks = top[1:] - self.lateness
+        own = np.arange(len(t))
+        fresh = pd.DataFrame({"t": t, "arrival": new["arrival_no"], "payload": new["payload_text"], "late": t < top[:-1], "too_late": t < marks})
+        fresh["at"] = np.where(fresh["too_late"], own, release_at(marks, t, own))
+        fresh["numbered"] = ~fresh["too_late"] | (self.late == "release")
+        held = self._held()
+        held["too_late"], held["numbered"] = False, True
+        held["at"] = release_at(marks, held["t"].to_numpy(np.int64), np.zeros(len(held), np.int64))
+        for row in held[held["at"] < len(marks)].itertuples():
+            self.waiting.removeKey((int(row.t), int(row.arrival)))
+        for row in fresh[fresh["at"] >= len(marks)].itertuples():
+            self.waiting.updateValue((int(row.t), int(row.arrival)), (bool(row.late), row.payload))
+        both = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
+        out, released = self._frame(key, both[both["at"] < len(marks)], released)
+        self.clock.update((int(top[-1]), released))
         if self.quiet_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-        if buffer.heap and self.quiet_ms:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
-        yield self._emit(key, out, payload)
+            if (both["at"] >= len(marks)).any():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        buffer, payload = self._load()
-        out = buffer.drain()
-        self._save(buffer, payload)
-        yield self._emit(key, out, payload)
+        held = self._held()
+        seen, released = self.clock.get()
+        held["too_late"], held["numbered"], held["at"] = False, True, 0
+        out, released = self._frame(key, held, released)
+        self.waiting.clear()
+        self.clock.update((seen, released))
+        yield out
 
     def close(self):
         pass
 
 
 def reorder_stream(
-    df: DataFrame, by: Sequence[str], ts: str, seq: str, lateness: float, capacity: int = 4096,
-    late: str = "quarantine", overflow: str = "release_oldest", quiet_seconds: float = 0.0,
+    df: DataFrame, by: Sequence[str], ts: str, seq: str, lateness: float, late: str = "quarantine", quiet_seconds: float = 0.0
 ) -> DataFrame:
     """Streaming reorder per key. Rows come out with their columns as JSON in ``payload``.
 
@@ -140,15 +102,9 @@ def reorder_stream(
         F.to_json(F.struct(*df.columns)).alias("payload_text"),
     )
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    columns = [*by, "arrival", "payload", "late", "too_late", "overflowed", "refused", "release_seq"]
-    schema = (
-        f"{keys}, arrival long, payload string, late boolean, too_late boolean, overflowed boolean, "
-        "refused boolean, release_seq long"
-    )
-    processor = ReorderProcessor(
-        int(round(lateness * 1e6)), capacity, late, overflow, int(quiet_seconds * 1000), columns
-    )
+    columns = [*by, "arrival", "payload", "late", "too_late", "release_seq"]
+    schema = f"{keys}, arrival long, payload string, late boolean, too_late boolean, release_seq long"
     return prepared.groupBy(*by).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append",
-        timeMode="ProcessingTime" if quiet_seconds else "None",
+        statefulProcessor=ReorderProcessor(int(round(lateness * 1e6)), late, int(quiet_seconds * 1000), columns),
+        outputStructType=schema, outputMode="append", timeMode="ProcessingTime" if quiet_seconds else "None",
     )

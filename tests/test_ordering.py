@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tapline.operators import ordering as O
 from tapline.operators import windows as W
-from tapline.streaming.reorder import BoundedBuffer
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -65,17 +64,6 @@ def test_golden_reorder(spark):
     assert (stats.events, stats.peak_buffer_depth, stats.late_events) == (2, 2, 0)
 
 
-def test_bounded_buffer(spark):
-    data = events(spark, [("k", 0, 0), ("k", 1, 1), ("k", 2, 2), ("j", 0, 5), ("j", 1, 4)])
-    got = rows(O.reorder_bounded(data, ["key"], "ts", "seq", 100.0, 2), "key", "seq")
-    assert [(r["overflowed"], r["release_seq"]) for r in got if r["key"] == "k"] == [(False, 1), (False, 2), (True, 3)]
-    assert [r["release_seq"] for r in got if r["key"] == "j"] == [2, 1]
-    refused = rows(O.reorder_bounded(data, ["key"], "ts", "seq", 100.0, 1, overflow="reject"), "key", "seq")
-    assert [r["refused"] for r in refused] == [False, True, False, True, True]
-    buffer = BoundedBuffer(2, 10, "release", "release_oldest")
-    assert buffer.push(0, 0) == [] and [r["arrival"] for r in buffer.push(2, 1)] == [0]
-
-
 def window_loop(times, context, interval):
     out, due, kept = [], None, []
     for i, t in enumerate(times):
@@ -114,3 +102,12 @@ def test_flush_expiry_and_order(spark):
     assert [r["key"] for r in expired] == ["b"]
     broken = rows(W.order_violations(events(spark, [("a", 0, 5), ("a", 1, 3), ("a", 2, 4), ("a", 3, 6)]), ["key"], "ts", "seq", 2), "seq")
     assert [r["reject_reason"] is not None for r in broken] == [False, True, True, False]
+
+
+def test_context_sums_of_doubles_do_not_cancel(spark):
+    start = datetime(2024, 1, 1)
+    values = [1e17, 0.1, 0.2, float("nan"), 0.5, 0.25]
+    data = [("k", i, start + timedelta(seconds=10 * i), v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "key string, seq long, ts timestamp, v double")
+    got = {r.trigger_seq: r.context_v for r in W.context_windows(df, ["key"], "ts", "seq", 12, 10, ["v"]).collect()}
+    assert got[2] == 0.1 + 0.2 and got[5] == 0.75 and got[1] == 1e17 + 0.1

@@ -74,7 +74,8 @@ def test_netflow_and_captures(spark, tmp_path):
     (r,) = rows(FL.read_netflow_csv(spark, str(tmp_path / "a.csv")))
     assert (r["timestamp_unix"], r["bytes"], r["pkts"], r["target"], r["flow_dir_reverse"]) == (1312969613.0, 10.0, 0.0, 1, False)
     got = rows(FL.load_captures(spark, [(str(tmp_path / "a.csv"), 1), (str(tmp_path / "b.csv"), 0)]), "source")
-    assert [(x["source"], x["label"], x["v"]) for x in got] == [("a.csv", 1, None), ("b.csv", 0, "1")]
+    assert [(x["source_file"], x["label"], x["v"]) for x in got] == [("a.csv", 1, None), ("b.csv", 0, "1")]
+    assert [x["source"] for x in got] == [str(tmp_path / n) for n in ("a.csv", "b.csv")]
 
 
 def test_inventory(spark, tmp_path):
@@ -108,3 +109,25 @@ def test_csv_scoring_restarts_per_file(spark, tmp_path):
     sinks.score_csv_to_jsonl(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], str(tmp_path / "out"), score)
     got = rows(spark.read.json(str(tmp_path / "out")).select("source", "seq", "v_delta_prev"), "source", "seq")
     assert [r["v_delta_prev"] for r in got] == [None, 3.0, 5.0] * 2
+
+
+def test_same_named_files_and_long_lines(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 1)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "conn.log").write_text("".join(f'{{"ts": {i}, "pad": "{"x" * 1_100_000}"}}\n' for i in range(n)))
+    got = rows(zeek.replay_scan(spark, [str(tmp_path / "b" / "conn.log"), str(tmp_path / "a" / "conn.log")]), "arrival_seq")
+    assert [(r["event_id"], r["source_path"]) for r in got] == [
+        ("conn.log:0", str(tmp_path / "b" / "conn.log")), ("conn.log:1", str(tmp_path / "a" / "conn.log")), ("conn.log:2", str(tmp_path / "a" / "conn.log"))
+    ]
+    (tmp_path / "d n+s.log").write_bytes('{"q": "\ufffd"}\n'.encode() + b'{"q": "\xff"}\n')
+    good, bad = zeek.split_rejects(zeek.read_zeek_json(spark, str(tmp_path / "d n+s.log")))
+    assert good.first().raw["q"] == "\ufffd" and bad.first().reject_reason == "Undecodable text on line 2"
+    assert zeek.replay_scan(spark, [str(tmp_path / "d n+s.log")]).count() == 1
+
+
+def test_csv_scoring_reads_each_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v, w\n1,2\n")
+    (tmp_path / "b.csv").write_text("w,v,z\n90,9,x\n")
+    sinks.score_csv_to_jsonl(spark, str(tmp_path), str(tmp_path / "out"), lambda df: df)
+    got = rows(spark.read.json(str(tmp_path / "out")), "source_file")
+    assert [(r["v"], r["w"], r.get("z")) for r in got] == [("1", "2", None), ("9", "90", "x")]

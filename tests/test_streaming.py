@@ -42,7 +42,7 @@ def test_reorder(spark, tmp_path):
     rng = random.Random(4)
     data = [("ab"[i % 2], i, T0 + timedelta(seconds=i + rng.randint(-6, 6))) for i in range(60)]
     df = spark.createDataFrame(data, "key string, seq long, ts timestamp")
-    got = run(spark, reorder_stream(in_batches(spark, df, "seq", 3, tmp_path), ["key"], "ts", "seq", 4.0, 100), tmp_path)
+    got = run(spark, reorder_stream(in_batches(spark, df, "seq", 3, tmp_path), ["key"], "ts", "seq", 4.0), tmp_path)
     batch = O.reorder(df, ["key"], "ts", "seq", 4.0, "quarantine", number=True)
     want = {(r.key, r.seq): r.release_seq for r in batch.filter("release_arrival is not null or quarantined").collect()}
     assert {(r.key, r.arrival): r.release_seq for r in got.collect()} == want
