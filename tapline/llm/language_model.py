@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +18,6 @@ from .rows import id_and_text, id_type, text_slices
 
 ORDER = 5
 SALTS = 16
-CACHED = 500_000
 NONE = "und"
 
 
@@ -30,84 +30,113 @@ class ContextTree:
     """
 
     def __init__(self, words: Counter):
-        follow: dict[bytes, Counter] = {}
+        self.follow: dict[bytes, Counter] = {}
         for word, n in words.items():
             data = b" " + word.encode() + b" "
             for i in range(1, len(data)):
                 for start in range(max(0, i - ORDER), i + 1):
-                    follow.setdefault(data[start:i], Counter())[data[i]] += n
-        self.bits: dict[bytes, float] = {}
-        self.escape: dict[bytes, float] = {}
-        for context, seen in follow.items():
-            total = sum(seen.values()) + len(seen)
-            self.escape[context] = -math.log2(len(seen) / total)
-            for byte, n in seen.items():
-                self.bits[context + bytes([byte])] = -math.log2(n / total)
+                    self.follow.setdefault(data[start:i], Counter())[data[i]] += n
 
     def length(self, word: str) -> float:
-        """Exact code length of a word and the space after it, in bits."""
-        data, bits, escape, out = b" " + word.encode() + b" ", self.bits.get, self.escape.get, 0.0
+        """Exact code length of a word and the space after it, in bits, context by context."""
+        data, out = b" " + word.encode() + b" ", 0.0
         for i in range(1, len(data)):
             for start in range(max(0, i - ORDER), i + 1):
-                if (found := bits(data[start : i + 1])) is not None:
-                    out += found
-                    break
-                out += escape(data[start:i], 0.0)
+                seen = self.follow.get(data[start:i])
+                if seen:
+                    total = seen.total() + len(seen)
+                    if data[i] in seen:
+                        out -= math.log2(seen[data[i]] / total)
+                        break
+                    out -= math.log2(len(seen) / total)
             else:
                 out += 8.0
         return out
 
 
 class LanguageModel:
-    """Context trees of several languages."""
+    """Context trees of several languages, compiled into one automaton.
 
-    def __init__(self, samples: pd.DataFrame):
+    As the counts are frozen, what a byte costs follows from the longest kept context before it. A state is
+    such a context of any language; its row has, for each byte, the next state and the bits in each
+    language, taken over from the shorter context's row where its own has not seen the byte.
+    """
+
+    def __init__(self, samples: pd.DataFrame, max_states: int = 12_000):
         counts: dict[str, Counter] = {}
         for lang, text in zip(samples["lang"], samples["text"], strict=True):
             counts.setdefault(lang, Counter()).update(text.lower().split())
         self.langs = sorted(counts)
-        self.trees = [ContextTree(counts[x]) for x in self.langs]
-        self.reset()
-
-    def __getstate__(self):
-        return {"langs": self.langs, "trees": self.trees}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.table = np.empty((1024, len(self.langs)))
-
-    def lengths(self, text: str) -> np.ndarray:
-        """Code length of a whole text in each language, in bits."""
-        words = text.lower().split()
-        if len(self.rows) > CACHED:
-            self.reset()
-        rows = list(map(self.rows.get, words))
-        if None in rows:
-            for i, row in enumerate(rows):
-                if row is None:
-                    word = words[i]
-                    if (row := self.rows.get(word)) is None:
-                        row = self.rows[word] = len(self.rows)
-                        if row >= len(self.table):
-                            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                        self.table[row] = [t.length(word) for t in self.trees]
-                    rows[i] = row
-        return self.table[rows].sum(axis=0)
-
-    def predict(self, text: str) -> tuple[str, float]:
+        trees = [ContextTree(counts[x]).follow for x in self.langs]
+        used = Counter()
+        for tree in trees:
+            for context, seen in tree.items():
+                used[context] += seen.total()
+        kept = sorted(used, key=lambda c: (len(c) > 1, -used[c], c))[:max_states]
+        states = {c for c in kept} | {b""}
+        for context in kept:  # every shorter end of a state is a state
+            states.update(context[i:] for i in range(1, len(context)))
+        states = sorted(states, key=lambda c: (len(c), c))
+        number = {c: i for i, c in enumerate(states)}
+        letters = sorted({x for c in states for x in c} | {x for c in states for t in trees for x in t.get(c, ())} | {32})
+        self.column = np.full(256, len(letters), np.int64)
+        self.column[letters] = np.arange(len(letters))
+        width = len(letters) + 1
+        self.bits = np.full((len(states), width, len(self.langs)), 8.0, np.float32)
+        self.after = np.zeros((len(states), width), np.int32)
+        for i, context in enumerate(states):
+            if i:
+                shorter = number[context[1:]]
+                self.bits[i], self.after[i] = self.bits[shorter], self.after[shorter]
+            for k, tree in enumerate(trees):
+                if seen := tree.get(context):
+                    total = seen.total() + len(seen)
+                    self.bits[i, :, k] -= math.log2(len(seen) / total)
+                    at = self.column[list(seen)]
+                    self.bits[i, at, k] = -np.log2(np.array(list(seen.values())) / total)
+            for x in letters:
+                if (child := number.get(context + bytes([x]))) is not None:
+                    self.after[i, self.column[x]] = child
+
+    def lengths(self, words: list[str]) -> np.ndarray:
+        """Code length of every word and the space after it in each language, in bits."""
+        data = [w.encode() + b" " for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        order = np.argsort(-sizes, kind="stable")
+        flat = self.column[np.frombuffer(b"".join(data), np.uint8)]
+        at, longest = (np.cumsum(sizes) - sizes)[order], -np.sort(-sizes)
+        total = np.zeros((len(words), len(self.langs)))
+        state = np.full(len(words), self.after[0, self.column[32]], np.int64)
+        active = len(words)
+        for step in range(int(longest[0]) if active else 0):
+            active = int(np.searchsorted(-longest, -step, side="left"))
+            x, s = flat[at[:active] + step], state[:active]
+            total[:active] += self.bits[s, x]
+            state[:active] = self.after[s, x]
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language of the shortest code, the first by name of equals, and its posterior share."""
-        if not self.langs or not any(map(str.isalpha, text)):
-            return NONE, 0.0
-        bits = self.lengths(text)
-        best = int(bits.argmin())
-        return self.langs[best], float(1.0 / np.exp2(np.clip(bits[best] - bits, -1000, 0)).sum())
+        if not self.langs or not texts:
+            return [(NONE, 0.0)] * len(texts)
+        lists = pc.utf8_split_whitespace(pa.array([t.lower().strip() for t in texts], pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        table = self.lengths(coded.dictionary.to_pylist())
+        each, ranges = table[coded.indices.to_numpy()], lists.offsets.to_numpy()
+        out = []
+        for text, a, b in zip(texts, ranges[:-1], ranges[1:], strict=True):
+            if not any(map(str.isalpha, text)):
+                out.append((NONE, 0.0))
+                continue
+            bits = each[a:b].sum(axis=0)
+            best = int(bits.argmin())
+            out.append((self.langs[best], float(1.0 / np.exp2(np.clip(bits[best] - bits, -1000, 0)).sum())))
+        return out
 
 
-def train_language(events: DataFrame, rows_per_language: int = 320, id_col: str = "event_id", text_col: str = "raw", label_col: str = "lang") -> LanguageModel:
+def train_language(events: DataFrame, rows_per_language: int = 160, id_col: str = "event_id", text_col: str = "raw", label_col: str = "lang") -> LanguageModel:
     """Context trees from labelled events (null labels and texts are left out).
 
     At most ``rows_per_language`` records of each label train, those with the least hash of their id in each
@@ -129,8 +158,8 @@ def identify_language(events: DataFrame, model: LanguageModel, id_col: str = "ev
     The project's records have no natural-language field of their own; ``raw`` may be any text, such as a
     decoded payload, and the labels any classes of text. Returns ``event_id``, ``lang_pred`` and ``score``
     (0 to 1); one row for each input row, repeated rows included. A null record, or one without a letter,
-    is 'und' with score 0. Whole records are scored: the code length of a text is the sum over its words,
-    remembered by word within a bound. The model's size is bounded by its training rows; it is broadcast,
+    is 'und' with score 0. Whole records are scored: the code length of a text is the sum over its
+    words, each distinct one coded once a slice. The model has a bounded number of states; it is broadcast,
     and there is no shuffle.
     """
     shared, kind = events.sparkSession.sparkContext.broadcast(model), id_type(events, id_col)
@@ -138,7 +167,7 @@ def identify_language(events: DataFrame, model: LanguageModel, id_col: str = "ev
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for part, texts in text_slices(batches):
-            made = [fitted.predict(t) for t in texts]
+            made = fitted.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["id", "lang_pred", "score"]
             )

@@ -16,28 +16,16 @@ def sample(lang, seed, n=30):
 
 
 def test_code_length():
-    """Probabilities of all next bytes sum to at most 1, so the lengths are those of a code."""
+    """The automaton's lengths are those of the context trees, and those are lengths of a code."""
     tree = ContextTree({"syn": 3, "sym": 1})
-    assert math.isclose(tree.length("syn"), sum(spell(tree, "syn")))
-    total = sum(2 ** -tree.length(w) for w in ("syn", "sym", "s", "zz", "sn", ""))
-    assert total <= 1
     assert tree.length("syn") < tree.length("sym") < tree.length("zzz")
-
-
-def spell(tree, word):
-    """Byte by byte, by the definition: escapes from the longest context down to the byte's own."""
-    data = b" " + word.encode() + b" "
-    for i in range(1, len(data)):
-        bits = 0.0
-        for start in range(max(0, i - language_model.ORDER), i + 1):
-            context = data[start:i]
-            if context + data[i : i + 1] in tree.bits:
-                bits += tree.bits[context + data[i : i + 1]]
-                break
-            bits += tree.escape.get(context, 0.0)
-        else:
-            bits += 8
-        yield bits
+    assert sum(2 ** -tree.length(w) for w in ("syn", "sym", "s", "zz", "sn", "")) <= 1
+    texts = pd.DataFrame({"lang": ["a", "b", "a"], "text": ["syn sym syn", "réponse domaine", "flood"]})
+    model = LanguageModel(texts)
+    trees = [ContextTree({"syn": 2, "sym": 1, "flood": 1}), ContextTree({"réponse": 1, "domaine": 1})]
+    words = ["syn", "", "réponse", "floods", "zz漢", "domainedomaine", "s" * 500]
+    want = [[t.length(w) for t in trees] for w in words]
+    assert np.allclose(model.lengths(words), want, rtol=1e-5)
 
 
 def test_language(spark):
@@ -54,7 +42,7 @@ def test_language(spark):
     assert sum(g[0] == 903 for g in got) == 2
     none = language_model.train_language(events.limit(0))
     assert {r.lang_pred for r in language_model.identify_language(events, none).collect()} == {"und"}
-    assert LanguageModel(pd.DataFrame({"lang": ["a", "b"], "text": ["syn", "syn"]})).predict("syn")[0] == "a"
+    assert LanguageModel(pd.DataFrame({"lang": ["a", "b"], "text": ["syn", "syn"]})).predict(["syn"])[0][0] == "a"
 
 
 def test_identity():
