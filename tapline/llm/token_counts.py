@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import map_texts
+from .units import distinct_parts
 
 SPACE = "▁"
 CACHED = 800_000
@@ -36,14 +37,23 @@ class PrefixCounts:
             raise ValueError("a piece crosses a space: segments would depend on each other")
         if model.encode("a  ") == model.encode("a") or not model.is_byte(model.piece_to_id("<0x00>")):
             raise ValueError("the model must keep spaces and fall back to bytes")
-        self.longest = max(map(len, self.score))
+        self.trie: dict = {}
+        for piece in self.score:
+            node = self.trie
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            node[""] = piece
+        by_score = sorted((p for p in self.score if len(p) > 1), key=lambda p: -self.score[p])
+        self.rank = {p: i for i, p in enumerate(by_score)}
+        self.parts: dict[str, tuple[int, str, str]] = {}
         self.follows: dict[tuple[str, str], bool] = {}
-        self.totals: dict[str, int] = {}
+        self.totals: dict[str, int] = {}  # of segments after a space
+        self.cut_totals: dict[str, int] = {}  # of segments after a space, or that start with a line feed
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short text, merge by merge."""
-        parts, score = list(text), self.score.get
-        while len(parts) > 1:
+    def merge(self, text: str, parts: int = 1) -> list[str]:
+        """Pieces of a short text, merge by merge, until there are so few or nothing merges."""
+        few, parts, score = parts, list(text), self.score.get
+        while len(parts) > few:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score(parts[i] + parts[i + 1])
@@ -54,33 +64,64 @@ class PrefixCounts:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def made_of(self, piece: str) -> tuple[int, str, str]:
+        """Rank of the merge that makes a piece, and its two parts; rank -1 for one character."""
+        if (known := self.parts.get(piece)) is None:
+            if len(piece) == 1:
+                known = (-1, "", "")
+            else:
+                left, right = self.merge(piece, parts=2)
+                known = (self.rank[piece], left, right)
+            self.parts[piece] = known
+        return known
+
     def may_follow(self, last: str, piece: str) -> bool:
+        """Whether the two pieces stay apart when their texts are encoded as one.
+
+        Undoes the later of the merges that made them, again and again: they stay apart unless the pieces
+        at the border could have merged before that.
+        """
         key = (last, piece)
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) > 2 * CACHED:
-                self.follows.clear()
-            known = self.follows[key] = self.merge(last + piece) == ([last, piece] if last else [piece])
+        if (known := self.follows.get(key)) is not None:
+            return known
+        if len(self.follows) > 2 * CACHED:
+            self.follows.clear()
+        if not last:
+            known = self.merge(piece) == [piece]
+        else:
+            rank, known = self.rank.get, False
+            limit = len(self.rank) + 1
+            while True:
+                joined = rank(last + piece)
+                if joined is not None and joined < limit:
+                    break
+                (a, _, inner), (b, outer, _) = self.made_of(last), self.made_of(piece)
+                if a > b:
+                    limit, last = a, inner
+                elif b >= 0:
+                    limit, piece = b + 1, outer
+                else:
+                    known = True
+                    break
+        self.follows[key] = known
         return known
 
     def counts(self, segment: str) -> list[int]:
         """Token counts of the segment's prefixes, the empty one included."""
-        score, follows, longest = self.score, self.follows, self.longest
-        counts, last = [0], [""]
-        for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = segment[start:end]
-                if end - start == 1:
-                    size = 1 if piece in score else len(piece.encode("utf-8", "surrogatepass"))
-                elif piece in score:
-                    size = 1
-                else:
-                    continue
-                before = last[start]
-                known = follows.get((before, piece))
-                if self.may_follow(before, piece) if known is None else known:
-                    counts.append(counts[start] + size)
-                    last.append(piece)
+        root, follows, n = self.trie, self.follows.get, len(segment)
+        counts, last = [0] * (n + 1), [""] + [None] * n
+        for start in range(n):
+            before, count, node = last[start], counts[start] + 1, root
+            for end in range(start, n):
+                if (node := node.get(segment[end])) is None:
                     break
+                if (piece := node.get("")) is not None and last[end + 1] is None:
+                    known = follows((before, piece))
+                    if self.may_follow(before, piece) if known is None else known:
+                        counts[end + 1], last[end + 1] = count, piece
+            if last[start + 1] is None:  # a character that no piece has, as bytes
+                letter = segment[start]
+                counts[start + 1], last[start + 1] = count - 1 + len(letter.encode("utf-8", "surrogatepass")), letter
         return counts
 
     def segments(self, text: str) -> list[str]:
@@ -112,6 +153,30 @@ class PrefixCounts:
                         totals[segments[i]] = size
         return sum(got), segments, got
 
+    def sizes(self, texts: list[str]) -> list[int]:
+        """Token counts of whole texts; a segment that many of them share is looked up once."""
+        if not texts:
+            return []
+        cut = [t.replace(SPACE, " ") for t in texts]
+        if "\n" not in self.trie:  # then no piece holds a line feed, and nothing merges across one
+            cut = [t.replace("\n", " \n") for t in cut]
+        parts, order, ranges = distinct_parts(cut)
+        if len(self.cut_totals) > CACHED:
+            self.cut_totals = {}
+        totals = self.cut_totals
+        got = list(map(totals.get, parts))
+        for i, size in enumerate(got):
+            if size is None:
+                part = parts[i]
+                got[i] = size = self.counts(part if part[:1] == "\n" else SPACE + part)[-1]
+                if part and len(part) <= CACHED_CHARS:
+                    totals[parts[i]] = size
+        out = np.add.reduceat(np.array(got)[order], ranges[:-1])
+        if "" in parts:  # next to another space a mark belongs to a longer segment
+            for i in np.flatnonzero(np.add.reduceat(order == parts.index(""), ranges[:-1], dtype=np.int64)):
+                out[i] = self.total(texts[i])[0]
+        return out.tolist()
+
     def longest_within(self, text: str, limit: int) -> int:
         """Code points of the longest prefix of at most ``limit`` tokens."""
         size, segments, sizes = self.total(text)
@@ -163,7 +228,7 @@ def token_budget(
         c = counter(path)
 
         def apply(texts: list[str]) -> list[pa.Array]:
-            sizes = [c.total(t)[0] for t in texts]
+            sizes = c.sizes(texts)
             made = [
                 pa.array([len(t.encode()) for t in texts], pa.int64()),
                 pa.array(sizes, pa.int64()),

@@ -12,7 +12,7 @@ from tapline.llm import bpe_codec, token_counts
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
     None, "", " ", "  conn  to \n b", "\n\n x", "a<|endoftext|>b <|endoftext|> c", " <|endoftext|>", "日本語 日本 　 a", "it's we're  'll", "a" * 3000, "ab" * 900 + " 123456 $$$",
-    "\x1c x \x85 y \xa0z ​ q", "🎉🎉 é é", "▁a ▁▁ b▁c", "x   ", "<s>x</s> <unk>", "same row", "same row", "word " * 20_000,
+    "\x1c x \x85 y \xa0z ​ q", "🎉🎉 é é", "▁a ▁▁ b▁c", "x   ", "a \nb", "\na", "a\n", "a\nb.\nc,\n\nd", "<s>x</s> <unk>", "same row", "same row", "word " * 20_000,
 ]
 
 
