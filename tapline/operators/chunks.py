@@ -250,19 +250,17 @@ def row_numbers(
 
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], parts: int = 64,
-    rows: int = CHUNK_ROWS,
+    rows: int = CHUNK_ROWS, basics: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles without holding a group in one task.
 
     Equal values are counted first; ranks come from counts summed over value chunks, and each
-    percentile reads the two values around its position.
+    percentile reads the two values around its position. ``basics`` are further aggregates over the counted
+    values (``_x``, each ``_n`` times; nulls have ``_n`` 0), so the input is evaluated once.
     """
     by = list(by)
-    counts = stage(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    known = df if basics else df.filter(F.col(value).isNotNull())
+    counts = stage(known.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count(value).alias("_n")))
     ranked = running_by_value(counts, by, "_x", {"_below": ("sum", F.col("_n"), False)}, parts, rows)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     joined = join_on(ranked, totals, by) if by else ranked.withColumn("_total", totals.scalar())
@@ -277,6 +275,7 @@ def exact_percentiles(
             F.max(F.when(holds(high), F.col("_x"))).alias(f"_hi_{name}"),
             F.max(position - low).alias(f"_w_{name}"),
         ]
+    out += [c.alias(name) for name, c in (basics or {}).items()]
     picked = joined.groupBy(*by).agg(*out)
     lerp = lambda n: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
-    return picked.select(*by, *[lerp(n).alias(n) for n in fractions])
+    return picked.select(*by, *(basics or {}), *[lerp(n).alias(n) for n in fractions])

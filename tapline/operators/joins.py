@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import join_on
+from ..session import stage
+from .chunks import join_on, running
 
 
 def attach_pattern_stats(scored: DataFrame, stats: DataFrame, key: str) -> DataFrame:
@@ -104,19 +105,23 @@ def match_dns(
 ) -> DataFrame:
     """Each query with its first response on the same tuple and transaction within the delay.
 
-    The time slot of a query and the one before that of a response are join keys too, so a busy
-    client does not turn into one join group.
+    An as-of join: the next response time is a running minimum from the end over the distinct times of a
+    tuple, so no pairs are formed and a busy client is cut like any hot key.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    on = list(on)
     width = F.lit(max(int(max_delay * 1_000_000), 1)).cast("long")
-    slot = lambda c: F.floor(micros(c) / width)
-    left = queries.withColumn("_slot", slot(query_ts))
-    right = responses.withColumn("_slot", F.explode(F.array(slot(response_ts), slot(response_ts) - 1)))
-    pairs = join_on(left, right, [*on, "_slot"], "inner")
-    delay = micros(response_ts) - micros(query_ts)
-    near = pairs.filter((delay >= 0) & (delay <= width)).drop("_slot")
-    best = near.groupBy(query_id).agg(F.min(response_ts).alias(response_ts))
-    return join_on(queries, best, [query_id])
+    none = F.lit(None).cast(responses.schema[response_ts].dataType)
+    times = responses.select(*on, _micros(response_ts).alias("_t"), F.col(response_ts).alias("_response"))
+    times = times.unionByName(queries.select(*on, _micros(query_ts).alias("_t"), none.alias("_response")))
+    points = stage(times.filter("_t IS NOT NULL").groupBy(*on, "_t").agg(F.min("_response").alias("_response")))
+    ahead = running(points, on, "_t", {"_next": ("min", F.col("_response"), True)}, descending=True)
+    found = join_on(queries.withColumn("_t", _micros(query_ts)), ahead.select(*on, "_t", "_next"), [*on, "_t"])
+    near = _micros("_next") - F.col("_t") <= width
+    return found.withColumn(response_ts, F.when(near, F.col("_next"))).drop("_t", "_next")
+
+
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
 
 
 def match_ground_truth(
@@ -137,17 +142,33 @@ def match_ground_truth(
 
 def detection_latency(
     alerts: DataFrame, scenarios: DataFrame, on: Sequence[str], scenario_id: str = "scenario_id", ts: str = "ts",
-    start: str = "start_time", end: str = "end_time", slot_seconds: int = 3600,
+    start: str = "start_time", end: str = "end_time",
 ) -> DataFrame:
-    """Per scenario: alerts, first detection, latency in seconds and whether it was missed."""
-    pairs = match_ground_truth(alerts, scenarios, on, ts, start, end, slot_seconds)
-    found = pairs.groupBy(scenario_id).agg(F.count(F.lit(1)).alias("alert_count"), F.min(ts).alias("first_detection"))
-    joined = join_on(scenarios, found, [scenario_id])
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    """Per scenario: alerts, first detection, latency in seconds and whether it was missed.
+
+    No alert/scenario pairs are formed: alerts are counted per (target, time), and a scenario's number is
+    the difference of the running counts at its end and before its start; its first alert is the next one
+    from its start on.
+    """
+    on = list(on)
+    counts = alerts.select(*on, _micros(ts).alias("_t"), F.lit(1).alias("_n"), F.col(ts).alias("_at"))
+    none = F.lit(None).cast(alerts.schema[ts].dataType).alias("_at")
+    marks = [scenarios.select(*on, _micros(c).alias("_t"), F.lit(0).alias("_n"), none) for c in (start, end)]
+    every = counts.unionByName(marks[0]).unionByName(marks[1]).filter("_t IS NOT NULL")
+    points = stage(every.groupBy(*on, "_t").agg(F.sum("_n").cast("long").alias("_n"), F.min("_at").alias("_at")))
+    summed = running(points, on, "_t", {"_before": ("sum", F.col("_n"), False)})
+    ahead = running(points, on, "_t", {"_next": ("min", F.col("_at"), True)}, descending=True)
+    table = stage(join_on(summed, ahead.select(*on, "_t", "_next"), [*on, "_t"]))
+    at_start = table.select(*on, F.col("_t").alias("_s"), F.col("_before").alias("_from"), "_next")
+    at_end = table.select(*on, F.col("_t").alias("_e"), (F.col("_before") + F.col("_n")).alias("_upto"))
+    joined = join_on(scenarios.withColumn("_s", _micros(start)).withColumn("_e", _micros(end)), at_start, [*on, "_s"])
+    joined = join_on(joined, at_end, [*on, "_e"])
+    joined = joined.withColumn("_count", F.greatest(F.coalesce(F.col("_upto") - F.col("_from"), F.lit(0)), F.lit(0)))
+    joined = joined.withColumn("first_detection", F.when(F.col("_count") > 0, F.col("_next")))
     return joined.select(
         *scenarios.columns,
-        F.coalesce("alert_count", F.lit(0)).alias("alert_count"),
+        F.col("_count").alias("alert_count"),
         "first_detection",
-        ((micros("first_detection") - micros(start)) / F.lit(1e6)).alias("detection_latency"),
+        ((_micros("first_detection") - _micros(start)) / F.lit(1e6)).alias("detection_latency"),
         F.col("first_detection").isNull().alias("missed"),
     )

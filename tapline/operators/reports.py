@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import threat_family
-from .chunks import exact_percentiles, join_on
+from .chunks import exact_percentiles
 
 # Latency names with the stage marks they lie between.
 MARK_DURATIONS = {
@@ -91,9 +91,8 @@ def latency_durations(df: DataFrame, capture: Column | bool = True, name: str =
 
 def latency_report(df: DataFrame, metric: str, value: str) -> DataFrame:
     """Count, exact interpolated percentiles and maximum per metric."""
-    basic = df.groupBy(metric).agg(F.count(value).alias("count"), F.max(value).alias("max"))
-    marks = exact_percentiles(df, [metric], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return join_on(basic, marks, [metric])
+    basics = {"count": F.sum("_n"), "max": F.max("_x")}
+    return exact_percentiles(df, [metric], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, basics=basics)
 
 
 def threat_matrix(

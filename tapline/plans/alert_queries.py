@@ -345,12 +345,12 @@ def dns_match(t: Tables):
 
 def _scenarios(t: Tables):
     hour = F.date_trunc("hour", F.col("ts"))
-    return V.events(t).filter("k % 10 = 0").select(
+    return V.events(t).select(
         F.col("event_id").alias("scenario_id"), "user_id", hour.alias("start_time"), (hour + F.expr("INTERVAL 2 DAYS")).alias("end_time")
     )
 
 
-_SCENARIO_SQL = """s AS (SELECT event_id AS scenario_id, user_id, (t//3600000000)*3600000000 AS s0, (t//3600000000)*3600000000+172800000000 AS s1 FROM v_events WHERE k%10=0),
+_SCENARIO_SQL = """s AS (SELECT event_id AS scenario_id, user_id, (t//3600000000)*3600000000 AS s0, (t//3600000000)*3600000000+172800000000 AS s1 FROM v_events),
 m AS (SELECT scenario_id, a.event_id, a.t, s0 FROM s JOIN v_alerts a ON a.user_id=s.user_id AND a.t>=s0 AND a.t<=s1)"""
 
 
@@ -365,5 +365,5 @@ def ground_truth_match(t: Tables):
 SELECT s.scenario_id, coalesce(n,0) AS alert_count, d AS first_detection, round((d-s0)/1e6,6) AS detection_latency, d IS NULL AS missed FROM s LEFT JOIN f ON s.scenario_id=f.scenario_id""",
 )
 def detection_latency(t: Tables):
-    out = J.detection_latency(V.alerts(t), _scenarios(t), ["user_id"], slot_seconds=86_400)
+    out = J.detection_latency(V.alerts(t), _scenarios(t), ["user_id"])
     return rounded(micros(out.drop("start_time", "end_time", "user_id"), "first_detection"))
