@@ -140,7 +140,7 @@ def beacon_features(
     gap = lambda w: seconds - F.lag(seconds).over(w)
     before = lambda w: F.lag(F.col(ts)).over(w)
     gapped = over_previous(
-        slots, by, "_k", 1, {"_gap": gap, "_before": before}, rows, rows * 1000 if double else None
+        slots, by, "_k", 1, {"_gap": gap, "_before": before}, rows
     )
     in_windows = anchored_windows(gapped, by, ts, width, step)
     unit = F.lit(1.0) if double else F.lit(1e6)

@@ -11,6 +11,7 @@ operators get there by aggregating equal timestamps first, in microseconds.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = int(os.environ.get("TAPLINE_CHUNK_ROWS", 1_000_000))
+SAMPLES = 64
 BROADCAST_ROWS = 1_000_000
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -57,66 +59,47 @@ def hot_keys(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame | None:
     return None if staged.isEmpty() else staged.select(*by)
 
 
-def assign_chunks(
-    df: DataFrame, by: Sequence[str], seq: str, rows: int = CHUNK_ROWS, width: int | None = None
-) -> DataFrame | None:
-    """Add ``_chunk``: consecutive ranges of ``seq`` per key with fewer than ``2 * rows`` rows each.
+def assign_chunks(df: DataFrame, by: Sequence[str], seq: str, rows: int = CHUNK_ROWS) -> DataFrame | None:
+    """Add ``_chunk``: consecutive ranges of ``seq`` per key with about ``rows`` rows each.
 
-    Keys with more than ``rows`` rows are counted again per block of ``width`` sequence values
-    (``rows`` by default, so a block holds at most ``rows`` distinct values), and blocks are packed
-    into chunks by their running count. Other keys are one chunk. Returns None when no key is that
-    large, so ordinary data is planned as an ordinary window.
+    Keys with more than ``rows`` rows are sampled by a hash of ``seq``, SAMPLES rows for each chunk to come,
+    and the sample is cut into equal shares; so the number of chunks follows the number of rows, however
+    sparse the sequence is, and only the sample of a key is ever sorted in one task. ``seq`` may be of any
+    numeric type. Other keys are one chunk. Returns None when no key is that large, so ordinary data is
+    planned as an ordinary window. Null keys are a key like any other.
 
-    Rows with a null key are left in one chunk.
+    The cuts of a key form an array; a row finds its place in steps of the array's square root.
     """
     by = list(by)
     hot = hot_keys(df, by, rows)
     if hot is None:
         return None
-    block = F.floor(F.col(seq) / F.lit(width or rows)).cast("long")
-    of_hot = join_on(df, if_small(hot), by, "left_semi", null_safe=False) if by else df
-    counts = of_hot.groupBy(*by, block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    chunk = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows)).cast("long")
-    packed = stage(counts.select(*by, "_block", chunk.alias(CHUNK)))
-    joined = join_on(df.withColumn("_block", block), if_small(packed), [*by, "_block"], null_safe=False)
-    return joined.withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0).cast("long"))).drop("_block")
-
-
-def assign_value_chunks(
-    df: DataFrame, by: Sequence[str], value: str, parts: int = 64, rows: int = CHUNK_ROWS
-) -> DataFrame | None:
-    """Add ``_chunk`` by approximate quantiles of a numeric column; None when no key needs it.
-
-    For staged frames with one row per distinct value of a key, where quantile cuts balance the
-    chunks.
-    """
-    by = list(by)
-    hot = hot_keys(df, by, rows)
-    if hot is None:
-        return None
-    fractions = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(F.col(value), fractions, 20 * parts)).alias("_cuts")
-    )
+    step = max(1, rows // SAMPLES)
+    of_hot = join_on(df.select(*by, seq), if_small(hot), by, "left_semi") if by else df.select(seq)
+    sample = of_hot.filter(F.pmod(F.xxhash64(seq), F.lit(step)) == 0)
+    placed = sample.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(seq)))
+    cuts = placed.filter(F.col("_i") % max(1, rows // step) == 0).groupBy(*by)
+    cuts = cuts.agg(F.sort_array(F.collect_list(seq)).alias("_cuts"))
+    cuts = cuts.withColumn("_width", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+    cuts = stage(cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % F.col("_width") == 0)))
     if by:
-        joined = join_on(df, join_on(cuts, if_small(hot), by, "left_semi", null_safe=False), by, null_safe=False)
+        joined = join_on(df, if_small(cuts), by)
     else:
-        joined = df.withColumn("_cuts", cuts.scalar())
-    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    # size is -1 for the keys without cuts: one chunk
-    return joined.withColumn(CHUNK, F.greatest(below, F.lit(0)).cast("long")).drop("_cuts")
+        one = cuts.select(F.struct("_cuts", "_width", "_coarse").alias("_c"))
+        joined = df.withColumn("_c", one.scalar()).select("*", "_c._cuts", "_c._width", "_c._coarse").drop("_c")
+    reached = lambda values: F.size(F.filter(values, lambda c: c <= F.col(seq)))
+    steps = F.greatest(reached(F.col("_coarse")), F.lit(0))  # -1 for keys without cuts
+    joined = joined.withColumn("_steps", steps)
+    start = (F.col("_steps") - 1) * F.col("_width")
+    chunk = F.when(F.col("_steps") > 0, start + reached(F.slice("_cuts", start + 1, F.col("_width")))).otherwise(0)
+    return joined.withColumn(CHUNK, chunk.cast("long")).drop("_cuts", "_width", "_coarse", "_steps")
 
 
 def running_by_value(
-    df: DataFrame, by: Sequence[str], value: str, values: dict[str, tuple[str, Column, bool]], parts: int = 64,
-    rows: int = CHUNK_ROWS,
+    df: DataFrame, by: Sequence[str], value: str, values: dict[str, tuple[str, Column, bool]], rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Running totals along a numeric column of any kind, for a staged frame of distinct values."""
-    chunked = assign_value_chunks(df, by, value, parts, rows)
-    if chunked is None:
-        return running(df, by, value, values, known_small=True)
-    return running(chunked, by, value, values, chunked=True)
+    return running(df, by, value, values, rows=rows)
 
 
 def with_halo(chunked: DataFrame, by: Sequence[str], seq: str, n: int) -> DataFrame:
@@ -155,7 +138,6 @@ def over_previous(
     n: int,
     columns: dict[str, Callable[[WindowSpec], Column]],
     rows: int = CHUNK_ROWS,
-    width: int | None = None,
 ) -> DataFrame:
     """Add columns computed over a frame that reaches at most ``n`` rows back.
 
@@ -163,7 +145,7 @@ def over_previous(
     """
     by = list(by)
     add = lambda frame, window: frame.select("*", *[make(window).alias(c) for c, make in columns.items()])
-    chunked = assign_chunks(df, by, seq, rows, width)
+    chunked = assign_chunks(df, by, seq, rows)
     if chunked is None:
         return add(df, Window.partitionBy(*by).orderBy(seq))
     framed = with_halo(chunked, by, seq, n)
@@ -180,17 +162,14 @@ def running(
     values: dict[str, tuple[str, Column, bool]],
     descending: bool = False,
     rows: int = CHUNK_ROWS,
-    chunked: bool = False,
-    known_small: bool = False,
 ) -> DataFrame:
     """Running sum, max or min along each key.
 
     ``values`` maps a new name to (kind, expression, inclusive). Exclusive sums start at 0,
-    exclusive extremes at null. With ``chunked`` the frame already has ``_chunk``; with
-    ``known_small`` the caller has checked that no key needs it.
+    exclusive extremes at null.
     """
     by = list(by)
-    frame = df if chunked else None if known_small else assign_chunks(df, by, seq, rows)
+    frame = assign_chunks(df, by, seq, rows)
     direction = (lambda c: F.col(c).desc()) if descending else F.col
 
     def along(window: WindowSpec, name: str) -> Column:
@@ -210,7 +189,7 @@ def running(
         CHUNK,
         *[_COMBINE[kind](f"_p_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _, _) in values.items()],
     )
-    joined = join_on(frame, carried, [*by, CHUNK], null_safe=False)
+    joined = join_on(frame, carried, [*by, CHUNK])
     local = Window.partitionBy(*by, CHUNK).orderBy(direction(seq))
     out = []
     for name, (kind, _, _) in values.items():
@@ -249,7 +228,7 @@ def row_numbers(
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], parts: int = 64,
+    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float],
     rows: int = CHUNK_ROWS, basics: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles without holding a group in one task.
@@ -261,7 +240,7 @@ def exact_percentiles(
     by = list(by)
     known = df if basics else df.filter(F.col(value).isNotNull())
     counts = stage(known.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count(value).alias("_n")))
-    ranked = running_by_value(counts, by, "_x", {"_below": ("sum", F.col("_n"), False)}, parts, rows)
+    ranked = running_by_value(counts, by, "_x", {"_below": ("sum", F.col("_n"), False)}, rows)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     joined = join_on(ranked, totals, by) if by else ranked.withColumn("_total", totals.scalar())
     out = []

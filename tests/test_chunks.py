@@ -43,6 +43,16 @@ def test_chunks_are_bounded(skewed):
     assert C.assign_chunks(skewed, ["key"], "seq", 10_000) is None
 
 
+def test_sparse_and_null_keys_are_cut(spark):
+    """Steps of the sequence far wider than a chunk, in a named and in a null key: every partition is bounded."""
+    sparse = spark.range(0, 20_000).select(F.when(F.col("id") % 2 == 0, "hot").alias("key"), (F.col("id") * 1_500_000).alias("seq"), F.lit(1).alias("v"))
+    cut = C.assign_chunks(sparse, ["key"], "seq", 1000)
+    sizes = cut.groupBy("key", C.CHUNK).count().collect()
+    assert max(r["count"] for r in sizes) < 2000 and len(sizes) > 12
+    got = C.running(sparse, ["key"], "seq", {"n": ("sum", F.col("v"), True)}, rows=1000)
+    assert got.filter(F.col("n") != F.floor(F.col("seq") / 3_000_000) + 1).count() == 0 and got.count() == 20_000
+
+
 @pytest.mark.parametrize("size", [11, 10_000])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running(skewed, size, descending):
@@ -73,12 +83,12 @@ def test_row_numbers(skewed, size):
 @pytest.mark.parametrize("size", [20, 10_000])
 def test_exact_percentiles(skewed, size):
     marks = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
-    got = C.exact_percentiles(skewed, ["key"], "v", marks, 8, size).toPandas().set_index("key")
+    got = C.exact_percentiles(skewed, ["key"], "v", marks, size).toPandas().set_index("key")
     frame = skewed.toPandas()
     for name, f in marks.items():
         want = frame.groupby("key")["v"].quantile(f)
         assert (got[name] - want).abs().max() < 1e-9
-    whole = C.exact_percentiles(skewed, [], "v", marks, 8, size).first()
+    whole = C.exact_percentiles(skewed, [], "v", marks, size).first()
     assert abs(whole["p99"] - frame["v"].quantile(0.99)) < 1e-9
 
 
