@@ -15,12 +15,14 @@ from pyspark.sql.window import Window
 from ..session import stage
 from .rows import id_and_text, id_type, text_slices
 
-BLOCK = 32  # sets of a token up to which all their pairs are candidates
-COMMON_BITS = 20  # at most 2**20 shingles count as common
+BLOCK = 64  # sets of a token up to which all their pairs are candidates
+COMMON_BITS = 22  # at most 2**22 shingles count as common
 LEAST_COMMON = 32
-SIGNATURE = 1024  # bits
+SIGNATURE = 1024  # bits at least
 FILTER_BITS = 26
 SALTS = 16
+SLICE = 1_500_000  # bytes of text whose words a task holds at once
+HELD = 2_000_000  # shingles counted at once
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -74,11 +76,27 @@ def set_of(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the tokens by bit; two sets differ in at least as many tokens as these in bits."""
-    odd = np.bincount((tokens & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    """Parities of the tokens by bit; two sets differ in at least as many tokens as these in bits.
+
+    A power of two of bits, at least two for each token. The two halves of one, XORed, are the next smaller.
+    """
+    size = max(SIGNATURE, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SIGNATURE
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def differing_bits(a: Column, b: Column) -> Column:
+    """Bits in which two signatures differ; of sizes one power apart, the larger one is folded."""
+
+    def fold(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        halves = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), halves).otherwise(x)
+
+    differ = F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(differ, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)).cast("int"))
+
+
 def describe_sets(rows: DataFrame, rule: Rule) -> DataFrame:
     """One row for each record (id, n, set, body, signature) and rows (token, seen) of shingles seen again.
 
@@ -97,7 +115,7 @@ def describe_sets(rows: DataFrame, rule: Rule) -> DataFrame:
             return pa.RecordBatch.from_arrays([*nulls, pa.array(token.view(np.int64)), pa.array(seen.astype(np.int32))], names=names)
 
         kinds = [pa.null()]
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, chars=SLICE):
             kinds[0] = part.column(0).type
             sets = shingle_sets(texts, rule.width)
             marks = [set_of(s) for s in sets]
@@ -111,7 +129,7 @@ def describe_sets(rows: DataFrame, rule: Rule) -> DataFrame:
                     known.add(mark)
                     held.append(tokens)
                     total += len(tokens)
-            if total > 4_000_000:
+            if total > HELD:
                 yield counts()
                 held, total = [], 0
         if held:
@@ -129,23 +147,24 @@ def common_tokens(described: DataFrame) -> np.ndarray:
     return found["token"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def first_order(tokens: np.ndarray, common: np.ndarray, by_value: np.ndarray) -> np.ndarray:
-    """Places of tokens in the first order: by hash, common ones last, by count."""
+def first_order(tokens: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Places of tokens in the first order: by hash, common ones (sorted, with their ranks by count) last."""
     order = (tokens * _ODD[1]) >> np.uint64(1)
     if len(common):
-        at = np.minimum(np.searchsorted(common[by_value], tokens), len(common) - 1)
-        is_common = common[by_value][at] == tokens
-        order[is_common] = np.uint64(1 << 63) + by_value[at][is_common].astype(np.uint64)
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        is_common = common[at] == tokens
+        order[is_common] = np.uint64(1 << 63) + ranks[at[is_common]]
     return order
 
 
 def postings(rows: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
-    """Prefix tokens (token, set, n) of every set; a common token in a prefix gives (null, set, n)."""
-    shared = rows.sparkSession.sparkContext.broadcast((common, np.argsort(common)))
+    """Prefix tokens (token, set, n) of every set; if common ones are among them, a negative token of its own."""
+    ranks = np.argsort(common)
+    shared = rows.sparkSession.sparkContext.broadcast((common[ranks], ranks.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
-        for _, texts in text_slices(batches):
+        for _, texts in text_slices(batches, chars=SLICE):
             tokens, marks, sizes = [], [], []
             for s in shingle_sets(texts, rule.width):
                 mark = set_of(s)
@@ -160,20 +179,21 @@ def postings(rows: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
                 marks.append((mark, len(plain)))
                 sizes.append(len(s))
                 if len(plain) < p:
-                    tokens.append(np.full(1, -1, np.int64))
+                    tokens.append(np.full(1, mark | -(1 << 63), np.int64))
                     marks.append((mark, 1))
                     sizes.append(len(s))
             if tokens:
                 each = [k for _, k in marks]
                 token = np.concatenate(tokens)
-                columns = [pa.array(token, mask=token < 0), pa.array(np.repeat([m for m, _ in marks], each)), pa.array(np.repeat(np.array(sizes, np.int32), each))]
+                columns = [pa.array(token), pa.array(np.repeat([m for m, _ in marks], each)), pa.array(np.repeat(np.array(sizes, np.int32), each))]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "set", "n"])
 
     return rows.mapInArrow(run, "token long, set long, n int")
 
 
 def blocks(sorted_postings: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b, na, nb) of sets that share a token of up to BLOCK sets; (a, null) for sets of larger ones.
+    """Pairs (a, b, na, nb) of sets that share a token of up to BLOCK sets; (a, null) for sets of larger ones
+    and those with a negative token.
 
     Reads rows sorted by token and set; holds one batch and at most BLOCK rows before it.
     """
@@ -205,6 +225,12 @@ def blocks(sorted_postings: DataFrame, rule: Rule) -> DataFrame:
 
         for batch in batches:
             rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            apart = int(np.searchsorted(rows[:, 0], 0))
+            if apart:
+                yield members(rows[:apart])
+                rows = rows[apart:]
+                if not len(rows):
+                    continue
             if open_token is not None:
                 same = int(np.searchsorted(rows[:, 0], open_token, side="right"))
                 if same:
@@ -232,9 +258,10 @@ def body_bits(bodies: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.unique(np.concatenate([np.empty(0, np.uint64), *[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS) for b in batches]]))
         if len(at):
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
+            byte, first = np.unique(at >> np.uint64(3), return_index=True)
+            seen = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+            seen[byte] = np.bitwise_or.reduceat(np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8), first)
+            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["bits"])
 
     found = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
     for row in bodies.select("body").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
@@ -248,7 +275,7 @@ def sets_of_bodies(rows: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = set(), shared.value
-        for _, texts in text_slices(batches):
+        for _, texts in text_slices(batches, chars=SLICE):
             at = np.array([body_of(t) for t in texts], np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             pick = np.flatnonzero(table[(at >> np.uint64(3)).astype(np.int64)] & (np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)))
             found = [s for s in shingle_sets([texts[i] for i in pick], rule.width) if len(s)]
@@ -293,7 +320,7 @@ def verify(rows: DataFrame, rule: Rule, pairs: DataFrame, nodes: DataFrame) -> D
     """The pairs (a, b) that link. Parities come first; then, with the tokens at hand, the sets must share a
     token of their prefixes under each further order; last they are intersected."""
     side = lambda x: nodes.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"), F.col("body").alias(f"body_{x}"))
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int"))
+    bits = differing_bits(F.col("sa"), F.col("sb"))
     close = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     close = stage(close.filter((100 + rule.percent) * bits <= (100 - rule.percent) * (F.col("na") + F.col("nb"))).select("a", "b", "body_a", "body_b"))
     bodies = close.select(F.col("body_a").alias("body")).union(close.select("body_b"))
@@ -359,9 +386,8 @@ def near_copies(events: DataFrame, width: int = 5, percent: int = 80, id_col: st
     records = described.filter("seen IS NULL").select("id", "n", "set", "body", "signature")
     nodes = stage(records.filter("n > 0").groupBy("set").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("body").alias("body"), F.first("signature").alias("signature")))
     posted = postings(rows, rule, common_tokens(described))
-    dealt = stage(posted)
-    paired = stage(blocks(dealt.filter("token IS NOT NULL").repartition("token").sortWithinPartitions("token", "set"), rule))
-    hot = paired.filter("b IS NULL").select(F.col("a").alias("set")).union(dealt.filter("token IS NULL").select("set")).distinct()
+    paired = stage(blocks(posted.repartition("token").sortWithinPartitions("token", "set"), rule))
+    hot = paired.filter("b IS NULL").select(F.col("a").alias("set")).distinct()
     again = stage(sets_of_bodies(rows, rule, body_bits(nodes.join(hot, "set"))))
     places = stage(hot_blocks(again, rule))
     sizes = places.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("place", "set", "n")).alias("pivot")).filter("held > 1")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 8_000_000
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about SLICE_CHARS bytes of text each, and the texts, null as ''.
+def text_slices(batches: Iterable[pa.RecordBatch], text: int = 1, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with about ``chars`` bytes of text each, and the texts, null as ''.
 
     It bounds what a task holds at once; a single longer text is a slice of its own.
     """
@@ -25,7 +25,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[tu
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_CHARS, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + chars, side="right")))
             part = batch.slice(start, stop - start)
             yield part, [x or "" for x in part.column(text).to_pylist()]
             start = stop

@@ -44,10 +44,10 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(5, rows[5]), (None, "one"), (None, None)]
 
 
-@pytest.mark.parametrize("width,percent,block", [(4, 85, 32), (5, 80, 4)])
+@pytest.mark.parametrize("width,percent,block", [(4, 85, 64), (5, 80, 4)])
 def test_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(nc, "BLOCK", block)
-    monkeypatch.setattr(nc, "LEAST_COMMON", 40 if block == 32 else 8)
+    monkeypatch.setattr(nc, "LEAST_COMMON", 40 if block == 64 else 8)
     rows = corpus(width)
     events = spark.createDataFrame([(k, t, 0) for k, t in rows], "event_id long, raw string, component_id int").repartition(5)
     got = near_copies(events, width, percent).collect()
