@@ -376,11 +376,14 @@ def exfil_volume(t: Tables):
 g AS (SELECT *, (t-lag(t) OVER (PARTITION BY sensor, window_start ORDER BY t, event_id))/1e6 AS gap FROM x),
 a AS (SELECT sensor, window_start, count(*) AS n, avg(length(q)) AS ql, avg(CASE WHEN k%4=0 THEN 1.0 ELSE 0.0 END) AS txt,
   avg(CASE WHEN k%6=0 THEN 1.0 ELSE 0.0 END) AS nx, sum(k)::bigint AS rq, sum(k*3+1)::bigint AS rs, count(DISTINCT q) AS uq, avg(gap) AS m, stddev_samp(gap) AS d
-  FROM g GROUP BY 1,2)
-SELECT sensor, window_start, n AS queries_per_window, round(ql,6) AS query_length, round(txt,6) AS txt_ratio, round(nx,6) AS nxdomain_ratio,
+  FROM g GROUP BY 1,2),
+letters AS (SELECT q, unnest(string_split(q, '')) AS letter FROM (SELECT DISTINCT q FROM x)),
+ent AS (SELECT q, entropy(letter) AS e FROM letters WHERE letter<>'' GROUP BY q),
+qe AS (SELECT sensor, window_start, avg(e) AS query_entropy FROM x JOIN ent USING (q) GROUP BY 1,2)
+SELECT a.sensor, a.window_start, round(query_entropy,6) AS query_entropy, n AS queries_per_window, round(ql,6) AS query_length, round(txt,6) AS txt_ratio, round(nx,6) AS nxdomain_ratio,
   rq AS request_bytes, rs AS response_bytes, uq AS unique_queries, round(m,3) AS iat_mean, round(d,3) AS iat_std, round(uq/n,6) AS unique_subdomain_ratio,
   round(n/86400,6) AS query_frequency, round(rq/rs,6) AS request_response_ratio, round(CASE WHEN m>0 THEN d/m END,6) AS iat_cv,
-  round(CASE WHEN d+m>0 THEN (d-m)/(d+m) END,6)+0.0 AS burstiness FROM a""",
+  round(CASE WHEN d+m>0 THEN (d-m)/(d+m) END,6)+0.0 AS burstiness FROM a JOIN qe ON a.sensor=qe.sensor AND a.window_start=qe.window_start""",
 )
 def dns_tunnel_features(t: Tables):
     k = F.col("k")
@@ -389,7 +392,7 @@ def dns_tunnel_features(t: Tables):
         F.when(k % 4 == 0, "txt").otherwise("A").alias("qtype"), F.when(k % 6 == 0, "NXDOMAIN").otherwise("NOERROR").alias("rcode"),
         k.alias("request_bytes"), (k * 3 + 1).alias("response_bytes"),
     )
-    return rounded(T.dns_tunnel_features(rows, ["sensor"], seconds=86_400).drop("query_entropy"), iat_mean=3, iat_std=3)
+    return rounded(T.dns_tunnel_features(rows, ["sensor"], seconds=86_400), iat_mean=3, iat_std=3)
 
 
 @query(
@@ -421,6 +424,17 @@ def domain_ngrams(t: Tables):
     return rounded(T.domain_ngrams(V.domains(t), "domain", 2))
 
 
+@query(
+    "domain_trigrams",
+    f"""WITH {V.DOMAINS_SQL}, d AS (SELECT DISTINCT domain FROM v_domains),
+g AS (SELECT domain, substr(domain, i::bigint, 3) AS gram FROM d, (SELECT unnest(range(1,300)) AS i) WHERE i<length(domain)-1),
+c AS (SELECT domain, gram, count(*) AS tf FROM g GROUP BY 1,2)
+SELECT gram, sum(tf)::bigint AS occurrences, count(*) AS documents, round(ln(((SELECT count(*) FROM d)+1)/(count(*)+1)),6)+0.0 AS idf FROM c GROUP BY 1""",
+)
+def domain_trigrams(t: Tables):
+    return rounded(T.domain_ngrams(V.domains(t), "domain", 3))
+
+
 @query("domain_tfidf")
 def domain_tfidf(t: Tables):
     frame, _ = T.domain_tfidf(V.domains(t), "domain", features=1 << 12)

@@ -426,7 +426,7 @@ def dns_literals(t: Tables):
     """SELECT p_partkey AS k, round((p_size%7)/greatest(p_size%5,1),6) AS ptr_per_rr,
   round(p_retailprice/greatest(p_size,1),6) AS rr_entropy_per_length, round(p_size/greatest(p_size%9,1),6) AS ttl_variance_ratio,
   CASE WHEN p_partkey%3=0 THEN 0 ELSE 1 END::bigint AS reverse_dns_known,
-  round((p_size%7)/((p_size%5)+1.0),6) AS stable_ratio FROM part""",
+  round((p_size%7)/((p_size%5)+1.0),6) AS stable_ratio, round((p_size%7)/greatest((p_size%5)::double,1e-6),3) AS clipped_ratio FROM part""",
 )
 def dns_ratios(t: Tables):
     k, s = F.col("p_partkey"), F.col("p_size")
@@ -437,8 +437,10 @@ def dns_ratios(t: Tables):
     )
     out = X.dns_base_features(rows).withColumn(
         "stable_ratio", X.ptr_rr_ratio(F.col("PTR_frequency").cast("double"), F.col("rr_count").cast("double"))
+    ).withColumn("clipped_ratio", X.ptr_rr_ratio(F.col("PTR_frequency").cast("double"), F.col("rr_count").cast("double"), stable=False))
+    return rounded(
+        out.select("k", "ptr_per_rr", "rr_entropy_per_length", "ttl_variance_ratio", "reverse_dns_known", "stable_ratio", "clipped_ratio"), clipped_ratio=3
     )
-    return rounded(out.select("k", "ptr_per_rr", "rr_entropy_per_length", "ttl_variance_ratio", "reverse_dns_known", "stable_ratio"))
 
 
 @query(

@@ -110,3 +110,27 @@ def test_log_stream(spark, tmp_path):
     assert sorted((r["source_file"], r["line_number"], r["reject_reason"] is None) for r in seen) == [
         ("conn.log", 2, True), ("conn.log", 3, False), ("dns.log", 1, True), ("dns.log", 2, False),
     ]
+
+
+def test_alerts_merge_by_id(spark, tmp_path):
+    from tapline.streaming.logs import alert_versions, current_alerts, merge_alerts
+
+    frame = lambda rows: spark.createDataFrame(rows, "alert_id string, observed_at long, status string")
+    write = merge_alerts(str(tmp_path / "alerts"))
+    write(frame([("a", 1, "NEW"), ("b", 1, "NEW"), ("b", 1, "NEW")]), 0)
+    for _ in range(2):  # a batch that is run again gives the same table
+        write(frame([("b", 2, "RESOLVED"), ("c", 2, "NEW")]), 1)
+    write(frame([("a", 0, "OLD")]), 2)
+    got = rows(current_alerts(spark, str(tmp_path / "alerts")), "alert_id")
+    assert [(r["alert_id"], r["status"]) for r in got] == [("a", "NEW"), ("b", "RESOLVED"), ("c", "NEW")]
+    assert alert_versions(spark, str(tmp_path / "alerts")) == [1, 2]
+
+
+def test_packets_without_a_flow_id_are_reported(spark, tmp_path):
+    from tapline.streaming.flows import packets_to_flows_stream
+
+    schema = "uid string, ts timestamp, src string, dst string, src_port long, dst_port long, proto long, payload_len long, tcp_flags long, flow_complete boolean, arrival_seq long"
+    data = [(None, T0, "10.0.0.1", "10.0.0.2", 1, 2, 6, 10, 2, False, 0), (None, T0, None, None, None, None, None, None, None, True, 1)]
+    df = spark.createDataFrame(data, schema)
+    got = run(spark, packets_to_flows_stream(in_batches(spark, df, "arrival_seq", 1, tmp_path)), tmp_path).collect()
+    assert [(r.flow_id, r.packet_count, r.incomplete_reasons) for r in got] == [(None, 0, ["packet observation is missing Zeek connection uid"])] * 2
