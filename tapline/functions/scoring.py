@@ -22,21 +22,15 @@ DETECTORS = {
 # Threat family by substring of the lower-cased class; the first match wins.
 THREAT_FAMILIES = (
     ("ddos", "threat_ddos"),
-    ("volumetric / protocol ddos", "threat_ddos"),
     ("c2", "threat_c2"),
-    ("botnet c2 beaconing", "threat_c2"),
     ("dga", "threat_dga_dns"),
     ("dns", "threat_dga_dns"),
-    ("dga + dns tunnelling", "threat_dga_dns"),
     ("tls", "threat_tls"),
     ("quic", "threat_tls"),
     ("malware in encrypted sessions", "threat_tls"),
     ("recon", "threat_recon"),
     ("port scan", "threat_recon"),
-    ("reconnaissance / port scan", "threat_recon"),
     ("exfil", "threat_exfil"),
-    ("exfiltration", "threat_exfil"),
-    ("data exfiltration anomaly", "threat_exfil"),
 )
 DEFAULT_FAMILY = "threat_ddos"
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import safe_divide
 from ..functions.text import char_ngrams, entropy, lexical_features
+from ..session import stage
 from .beacon import gaps_by_time, micros
-from .chunks import CHUNK_ROWS, join_on
+from .chunks import CHUNK_ROWS, join_on, running
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -137,7 +138,8 @@ def exfil_volume(
     """Outbound volume of each source per window, with destination novelty and persistence.
 
     A destination is new to a source in the window that holds their first flow; persistence is the
-    share of the source's windows so far, in which it was active.
+    share of the windows from the source's first one up to this one in which it was active; repetition is the
+    number of flows per destination; burstiness compares deviation and mean of the gaps between flows.
     """
     bucketed = df.withColumn("window_start", time_bucket(ts, seconds))
     pairs = bucketed.groupBy(src, dst, "window_start").agg(
@@ -155,11 +157,12 @@ def exfil_volume(
         ((F.max("_to") - F.min("_from")) / F.lit(1e6)).alias("active_seconds"),
     )
     # one row per (source, window): at most the windows of the observed time
-    spans = base.groupBy(src).agg(
-        F.min("window_start").alias("_w0"), F.max("window_start").alias("_w1"), F.count(F.lit(1)).alias("_active")
-    )
-    joined = join_on(base, spans, [src])
-    windows = (F.col("_w1") - F.col("_w0")) / seconds + 1
+    so_far = {"_w0": ("min", F.col("window_start"), True), "_active": ("sum", F.lit(1), True)}
+    spans = running(stage(base.select(src, "window_start")), [src], "window_start", so_far)
+    gaps = gaps_by_time(bucketed, [src, "window_start"], ts).select(src, "window_start", "iat_mean", "iat_std")
+    joined = join_on(join_on(base, spans, [src, "window_start"]), gaps, [src, "window_start"])
+    windows = (F.col("window_start") - F.col("_w0")) / seconds + 1
+    mean, std = F.col("iat_mean"), F.col("iat_std")
     rate = lambda c: safe_divide(F.col(c), F.col("active_seconds"))
     return (
         joined.withColumn("outbound_inbound_ratio", safe_divide(F.col("outbound_bytes"), F.col("inbound_bytes")))
@@ -168,7 +171,9 @@ def exfil_volume(
         .withColumn("inbound_bytes_per_second", rate("inbound_bytes"))
         .withColumn("destination_novelty", F.col("new_destinations") / F.col("destination_count"))
         .withColumn("temporal_persistence", F.col("_active") / windows)
-        .drop("_w0", "_w1", "_active")
+        .withColumn("repetition", F.col("connection_count") / F.col("destination_count"))
+        .withColumn("burstiness", F.when(std + mean > 0, (std - mean) / (std + mean)))
+        .drop("_w0", "_active", "iat_mean", "iat_std")
     )
 
 

@@ -358,12 +358,17 @@ f AS (SELECT src, dst, min(window_start) AS w0 FROM x GROUP BY 1,2),
 a AS (SELECT x.src, window_start, sum(bytes)::double AS ob, sum(pkts)::bigint AS ib, sum(pkts)::bigint AS op, sum(dst_port)::bigint AS ip, count(*) AS n,
   count(DISTINCT x.dst) AS dc, count(DISTINCT CASE WHEN w0=window_start THEN x.dst END) AS nd, (max(t)-min(t))/1e6 AS act
   FROM x JOIN f ON x.src=f.src AND x.dst=f.dst GROUP BY 1,2),
-s AS (SELECT src, min(window_start) AS m0, max(window_start) AS m1, count(*) AS m FROM a GROUP BY 1)
-SELECT a.src, window_start, ob AS outbound_bytes, ib AS inbound_bytes, op AS outbound_packets, ip AS inbound_packets, n AS connection_count,
+g AS (SELECT src, window_start, (t-lag(t) OVER (PARTITION BY src, window_start ORDER BY t, event_id))/1e6 AS gap FROM x),
+gs AS (SELECT src, window_start, avg(gap) AS gm, stddev_samp(gap) AS gd FROM g GROUP BY 1,2),
+s AS (SELECT src, window_start, min(window_start) OVER w AS m0, count(*) OVER w AS m FROM a
+  WINDOW w AS (PARTITION BY src ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT a.src, a.window_start, ob AS outbound_bytes, ib AS inbound_bytes, op AS outbound_packets, ip AS inbound_packets, n AS connection_count,
   dc AS destination_count, nd AS new_destinations, round(act,6) AS active_seconds, round(CASE WHEN ib<>0 THEN ob/ib ELSE 0 END,6) AS outbound_inbound_ratio,
   round(CASE WHEN ip<>0 THEN op/ip ELSE 0 END,6) AS packet_ratio, round(CASE WHEN act<>0 THEN ob/act ELSE 0 END,6) AS outbound_bytes_per_second,
   round(CASE WHEN act<>0 THEN ib/act ELSE 0 END,6) AS inbound_bytes_per_second, round(nd/dc,6) AS destination_novelty,
-  round(m/((m1-m0)/86400+1),6) AS temporal_persistence FROM a JOIN s ON a.src=s.src""",
+  round(m/((a.window_start-m0)/86400+1),6) AS temporal_persistence, round(n/dc,6) AS repetition,
+  round(CASE WHEN gd+gm>0 THEN (gd-gm)/(gd+gm) END,6)+0.0 AS burstiness
+FROM a JOIN s ON a.src=s.src AND a.window_start=s.window_start JOIN gs ON a.src=gs.src AND a.window_start=gs.window_start""",
 )
 def exfil_volume(t: Tables):
     flows = V.flows(t)
