@@ -530,15 +530,18 @@ def non_routable(t: Tables):
 
 @query(
     "redaction",
-    """SELECT event_id, 2::bigint AS kept, cast(user_id AS varchar) AS user_text FROM events""",
+    f"""WITH {V.EVENTS_SQL} SELECT event_id, concat_ws(',', 'user', CASE WHEN k%2<>0 THEN 'size' END, CASE WHEN k%3<>0 THEN 'cipher' END,
+  CASE WHEN k%5<>0 THEN 'note' END) AS kept, cast(user_id AS varchar) AS user_text FROM v_events""",
 )
 def redaction(t: Tables):
-    user = F.col("user_id").cast("string")
-    context = F.create_map(
-        F.lit("user"), user, F.lit("Payload"), F.lit("x"), F.lit("TLS_KEYS"), F.lit("y"), F.lit("authorization"), F.lit("z"), F.lit("note"), F.lit("n")
+    k = F.col("k")
+    names = F.array(
+        F.lit("user"), F.when(k % 2 == 0, "Payload").otherwise("size"), F.when(k % 3 == 0, "TLS_KEYS").otherwise("cipher"),
+        F.when(k % 5 == 0, "authorization").otherwise("note"),
     )
-    return t.events.select("event_id", S.redact(context).alias("c")).select(
-        "event_id", F.size("c").cast("long").alias("kept"), F.col("c")["user"].alias("user_text")
+    context = F.map_from_arrays(names, F.array(F.col("user_id").cast("string"), F.lit("x"), F.lit("y"), F.lit("z")))
+    return V.events(t).select("event_id", S.redact(context).alias("c")).select(
+        "event_id", F.array_join(F.map_keys("c"), ",").alias("kept"), F.col("c")["user"].alias("user_text")
     )
 
 

@@ -367,7 +367,13 @@ def correlation_pairs(t: Tables):
     return rounded(D.correlation_pairs(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
-@query("strong_correlations", "SELECT 'o_totalprice' AS feature_a, 'double_price' AS feature_b, 1.0::double AS correlation")
+@query(
+    "strong_correlations",
+    """WITH o AS (SELECT *, o_totalprice*2 AS double_price FROM orders),
+c AS (SELECT 'o_totalprice' AS feature_a, 'double_price' AS feature_b, corr(o_totalprice, double_price) AS r FROM o
+  UNION ALL SELECT 'o_totalprice', 'o_custkey', corr(o_totalprice, o_custkey) FROM o UNION ALL SELECT 'double_price', 'o_custkey', corr(double_price, o_custkey) FROM o)
+SELECT feature_a, feature_b, round(r,6) AS correlation FROM c WHERE abs(r)>=0.95""",
+)
 def strong_correlations(t: Tables):
     rows = t.orders.withColumn("double_price", F.col("o_totalprice") * 2)
     return rounded(D.correlation_pairs(rows, ["o_totalprice", "double_price", "o_custkey"], 0.95))
@@ -464,14 +470,14 @@ def fold_report(t: Tables):
 
 @query(
     "split_leakage",
-    """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus='F'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus='O'),
+    """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus='F'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus<>'F'),
 s AS (SELECT a.o_custkey IS NOT NULL AS ia, b.o_custkey IS NOT NULL AS ib FROM a FULL JOIN b ON a.o_custkey=b.o_custkey)
 SELECT count(*) FILTER (ia) AS in_a, count(*) FILTER (ib) AS in_b, count(*) FILTER (ia AND ib) AS in_both, count(*) AS in_either, count(*) FILTER (ia AND NOT ib) AS only_a,
   count(*) FILTER (ib AND NOT ia) AS only_b, count(*) FILTER (ia AND ib)=0 AS disjoint, count(*) FILTER (ia<>ib)=0 AS equal FROM s""",
 )
 def split_leakage(t: Tables):
-    of = lambda s: t.orders.filter(F.col("o_orderstatus") == s)
-    return J.split_leakage(of("F"), of("O"), "o_custkey")
+    finished = F.col("o_orderstatus") == "F"
+    return J.split_leakage(t.orders.filter(finished), t.orders.filter(~finished), "o_custkey")
 
 
 @query(
