@@ -547,7 +547,7 @@ def model_tuning(t: Tables):
     return rounded(report.withColumn("weight", F.lit(choice["weight"])).withColumn("threshold", F.lit(choice["threshold"])))
 
 
-@query("oof_predict")
+@query("oof_predict", "SELECT count(*) AS rows, count(*) AS predicted, 0::bigint AS unpredicted FROM embeddings")
 def oof_predict(t: Tables):
     rows = V.vectors(t)
     folded = L.assign_folds(rows, L.group_kfold(rows, "source", "label", 3), "source")
