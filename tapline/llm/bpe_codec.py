@@ -19,7 +19,7 @@ from .units import UNIT_CHARS, UnitCache
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _POSITION = 32
 _NONE = 1 << 62
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 200_000
 
 
 def byte_chars() -> list[str]:

@@ -14,7 +14,7 @@ from .rows import map_texts
 from .units import distinct_parts
 
 SPACE = "▁"
-CACHED = 800_000
+CACHED = 400_000
 CACHED_CHARS = 64
 
 
