@@ -19,13 +19,28 @@ BLOCK = 64  # sets of a token up to which all their pairs are candidates
 COMMON_BITS = 22  # at most 2**22 shingles count as common
 LEAST_COMMON = 32
 SIGNATURE = 1024  # bits at least
-FILTER_BITS = 26
+FILTER_BITS = 24
 SALTS = 16
 SLICE = 1_500_000  # bytes of text whose words a task holds at once
 HELD = 2_000_000  # shingles counted at once
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+class Shared:
+    """Broadcast tables of one call, dropped together once all that reads them is written."""
+
+    def __init__(self, rows: DataFrame):
+        self.context, self.held = rows.sparkSession.sparkContext, []
+
+    def __call__(self, value):
+        self.held.append(self.context.broadcast(value))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        while self.held:
+            self.held.pop().destroy()
+
+
 @dataclass(frozen=True)
 class Rule:
     """Shingles of ``width`` words; sets link from ``percent`` of Jaccard similarity."""
@@ -157,10 +172,10 @@ def first_order(tokens: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np
     return order
 
 
-def postings(rows: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
+def postings(rows: DataFrame, rule: Rule, common: np.ndarray, share: Shared) -> DataFrame:
     """Prefix tokens (token, set, n) of every set; if common ones are among them, a negative token of its own."""
     ranks = np.argsort(common)
-    shared = rows.sparkSession.sparkContext.broadcast((common[ranks], ranks.astype(np.uint64)))
+    shared = share((common[ranks], ranks.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
@@ -269,9 +284,9 @@ def body_bits(bodies: DataFrame) -> np.ndarray:
     return found
 
 
-def sets_of_bodies(rows: DataFrame, rule: Rule, bits: np.ndarray) -> DataFrame:
+def sets_of_bodies(rows: DataFrame, rule: Rule, bits: np.ndarray, share: Shared) -> DataFrame:
     """Tokens (set, n, tokens as 64-bit binary) of the records that pass the bit table."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = share(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = set(), shared.value
@@ -316,7 +331,7 @@ def may_link(rule: Rule, na: Column, nb: Column, left_a: Column, left_b: Column)
     return sizes & ((100 + rule.percent) * F.least(left_a, left_b) >= rule.percent * (na + nb))
 
 
-def verify(rows: DataFrame, rule: Rule, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def verify(rows: DataFrame, rule: Rule, pairs: DataFrame, nodes: DataFrame, share: Shared) -> DataFrame:
     """The pairs (a, b) that link. Parities come first; then, with the tokens at hand, the sets must share a
     token of their prefixes under each further order; last they are intersected."""
     side = lambda x: nodes.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"), F.col("body").alias(f"body_{x}"))
@@ -324,8 +339,8 @@ def verify(rows: DataFrame, rule: Rule, pairs: DataFrame, nodes: DataFrame) -> D
     close = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     close = stage(close.filter((100 + rule.percent) * bits <= (100 - rule.percent) * (F.col("na") + F.col("nb"))).select("a", "b", "body_a", "body_b"))
     bodies = close.select(F.col("body_a").alias("body")).union(close.select("body_b"))
-    sets = stage(sets_of_bodies(rows, rule, body_bits(bodies)).dropDuplicates(["set"]))
-    joined = close.select("a", "b").join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b")
+    sets = stage(sets_of_bodies(rows, rule, body_bits(bodies), share).dropDuplicates(["set"]))
+    joined = close.select("a", "b").hint("merge").join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,28 +397,29 @@ def near_copies(events: DataFrame, width: int = 5, percent: int = 80, id_col: st
     """
     rule = Rule(width, percent)
     rows = id_and_text(events, id_col, text_col)
+    share = Shared(rows)
     described = stage(describe_sets(rows, rule))
     records = described.filter("seen IS NULL").select("id", "n", "set", "body", "signature")
     nodes = stage(records.filter("n > 0").groupBy("set").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("body").alias("body"), F.first("signature").alias("signature")))
-    posted = postings(rows, rule, common_tokens(described))
+    posted = postings(rows, rule, common_tokens(described), share)
     paired = stage(blocks(posted.repartition("token").sortWithinPartitions("token", "set"), rule))
     hot = paired.filter("b IS NULL").select(F.col("a").alias("set")).distinct()
-    again = stage(sets_of_bodies(rows, rule, body_bits(nodes.join(hot, "set"))))
+    again = stage(sets_of_bodies(rows, rule, body_bits(nodes.join(hot, "set")), share))
     places = stage(hot_blocks(again, rule))
     sizes = places.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("place", "set", "n")).alias("pivot")).filter("held > 1")
     large = sizes.filter(F.col("held") > BLOCK)
-    few = places.join(sizes.filter(F.col("held") <= BLOCK).select("token"), "token").select("token", F.struct("set", "n", "place").alias("x"))
+    few = places.hint("merge").join(sizes.filter(F.col("held") <= BLOCK).select("token"), "token").select("token", F.struct("set", "n", "place").alias("x"))
     lists = few.groupBy("token").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     cross = lists.select(F.explode(F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, F.size("xs")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("e"))
     near = may_link(rule, F.col("e.x.n"), F.col("e.y.n"), F.col("e.x.n") - F.col("e.x.place"), F.col("e.y.n") - F.col("e.y.place"))
     small = cross.filter(near).select(F.col("e.x.set").alias("a"), F.col("e.y.set").alias("b"))
     salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    crowd = stage(places.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]))
+    crowd = stage(places.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).hint("merge").join(salted, ["token", "salt"]))
     near = may_link(rule, F.col("n"), F.col("pivot.n"), F.col("n") - F.col("place"), F.col("pivot.n") - F.col("pivot.place"))
     stars = crowd.filter(near & (F.col("set") != F.col("pivot.set"))).select(F.least("set", "pivot.set").alias("a"), F.greatest("set", "pivot.set").alias("b"))
     pairs = stage(paired.filter("b IS NOT NULL").select("a", "b").union(small).distinct())
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct()
-    links = stage(verify(rows, rule, first, nodes))
+    links = stage(verify(rows, rule, first, nodes, share))
     labels = stage(components(links))
     label = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
@@ -412,11 +428,12 @@ def near_copies(events: DataFrame, width: int = 5, percent: int = 80, id_col: st
     mixed = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("token")
     mixed = named.join(mixed, "token")
     right = mixed.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x, y = mixed.alias("x"), right.alias("y")
+    x, y = mixed.hint("merge").alias("x"), right.alias("y")  # never broadcast: both grow with the data
     near = may_link(rule, F.col("x.n"), F.col("y.n"), F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & near
     rest = rest.union(x.join(y, met).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))).distinct()
-    found = components(links.union(verify(rows, rule, rest, nodes)))
+    found = components(links.union(verify(rows, rule, rest, nodes, share)))
+    share.drop()
     member = nodes.select("set", "first").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     heads = member.groupBy("root").agg(F.min("first").alias("component"))
     owner = member.join(heads, "root").select("set", "component")
