@@ -46,12 +46,15 @@ class WaveletMatrix:
         code = np.zeros(width, np.uint32)
         code[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
         codes = code[ids].astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
-        planes = []
+        planes, parted = [], np.empty_like(codes)
         for level in reversed(range(max(0, len(alphabet) - 1).bit_length())):
-            bit = (codes >> level) & 1 != 0
+            bit = (codes >> codes.dtype.type(level) & codes.dtype.type(1)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % (_BLOCK // 8), np.uint8)]))
-            codes = np.concatenate([codes[~bit], codes[bit]])
+            zeros = len(bit) - np.count_nonzero(bit)
+            np.compress(~bit, codes, out=parted[:zeros])
+            np.compress(bit, codes, out=parted[zeros:])
+            codes, parted = parted, codes
         return cls(alphabet, len(ids), planes)
 
     def to_bytes(self) -> bytes:
@@ -138,8 +141,8 @@ class WaveletMatrix:
         for depth, level in enumerate(reversed(range(len(self.planes)))):
             bit = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
             above = np.empty_like(codes)
-            above[~bit] = codes[: self.zeros[level]]
-            above[bit] = codes[self.zeros[level] :] | codes.dtype.type(1 << depth)
+            above[np.flatnonzero(~bit)] = codes[: self.zeros[level]]
+            above[np.flatnonzero(bit)] = codes[self.zeros[level] :] | codes.dtype.type(1 << depth)
             codes = above
         return self.alphabet[codes] if self.size else np.empty(0, "<u4")
 
@@ -154,10 +157,31 @@ def library_units(path: str) -> UnitCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def resolve(units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(units, add_special_tokens=False)]
+    starts = np.zeros(tokenizer.get_vocab_size(), bool)
+    starts[[k for token, k in tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+    encode = tokenizer.encode_batch_fast
 
-    return UnitCache(resolve)
+    def resolve(units: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in encode(units, add_special_tokens=False)]
+
+    def resolve_spaced(units: list[str]) -> list[bytes]:
+        """Units that each start with their only space are encoded in a row, and cut at tokens that start with one."""
+        made = []
+        for at in range(0, len(units), 4000):
+            lot = units[at : at + 4000]
+            row = " " + " ".join(lot)
+            if "<|" in row:  # an added token may stand in a unit
+                made += resolve([" " + u for u in lot])
+                continue
+            ids = np.array(encode([row], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(starts[ids])
+            if len(first) != len(lot):
+                raise ValueError("the units of a row were not kept apart")
+            data, ends = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
+            made += [data[a:b] for a, b in zip((4 * first).tolist(), ends, strict=True)]
+        return made
+
+    return UnitCache(resolve, resolve_spaced, limit=500_000)
 
 
 def write_token_shards(
@@ -167,7 +191,8 @@ def write_token_shards(
 
     Events are dealt by ranges of their id and sorted in each range; a task closes a shard at the first
     event that makes it ``shard_tokens`` long, so memory follows the shard and the longest record. The
-    folder gets Parquet (zstd) rows of (part, shard, event_ids, n_tokens, wavelet); the committer of the
+    folder gets Parquet rows of (part, inside, size, event_ids, n_tokens, wavelet), where ``inside`` is the
+    number of ids before the shard in its part; the committer of the
     writer makes lost or repeated tasks harmless. Every event's ids end with ``end_id``. Null and empty
     records have only that id; a null event_id sorts first; repeated rows stay, equal ids by their
     record. Other columns are not read.
@@ -175,18 +200,18 @@ def write_token_shards(
     kind = id_type(events, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, part, shard = library_units(path), TaskContext.get().partitionId(), 0
+        units, part, inside = library_units(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4")
         held, ids, lengths = [], [], []
 
         def close() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.concatenate(ids))
-            row = [[part], [shard], pa.array([pa.chunked_array(held).to_pylist()], pa.list_(held[0].type)), [lengths], [matrix.to_bytes()]]
-            types = [pa.int32(), pa.int32(), None, pa.list_(pa.int32()), pa.binary()]
+            row = [[part], [inside], [total], pa.array([pa.chunked_array(held).to_pylist()], pa.list_(held[0].type)), [lengths], [matrix.to_bytes()]]
+            types = [pa.int32(), pa.int64(), pa.int64(), None, pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([x if t is None else pa.array(x, t) for x, t in zip(row, types, strict=True)], names=names)
 
         total = 0
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, chars=8_000_000):
             start = 0
             for i, made in enumerate(units.encode(texts)):
                 ids += [made, end]
@@ -195,33 +220,32 @@ def write_token_shards(
                 if total >= shard_tokens:
                     held.append(batch.column(0).slice(start, i + 1 - start))
                     yield close()
-                    held, ids, lengths, total, start, shard = [], [], [], 0, i + 1, shard + 1
+                    held, ids, lengths, total, start, inside = [], [], [], 0, i + 1, inside + total
             if start < batch.num_rows:
                 held.append(batch.column(0).slice(start))
         if held:
             yield close()
 
-    names = ["part", "shard", "event_ids", "n_tokens", "wavelet"]
+    names = ["part", "inside", "size", "event_ids", "n_tokens", "wavelet"]
     dealt = id_and_text(events, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    made = dealt.mapInArrow(run, f"part int, shard int, event_ids array<{kind}>, n_tokens array<int>, wavelet binary")
-    made.write.option("compression", "zstd").parquet(folder)
+    made = dealt.mapInArrow(run, f"part int, inside long, size long, event_ids array<{kind}>, n_tokens array<int>, wavelet binary")
+    made.write.parquet(folder)
 
 
 def read_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every event's ids from the shards of ``write_token_shards``.
 
     Returns ``event_id``, ``start`` (ids of all events before it), ``n_tokens`` (with the end id) and
-    ``ids`` (binary, unsigned 32-bit little-endian). The starts of shards are sums of sums: over the
-    parts, one row each, and over the shards of a part.
+    ``ids`` (binary, unsigned 32-bit little-endian). Shards stay where they are read: what is before a part
+    comes from a table of one row for each task that wrote, so no larger than the writer's partitions.
     """
     shards = spark.read.parquet(folder)
     kind = shards.schema["event_ids"].dataType.elementType.simpleString()
-    sizes = shards.select("part", "shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n).alias("size"))
-    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    parts = sizes.groupBy("part").agg(F.sum("size").alias("size")).select("part", before(Window.orderBy("part")).alias("base"))
-    starts = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("inside")).join(parts, "part")
-    starts = starts.select("part", "shard", (F.col("base") + F.col("inside")).alias("start"))
-    rows = shards.join(starts, ["part", "shard"]).select("event_ids", "n_tokens", "wavelet", "start")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("size").alias("size"))
+    parts = parts.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0).cast("long")).alias("base"))
+    start = (F.col("base") + F.col("inside")).alias("start")
+    rows = shards.join(F.broadcast(parts), "part").select("event_ids", "n_tokens", "wavelet", start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
