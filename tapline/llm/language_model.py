@@ -18,6 +18,7 @@ from .rows import id_and_text, id_type, text_slices
 
 ORDER = 5
 SALTS = 16
+CODED = 1 << 18  # bytes looked up at once
 NONE = "und"
 
 
@@ -55,67 +56,77 @@ class ContextTree:
 
 
 class LanguageModel:
-    """Context trees of several languages, compiled into one automaton.
+    """Context trees of several languages, as sorted tables of every context and of every byte seen after it.
 
-    As the counts are frozen, what a byte costs follows from the longest kept context before it. A state is
-    such a context of any language; its row has, for each byte, the next state and the bits in each
-    language, taken over from the shorter context's row where its own has not seen the byte.
+    As the counts are frozen, what a byte costs follows from the up to ORDER bytes before it in its word. They
+    and the byte are packed into one integer without loss; each distinct one is looked up from the longest
+    context to the empty one, as ``ContextTree.length`` does, for all languages at once. The tables hold
+    the whole trees and only what was seen, so they are as large as the training words make them.
     """
 
-    def __init__(self, samples: pd.DataFrame, max_states: int = 12_000):
+    def __init__(self, samples: pd.DataFrame):
         counts: dict[str, Counter] = {}
         for lang, text in zip(samples["lang"], samples["text"], strict=True):
             counts.setdefault(lang, Counter()).update(text.lower().split())
         self.langs = sorted(counts)
-        trees = [ContextTree(counts[x]).follow for x in self.langs]
-        used = Counter()
-        for tree in trees:
-            for context, seen in tree.items():
-                used[context] += seen.total()
-        kept = sorted(used, key=lambda c: (len(c) > 1, -used[c], c))[:max_states]
-        states = {c for c in kept} | {b""}
-        for context in kept:  # every shorter end of a state is a state
-            states.update(context[i:] for i in range(1, len(context)))
-        states = sorted(states, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(states)}
-        letters = sorted({x for c in states for x in c} | {x for c in states for t in trees for x in t.get(c, ())} | {32})
-        self.column = np.full(256, len(letters), np.int64)
-        self.column[letters] = np.arange(len(letters))
-        width = len(letters) + 1
-        self.bits = np.full((len(states), width, len(self.langs)), 8.0, np.float32)
-        self.after = np.zeros((len(states), width), np.int32)
-        for i, context in enumerate(states):
-            if i:
-                shorter = number[context[1:]]
-                self.bits[i], self.after[i] = self.bits[shorter], self.after[shorter]
-            for k, tree in enumerate(trees):
-                if seen := tree.get(context):
-                    total = seen.total() + len(seen)
-                    self.bits[i, :, k] -= math.log2(len(seen) / total)
-                    at = self.column[list(seen)]
-                    self.bits[i, at, k] = -np.log2(np.array(list(seen.values())) / total)
-            for x in letters:
-                if (child := number.get(context + bytes([x]))) is not None:
-                    self.after[i, self.column[x]] = child
+        seen: list[dict[int, dict[int, float]]] = [{} for _ in range(ORDER + 1)]
+        escape: list[dict[int, dict[int, float]]] = [{} for _ in range(ORDER + 1)]
+        for k, lang in enumerate(self.langs):
+            for context, follow in ContextTree(counts[lang]).follow.items():
+                total, key = follow.total() + len(follow), int.from_bytes(context)
+                escape[len(context)].setdefault(key, {})[k] = -math.log2(len(follow) / total)
+                for x, n in follow.items():
+                    seen[len(context)].setdefault(key << 8 | x, {})[k] = -math.log2(n / total)
+        self.seen = [self._table(x, np.nan) for x in seen]
+        self.escape = [self._table(x, 0.0) for x in escape]
+
+    def _table(self, entries: dict[int, dict[int, float]], missing: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys, and a row of bits in each language for each key and (the last) for any other key."""
+        keys = sorted(entries)
+        bits = np.full((len(keys) + 1, len(self.langs)), missing)
+        for i, key in enumerate(keys):
+            bits[i, list(entries[key])] = list(entries[key].values())
+        return np.array(keys, np.uint64), bits
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits in each language of packed bytes: in 8-bit fields from the lowest, a byte and those before it, and at ORDER + 1 their number."""
+
+        def rows(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+            keys, bits = table
+            at = np.searchsorted(keys, key)
+            at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == key[at < len(keys)], at[at < len(keys)], len(keys))
+            return bits[at]
+
+        out, open_ = np.zeros((len(grams), len(self.langs))), np.ones((len(grams), len(self.langs)), bool)
+        before = (grams >> np.uint64(8 * (ORDER + 1))).astype(np.int64)
+        for order in range(ORDER, -1, -1):
+            at = np.flatnonzero((before >= order) & open_.any(axis=1))
+            key = grams[at] & np.uint64((1 << 8 * (order + 1)) - 1)
+            bits = rows(self.seen[order], key)
+            found = ~np.isnan(bits)
+            out[at] += np.where(open_[at], np.where(found, bits, rows(self.escape[order], key >> np.uint64(8))), 0.0)
+            open_[at] &= ~found
+        return out + 8.0 * open_
 
     def lengths(self, words: list[str]) -> np.ndarray:
         """Code length of every word and the space after it in each language, in bits."""
-        data = [w.encode() + b" " for w in words]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        order = np.argsort(-sizes, kind="stable")
-        flat = self.column[np.frombuffer(b"".join(data), np.uint8)]
-        at, longest = (np.cumsum(sizes) - sizes)[order], -np.sort(-sizes)
+        data = [b" " + w.encode() + b" " for w in words]
+        starts = np.cumsum([0, *map(len, data)])[:-1]
+        flat = np.frombuffer(b"".join(data), np.uint8)
         total = np.zeros((len(words), len(self.langs)))
-        state = np.full(len(words), self.after[0, self.column[32]], np.int64)
-        active = len(words)
-        for step in range(int(longest[0]) if active else 0):
-            active = int(np.searchsorted(-longest, -step, side="left"))
-            x, s = flat[at[:active] + step], state[:active]
-            total[:active] += self.bits[s, x]
-            state[:active] = self.after[s, x]
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        for low in range(0, len(flat), CODED):
+            place = np.arange(low, min(low + CODED, len(flat)))
+            word = np.searchsorted(starts, place, side="right") - 1
+            before = place - starts[word]
+            word, place, before = word[before > 0], place[before > 0], np.minimum(before[before > 0], ORDER)
+            grams = before.astype(np.uint64) << np.uint64(8 * (ORDER + 1))
+            for k in range(ORDER + 1):
+                grams |= np.where(before >= k, flat[place - np.minimum(before, k)], 0).astype(np.uint64) << np.uint64(8 * k)
+            distinct, which = np.unique(grams, return_inverse=True)
+            bits = self.costs(distinct)
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(word, bits[which, k], len(words))
+        return total
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language of the shortest code, the first by name of equals, and its posterior share."""
@@ -159,8 +170,8 @@ def identify_language(events: DataFrame, model: LanguageModel, id_col: str = "ev
     decoded payload, and the labels any classes of text. Returns ``event_id``, ``lang_pred`` and ``score``
     (0 to 1); one row for each input row, repeated rows included. A null record, or one without a letter,
     is 'und' with score 0. Whole records are scored: the code length of a text is the sum over its
-    words, each distinct one coded once a slice. The model has a bounded number of states; it is broadcast,
-    and there is no shuffle.
+    words, each distinct one coded once a slice. The model holds every context of its bounded training
+    sample; it is broadcast, and there is no shuffle.
     """
     shared, kind = events.sparkSession.sparkContext.broadcast(model), id_type(events, id_col)
 

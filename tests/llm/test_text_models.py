@@ -28,6 +28,18 @@ def test_code_length():
     assert np.allclose(model.lengths(words), want, rtol=1e-5)
 
 
+def test_every_context_counts():
+    """Lengths are those of the whole trees also with many contexts, and where one language has far fewer texts."""
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    texts = {"a": [word("abcdefghijklm\0") for _ in range(6000)], "b": [word("éèabcnopq漢") for _ in range(3000)], "c": [word("abxyz") for _ in range(40)]}
+    trees = [ContextTree(language_model.Counter(texts[x])) for x in "abc"]
+    assert len({c for t in trees for c in t.follow}) > 24_000
+    model = LanguageModel(pd.DataFrame({"lang": list("abc"), "text": [" ".join(texts[x]) for x in "abc"]}))
+    words = [w for x in "abc" for w in texts[x][-300:]] + [word("abcé漢xyz-") for _ in range(300)] + ["", "ab" * 200_000]
+    assert np.allclose(model.lengths(words), [[t.length(w) for t in trees] for w in words], rtol=1e-9)
+
+
 def test_language(spark):
     rows = [(i, sample("aa" if i % 3 else "bb", i), "aa" if i % 3 else "bb", "x") for i in range(90)]
     odd = [(900, None, "aa", "x"), (901, "", None, "x"), (902, "123 $$", "bb", "x"), (903, sample("aa", 5), None, "x"), (903, sample("aa", 5), None, "x"), (None, sample("bb", 6), "bb", "x"), (904, "requête " * 50_000, None, "x")]
