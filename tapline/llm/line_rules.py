@@ -32,8 +32,16 @@ def without(text: Column, characters: str) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """The lines of a text that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda line: F.length(without(line, SPACES)) > 0)
+    """The lines of a text that hold a word, each with its place among all lines."""
+    placed = F.transform(F.split(text, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("place")))
+    return F.filter(placed, lambda x: F.length(without(x["line"], SPACES)) > 0)
+
+
+def remaining(text: Column, removed_lines: Column) -> Column:
+    """The text without the lines at these places; null places remove nothing."""
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed_lines)
+    cut = bound(F.split(text, "\n"), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    return F.when(F.size(removed_lines) > 0, cut).otherwise(text)
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -58,26 +66,32 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.translate(line, "\t\x0b\x0c\r123456789", "    000000000")))
 
 
-def line_quality(
+def judged_lines(
     events: DataFrame,
     max_documents: int = 100,
     max_removed_percent: int = 50,
     id_col: str = "event_id",
     text_col: str = "raw",
     host_col: str = "sensor",
+    max_host_percent: int = 1,
+    keep_holders: bool = True,
 ) -> DataFrame:
     """Judge the raw record of every event by its own words and by how common its lines are at its sensor.
 
     Base rules: a record fails with fewer than MIN_WORDS words, or if more than MAX_REPEATED_PERCENT of
     its words stand in repeated windows of WINDOW words. Method: lines are normalised and hashed; for
-    each sensor the distinct records that hold a line are counted, exact copies of a record once; lines of
-    more than ``max_documents`` records are removed, and a record that loses more than
-    ``max_removed_percent`` of the characters of its lines is depleted and rejected.
-
-    Returns ``event_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words``, ``removed_chars``, ``base_failed`` and ``kept``; one row for each input row, repeated
-    rows included and judged alike. A null or empty record has no words and fails. A null sensor counts
-    as ''. Other columns are not read.
+    each sensor the distinct records that hold a line are counted, exact copies of a record once. A line is
+    above the limit with more than ``max_documents`` records and more than ``max_host_percent`` of
+    the sensor's distinct records. Such lines are removed, and a record that loses more than
+    ``max_removed_percent`` of the characters of its lines is depleted and rejected. With ``keep_holders``,
+    of the records of a sensor with the same set of such lines the one of the least id loses none, so that
+    each passage stays once, and one member of a large group of near copies with it.
+
+    Returns ``event_id``, ``body`` (hash of the text), ``host``, ``n_words``, ``word_chars``, ``n_symbols``,
+    ``n_dup_lines``, ``n_repeat_words``, ``removed_chars`` (characters of its lines above the limit),
+    ``base_failed``, ``kept`` and ``removed_lines`` (their places, null if none; see ``remaining``); one
+    row for each input row, repeated rows included and judged alike. A null or empty record has no words
+    and fails. A null sensor counts as ''. Other columns are not read.
 
     Only DataFrame functions. Texts are read once; counts and line hashes are staged. Counting first
     merges equal (sensor, line, record) triples on the map side, so a line that every record holds is as
@@ -92,8 +106,8 @@ def line_quality(
     lines = bound(
         lines_of(F.col("text")),
         lambda ls: F.struct(
-            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-            F.transform(ls, lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.length(x).alias("chars"))).alias("each"),
+            (F.size(ls) - F.size(F.array_distinct(ls["line"]))).cast("long").alias("n_dup_lines"),
+            F.transform(ls, lambda x: F.struct(F.xxhash64(normalised(x["line"])).alias("line"), F.length(x["line"]).alias("chars"), x["place"].alias("place"))).alias("each"),
         ),
     )
     judged = stage(
@@ -109,19 +123,36 @@ def line_quality(
     )
     held = judged.select("host", "body", F.explode(F.array_distinct("l.each.line")).alias("line"))
     common = held.groupBy("host", "line").agg(F.count_distinct("body").alias("documents")).filter(F.col("documents") > max_documents)
+    if max_host_percent:
+        hosts = judged.groupBy("host").agg(F.count_distinct("body").alias("of"))
+        common = common.join(hosts, "host").filter(100 * F.col("documents") > max_host_percent * F.col("of"))
     salted = common.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     each = judged.select("id", "body", "host", "l").dropDuplicates(["id", "body", "host"])
     each = each.select("id", "body", "host", F.pmod("body", F.lit(SALTS)).cast("int").alias("salt"), F.explode("l.each").alias("x"))
-    each = each.select("id", "body", "host", "salt", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"))
-    removed = each.join(salted, ["host", "line", "salt"]).groupBy("id", "body", "host").agg(F.sum("chars").alias("removed"))
-    lost = removed.select(F.col("id").alias("lost_id"), F.col("body").alias("lost_body"), F.col("host").alias("lost_host"), "removed")
-    same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("body") == F.col("lost_body")) & (F.col("host") == F.col("lost_host"))
+    each = each.select("id", "body", "host", "salt", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"), F.col("x.place").alias("place"))
+    removed = each.join(salted, ["host", "line", "salt"]).groupBy("id", "body", "host")
+    removed = removed.agg(F.sum("chars").alias("removed"), F.sort_array(F.collect_list("place")).alias("places"), F.xxhash64(F.sort_array(F.collect_set("line"))).alias("lines"))
+
+    def add(rows: DataFrame, more: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``more`` for the same id, text and host, or nulls."""
+        of = more.withColumnsRenamed({c: f"of_{c}" for c in ("id", "body", "host")})
+        same = rows["id"].eqNullSafe(of["of_id"]) & (rows["body"] == of["of_body"]) & (rows["host"] == of["of_host"])
+        return rows.join(of, same, "left").drop("of_id", "of_body", "of_host")
+
+    if keep_holders:
+        removed = stage(removed)
+        first = removed.groupBy("host", "lines").agg(F.min(F.struct("id", "body")).alias("first"))
+        removed = add(removed, first.select("first.id", "first.body", "host", F.lit(True).alias("holder")))
+    else:
+        removed = removed.withColumn("holder", F.lit(None).cast("boolean"))
     total = F.aggregate("l.each", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    out = judged.join(lost, same, "left")
+    out = add(judged, removed.drop("lines"))
     failed = (F.col("c.n_words") < MIN_WORDS) | (100 * F.col("c.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("c.n_words"))
-    removed_chars = F.coalesce("removed", F.lit(0).cast("long"))
+    removed_chars, holder = F.coalesce("removed", F.lit(0).cast("long")), F.coalesce("holder", F.lit(False))
     return out.select(
         F.col("id").alias(id_col),
+        "body",
+        "host",
         "c.n_words",
         "word_chars",
         "n_symbols",
@@ -129,5 +160,11 @@ def line_quality(
         "c.n_repeat_words",
         removed_chars.alias("removed_chars"),
         failed.alias("base_failed"),
-        (~failed & (100 * removed_chars <= max_removed_percent * total)).alias("kept"),
+        (~failed & (holder | (100 * removed_chars <= max_removed_percent * total))).alias("kept"),
+        F.when(~holder, F.col("places")).alias("removed_lines"),
     )
+
+
+def line_quality(events: DataFrame, *args, **options) -> DataFrame:
+    """The counts and verdicts of ``judged_lines``, without what its removal needs."""
+    return judged_lines(events, *args, **options).drop("body", "host", "removed_lines")
