@@ -1,6 +1,8 @@
 import os
 import sys
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
@@ -26,3 +28,16 @@ def test_near_copies_leave_one(spark):
     rows = [(i, body(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") + ("\nseen now and then" if i < 150 else ""), "big") for i in range(16_000)]
     got = quality(spark, rows)
     assert len(got) == 16_000 and all(got[i].text == rows[i][1] for i in range(150))
+
+
+def test_lines_are_removed(spark):
+    """Kept documents come out without the lines above the limit, the first holder of them excepted."""
+    own = lambda i: body(f"{chr(97 + i % 26)}{chr(97 + i // 26)}")
+    rows = [(i, f"{own(i)}\n  Common LINE 7 here\n\n{own(i + 300)}\ncommon line 3 here", "s") for i in range(130)]
+    rows += [(500, own(400) + "\ncommon line 3 here", "t")]
+    got = quality(spark, rows)
+    assert len(got) == 131 and got[0].text == rows[0][1] and got[500].text == rows[-1][1]
+    for i in range(1, 130):
+        assert got[i].text == f"{own(i)}\n\n{own(i + 300)}" and got[i].n_chars == len(got[i].text)
+    places = spark.range(1).select(corpus_pipeline.line_rules.remaining(F.lit("a\nb\na"), F.array(F.lit(0), F.lit(2))).alias("t")).head().t
+    assert places == "b"
