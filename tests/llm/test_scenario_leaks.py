@@ -54,3 +54,24 @@ def test_brute_force(spark):
         spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "scenario_id long, raw string"),
     )
     assert set(rows_of(got)) == want
+
+
+def test_slots_of_changing_length(spark):
+    """Names of other lengths, units apart or not, sentence starts, items of few plain words and split fragments."""
+    items = [
+        (1, "the train to Lima took 5 kg of mail and then Lima sent 7 kg back to the old port of Lima before night"),
+        (2, "Alice has 5 apples. Bob has 7 apples. Carol has 9 apples. Dan has 11 apples."),
+        (3, "Paris 12 London 14 Rome 16 Oslo 18"),
+        (4, "one red two blue three green four white five black six pink seven brown eight grey nine violet ten gold end"),
+    ]
+    events = [
+        (1, "the train to San Jose took 50kg of mail and then San Jose sent 70kg back to the old port of San Jose before night"),
+        (2, "Anna Maria has 15 apples. Erik has 17 apples. Fay Lee has 19 apples. Gus has 21 apples."),
+        (3, "so Paris 12 London 14 Rome 16 Oslo 18 it was"), (4, "so Paris 13 London 14 Rome 16 Oslo 18 it was"),
+        (5, "the train to San Jose took 50kg of mail and then Quito sent 70kg back to the old port of Riga before night"),
+        (6, "one red two blue three green four white NEW five black six pink seven brown eight grey"),
+        (7, "one red two blue three green four white and nothing more of it"),
+    ]
+    got = rows_of(find_leaks(spark.createDataFrame(events, "event_id long, raw string"), spark.createDataFrame(items, "scenario_id long, raw string")))
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 4)}
+    assert got[1, 1].reparameterised and got[2, 2].reparameterised and got[1, 1].percent == 100 and got[6, 4].covered == 16
