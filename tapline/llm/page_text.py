@@ -36,10 +36,10 @@ TAGS = ("nav", "footer", "header", "aside", "form", "article", "main", "section"
 MEANING = 7  # the first so many tags say by name what they are
 HASHED = 16
 
-_TAG = re.compile(
-    r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+'|["'])*+)>|<[!?/][^>]*>""", re.S
-)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?/][^>]*>", re.S)
+_STOP = re.compile(r""">|=\s*(["'])""")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_NAMING = re.compile(r"\b(?:class|id|role)$", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 
@@ -56,6 +56,28 @@ class Node:
     hidden: bool = False
 
 
+def tag_end(page: str, at: int, spent: set[str]) -> int:
+    """Place after the '>' of a tag whose name ends at ``at``, or -1 if there is none.
+
+    A quote after '=' holds a value up to the next such quote, however far. Without one in the page it is
+    plain; ``spent`` remembers that for each kind of quote, and '>' for a page without a further tag end.
+    """
+    start = at
+    while ">" not in spent and (stop := _STOP.search(page, at)):
+        at = stop.end()
+        if not stop[1]:
+            return at
+        if stop[1] not in spent:
+            end = page.find(stop[1], at)
+            if end < 0:
+                spent.add(stop[1])
+            else:
+                at = end + 1
+    if ">" not in spent:  # the page ends inside this tag: no quote holds anything from here on
+        spent.update(">\"'")
+    return page.find(">", start) + 1 or -1
+
+
 def parse(page: str) -> list[Node]:
     """Block nodes of a page in page order; node 0 is the root."""
     nodes = [Node("#root", -1, 0)]
@@ -79,9 +101,11 @@ def parse(page: str) -> list[Node]:
             links -= tag == "a"
         del stack[upto:]
 
-    at = 0
+    at, spent = 0, set()
     while True:
-        found = _TAG.search(page, at)
+        found, end = _TAG.search(page, at), 0
+        while found and found[2] and (end := tag_end(page, found.end(), spent)) < 0:
+            found = _TAG.search(page, found.end())
         piece = page[at : found.start()] if found else page[at:]
         if piece:
             run.append(piece)
@@ -89,7 +113,8 @@ def parse(page: str) -> list[Node]:
                 linked += len(piece)
         if not found:
             break
-        at = found.end()
+        at = end if found[2] else found.end()
+        inner = page[found.end() : at - 1]
         tag = found[2].lower() if found[2] else ""
         if not tag:
             continue
@@ -116,10 +141,10 @@ def parse(page: str) -> list[Node]:
                 break
         inside = stack[-1][1]
         if tag not in INLINE:
-            tokens = [t for m in _ATTRIBUTE.finditer(found[3]) for t in _TOKEN.findall((m[1] or m[2] or m[3] or "").lower())]
+            tokens = [t for m in _ATTRIBUTE.finditer(inner) if _NAMING.search(m[1]) for t in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower())]
             nodes.append(Node(tag, inside, nodes[inside].depth + 1, tokens, hidden=nodes[inside].hidden or tag in HIDDEN or tag in VOID))
             inside = len(nodes) - 1
-        if tag in VOID or found[3].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or inner.endswith("/") and tag in ("svg", "path"):
             continue
         stack.append((tag, inside))
         links += tag == "a"

@@ -58,3 +58,13 @@ def test_parse():
     nodes = parse("<ul><li>a &amp; b<li>c</ul><p>d<p>e<table><tr><td>f<td>g</table><!-- x --><style>p{}</style>h <textarea>no</textarea>")
     assert [n.text for n in nodes if n.text and not n.hidden] == ["a & b", "c", "d", "e", "f", "g", "h"]
     assert len(describe(nodes)) == len(nodes) and join_blocks(nodes, np.ones(len(nodes), bool)).startswith("a & b\n\nc")
+
+
+def test_long_attributes():
+    """Quoted values end at their quote, however long; a quote that nothing closes is plain."""
+    for quote, other in ('"\'', '\'"'):
+        value = f"<b>t</b><div class={other}sidebar{other}>" * 2000
+        nodes = parse(f"<div data-x={quote}{value}{quote} class=story><p>one</div><p title={quote}x>two")
+        assert [n.text for n in nodes if n.text] == ["one", "two"] and nodes[1].tokens == ["story"]
+    assert [n.text for n in parse("<p it's>a</p><p>b's</p>") if n.text] == ["a", "b's"]
+    assert len(parse('<a x="' * 100_000)) <= 2
