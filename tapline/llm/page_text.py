@@ -164,6 +164,31 @@ SEMANTIC = len(NAMES)
 NAMES += ["depth", "chars", "links", "density", "words", "stops", "nodes", "place", "siblings", "alike", "sibling chars", "share", "next chars", "former chars", "symbols"]
 
 
+def page_holders(nodes: list[Node], chars: np.ndarray) -> np.ndarray:
+    """Nodes that no name sets aside: html and body, and wrappers and articles of most of the page's text.
+
+    A wrapper holds most of the text and in it a main or article element or a first heading of the page; an
+    article or main element holds most of the text of the outermost node that a name sets aside.
+    """
+    out, heads = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+    marked = [-1] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        x = nodes[i]
+        lead = x.tag == "h1" or x.tag in MAIN_TAGS and 2 * chars[i] > chars[0]
+        heads[x.parent] |= heads[i] or lead
+    for i, x in enumerate(nodes):
+        if i:
+            marked[i] = marked[x.parent]
+            most = 2 * chars[i] > chars[0]
+            if x.tag in ("html", "body") or x.tag not in AWAY_TAGS - {"form"} and most and (heads[i] or x.tag in MAIN_TAGS):
+                out[i], marked[i] = True, -1
+            elif x.tag in MAIN_TAGS and marked[i] >= 0 and 2 * chars[i] > chars[marked[i]]:
+                out[i], marked[i] = True, -1
+            elif marked[i] < 0 and (x.tag in AWAY_TAGS or any(t in AWAY for t in x.tokens)):
+                marked[i] = i
+    return out
+
+
 def describe(nodes: list[Node]) -> np.ndarray:
     """Features of every node: tag, attribute tokens, depth, subtree density and sibling statistics."""
     n = len(nodes)
@@ -178,6 +203,13 @@ def describe(nodes: list[Node]) -> np.ndarray:
             symbols[i] = sum(map(x.text.count, "|©»›"))
         if i:
             children[x.parent].append(i)
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        for total in (chars, links, words, stops, symbols):
+            total[p] += total[i]
+        inner[p] += inner[i] + 1
+    holds = page_holders(nodes, chars)
+    for i, x in enumerate(nodes):
         if x.tag in TAGS:
             out[i, TAGS.index(x.tag)] = 1
         k = len(TAGS)
@@ -187,13 +219,8 @@ def describe(nodes: list[Node]) -> np.ndarray:
             out[i, k + 2 + sum(t.encode()) % HASHED] = 1
         main = x.tag in MAIN_TAGS or out[i, k + 1] > 0 or i > 0 and out[x.parent, SEMANTIC - 1] > 0
         named = {*(t for t in x.tokens if t in AWAY), *({x.tag} & AWAY_TAGS)} - ({"header"} if main else set())
-        out[i, SEMANTIC - 2] = bool(named) or i > 0 and out[x.parent, SEMANTIC - 2] > 0
+        out[i, SEMANTIC - 2] = not holds[i] and (bool(named) or i > 0 and out[x.parent, SEMANTIC - 2] > 0)
         out[i, SEMANTIC - 1] = main
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        for total in (chars, links, words, stops, symbols):
-            total[p] += total[i]
-        inner[p] += inner[i] + 1
     total = max(1.0, chars[0])
     for p, mine in enumerate(children):
         for place, i in enumerate(mine):

@@ -68,3 +68,12 @@ def test_long_attributes():
         assert [n.text for n in nodes if n.text] == ["one", "two"] and nodes[1].tokens == ["story"]
     assert [n.text for n in parse("<p it's>a</p><p>b's</p>") if n.text] == ["a", "b's"]
     assert len(parse('<a x="' * 100_000)) <= 2
+
+
+def test_names_of_wrappers(spark):
+    """A word in the class of body, wrapper or article that holds the page sets nothing in it aside."""
+    model = train_pages(spark.createDataFrame([(i, page(i)) for i in range(60)], "page_id long, html string"))
+    plain = page(3).replace("<body>", "<body class='single'><div class=wrap>").replace("</body>", "</div></body>")
+    pages = [plain.replace("single", "single has-sidebar comments-open"), plain.replace("wrap", "'page-header-fixed more'"), plain.replace("<article>", "<article class='legal meta'>")]
+    got = extract_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), model).collect()
+    assert [r.text for r in got] == [want(3)] * 3
