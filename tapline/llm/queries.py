@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bpe_codec, language_model, line_rules, near_copies, page_text, quality_model, scenario_leaks, secrets, token_counts, token_store
+from . import (
+    bpe_codec, language_model, line_rules, name_variants, near_copies, page_text, quality_model, scenario_leaks, secrets, token_counts, token_store,
+    vector_copies, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +144,85 @@ def op5_scenario_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(records(spark, sf_dir), width=4, percent=85).withColumnRenamed("event_id", "doc_id")
+
+
+def flow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as feature vectors of flows."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("flow_id"), F.col("embedding").alias("features"), "label")
+
+
+@query
+def op11_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten_flows(flow_vectors(spark, sf_dir))
+    each = made.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part"))
+    return each.select(
+        F.col("flow_id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        "n",
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "part.whitened",
+        "part.explained",
+        "identity_error",
+    )
+
+
+@query
+def op12_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_copies.near_flows(flow_vectors(spark, sf_dir), least=0.98).withColumnRenamed("flow_id", "vec_id")
+
+
+def written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least seven letters, A-Z lowered; where 31 divides the checksum of document and run, one letter is left out."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))).alias("run"))
+    runs = runs.select("doc_id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run").cast("long")).cast("int")
+    left = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return runs.select(F.when(h % 31 == 0, left).otherwise(F.col("run")).alias("label"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = name_variants.label_variants(written_words(spark, sf_dir), least_length=7, least_seen=2, ratio=10)
+    return found.withColumnRenamed("label", "word")
+
+
+_CRC_TABLE = """SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) AS x(i))"""
+
+ORACLES["op13_spelling_variants"] = (
+    "WITH RECURSIVE crc AS MATERIALIZED ("
+    + _CRC_TABLE
+    + """),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+seen AS (SELECT doc_id, run, count(*) AS n FROM run WHERE length(run) >= 7 GROUP BY doc_id, run),
+bytes AS (
+  SELECT *, list_transform(range(1, octet_length(encode(coalesce(cast(doc_id AS varchar), '') || ':' || run)) + 1),
+    lambda i: cast('0x' || substr(hex(encode(coalesce(cast(doc_id AS varchar), '') || ':' || run)), cast(2 * i - 1 AS int), 2) AS bigint)) AS b FROM seen),
+hashed AS (
+  SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+word AS MATERIALIZED (
+  SELECT w AS word, cast(sum(n) AS bigint) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w FROM hashed)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN word w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN word w ON c.rest = w.word),
+best AS (
+  SELECT near.word, w.word AS form, w.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, w.word) AS k
+  FROM near JOIN word w ON w.word = near.other),
+formed AS MATERIALIZED (
+  SELECT word.word, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+  FROM word LEFT JOIN best ON best.word = word.word AND k = 1),
+chain AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT chain.word, f.form, steps + 1 FROM chain JOIN formed f ON f.word = chain.root AND f.form IS NOT NULL)
+SELECT f.word, form, root, n, cast(n_near AS bigint) AS n_near, form_n
+FROM formed f JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) r ON r.word = f.word"""
+)
