@@ -231,7 +231,8 @@ def find_leaks(
     hits = id_and_text(events, id_col, text_col).mapInArrow(run, f"id {kind}, window long, place long, found array<string>")
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).cast("int"))
     salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = hits.join(salted, ["window", "salt"]).withColumn("shift", F.col("place") - F.col("at"))
+    # Stored, as several branches read the matches: every text is taken apart once.
+    met = stage(hits.join(salted, ["window", "salt"]).withColumn("shift", F.col("place") - F.col("at")))
     # Alignments: every shift alone, and chains of neighbouring shifts (numbered by the first) as well.
     shifts = met.select("id", "scenario", "stream", "shift").distinct()
     each = Window.partitionBy("id", "scenario", "stream").orderBy("shift")
