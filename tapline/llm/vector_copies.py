@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunks import if_small
 from ..session import stage
 from .near_copies import components
 from .vectors import finite_vector, matrices
@@ -168,7 +169,7 @@ def dense_links(members: DataFrame, least: float) -> DataFrame:
 
     A group is dealt into tiles by hash, and every two of its tiles meet once, in a row of their own.
     """
-    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sizes = if_small(stage(members.groupBy("head").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))))
     dealt = members.join(sizes, "head").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     packed = dealt.groupBy("head", "tiles", "tile").agg(F.collect_list(F.struct("node", "copies", "v")).alias("rows"))
     left = packed.select("head", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), F.col("rows").alias("left"))
