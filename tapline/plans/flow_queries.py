@@ -167,11 +167,14 @@ def contract_validation(t: Tables):
 @query(
     "flow_provenance",
     f"""WITH {V.FLOWS_SQL} SELECT uid AS flow_id, 'zeek_new_packet_v1' AS producer, cast(n AS varchar) AS packet_observations,
-  'true' AS flow_end_observed FROM v_done""",
+  'true' AS flow_end_observed, uid AS record_uid, 'true' AS record_complete FROM v_done""",
 )
 def flow_provenance(t: Tables):
     at = lambda k: F.col("provenance")[k].alias(k)
-    return PF.with_provenance(_complete(t)).select("flow_id", at("producer"), at("packet_observations"), at("flow_end_observed"))
+    record = lambda k: F.get_json_object(F.col("provenance")["flow_end_record"], f"$.{k}")
+    return PF.with_provenance(_complete(t), V.packets(t)).select(
+        "flow_id", at("producer"), at("packet_observations"), at("flow_end_observed"), record("uid").alias("record_uid"), record("flow_complete").alias("record_complete")
+    )
 
 
 # --- raw records -------------------------------------------------------------------------------
