@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.features import dns_base_features
 from ..operators.rolling import EXFIL_FEATURES, HISTORY
+from .frames import plain_text
 
 BASE = tuple(dict.fromkeys(name.rsplit("_", 2)[0] for name in EXFIL_FEATURES))
 
@@ -22,6 +23,7 @@ class ExfilProcessor(StatefulProcessor):
         self.columns = columns
 
     def init(self, handle):
+        self.handle = handle
         self.history = handle.getListState("history", ", ".join(f"`{c}` double" for c in BASE))
 
     def handleInputRows(self, key, rows, timerValues):
@@ -42,19 +44,35 @@ class ExfilProcessor(StatefulProcessor):
         out["history_records_used"] = used.clip(upper=HISTORY).to_numpy()
         self.history.clear()
         self.history.put([tuple(r) for r in values.tail(HISTORY).itertuples(index=False)])
-        yield out
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-max(timerValues.getCurrentWatermarkInMs() * 1000 + 1000, int(batch["at_us"].max())) // 1000))
+        yield plain_text(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.history.clear()
+        yield pd.DataFrame(columns=[*self.columns, "seq", *EXFIL_FEATURES, "history_records_used"])
 
     def close(self):
         pass
 
 
-def exfil_context_stream(df: DataFrame, by: Sequence[str], seq: str, derive: bool = True) -> DataFrame:
-    """The ten previous-20 features per record of a DNS stream. Needs the RocksDB state store."""
+def exfil_context_stream(df: DataFrame, by: Sequence[str], seq: str, ts: str = "ts", derive: bool = True, forget_seconds: float = 3_600.0) -> DataFrame:
+    """The ten previous-20 features per record of a DNS stream. Needs the RocksDB state store.
+
+    The history of a stream whose last record the event time has left ``forget_seconds`` behind is removed; older
+    records are dropped.
+    """
     by = list(by)
+    if forget_seconds <= 0:
+        raise ValueError("state needs an end: forget_seconds must be positive")
     base = dns_base_features(df, lenient=False) if derive else df
-    prepared = base.select(*by, F.col(seq).cast("long").alias("seq_no"), *[F.col(c).cast("double").alias(c) for c in BASE])
+    prepared = base.select(
+        *by, F.col(seq).cast("long").alias("seq_no"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"), F.col(ts).cast("timestamp").alias("event_time"),
+        *[F.col(c).cast("double").alias(c) for c in BASE],
+    ).withWatermark("event_time", f"{forget_seconds} seconds")
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{keys}, seq long, {', '.join(f'{n} double' for n in EXFIL_FEATURES)}, history_records_used long"
     return prepared.groupBy(*by).transformWithStateInPandas(
-        statefulProcessor=ExfilProcessor(by), outputStructType=schema, outputMode="append", timeMode="None"
+        statefulProcessor=ExfilProcessor(by), outputStructType=schema, outputMode="append", timeMode="EventTime"
     )

@@ -11,6 +11,7 @@ from ..operators.packet_flows import (
     FLAG_MASKS, MARKER_MISMATCH, NO_END, NO_ID, NO_PACKETS, OTHER_ENDPOINTS, OTHER_PROTOCOL, SQUARE_BITS, TCP,
     finished_flows, packet_errors, reason_text,
 )
+from .frames import plain_text
 
 SALTS = 64
 _SIDES = ("fwd_packets", "fwd_bytes", "bwd_packets", "bwd_bytes")
@@ -84,7 +85,7 @@ class FlowProcessor(StatefulProcessor):
     def _frame(self, rows):
         out = pd.DataFrame(rows, columns=_COLUMNS)
         whole = [p.split()[0] for p in _OUT.split(", ") if p.endswith(" long")]
-        return out.astype({c: "Int64" for c in whole} | {"emitted_at": "datetime64[us]"})
+        return plain_text(out).astype({c: "Int64" for c in whole} | {"emitted_at": "datetime64[us]"})
 
     def _new(self, segment):
         return dict.fromkeys(_NAMES) | dict.fromkeys((*_SIDES, "squares_high", "squares_low", *_FLAGS), 0) | {"segment": segment, "open": False, "dead": False, "reasons": []}
