@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -80,12 +80,26 @@ def tls_rule_score(columns: Sequence[str]) -> Column:
     return F.coalesce(F.greatest(*rules), F.lit(0.0))
 
 
-def tls_evidence(columns: Sequence[str], probability: Column, threshold: float) -> Column:
-    """Evidence map: rounded values, present only where they are notable."""
+# What an alert's evidence says where the session does not tell.
+EVIDENCE_CONTEXT = {"src_ip": "unknown", "dst_ip": "unknown", "src_port": "0", "dst_port": "0", "protocol": "unknown"}
+
+
+def tls_evidence(
+    columns: Sequence[str], probability: Column, threshold: float, detector: str | None = None, version: str | None = None,
+    context: Mapping[str, Column] | None = None, top: int = 5,
+) -> Column:
+    """Evidence map: rounded values, present only where they are notable.
+
+    With a ``detector`` also its name and version, the endpoints of the session (``context``, by the names of
+    EVIDENCE_CONTEXT) and, as JSON, the ``top`` features.
+    """
     get = lambda n: _feature(n) if n in columns else F.lit(0.0)
     text = lambda c: c.cast("string")
     flag = lambda n: F.when(get(n) != 0, F.lit("true"))
+    known = {k: F.coalesce(text(context[k]) if context and k in context else F.lit(None).cast("string"), F.lit(v)) for k, v in EVIDENCE_CONTEXT.items()}
+    named = [("detector", F.lit(detector)), ("model_version", F.lit(version)), *known.items(), ("top_features", F.to_json(top_features(columns, top)))] if detector else []
     entries = [
+        *named,
         ("malware_probability", text(F.round(probability, 4))),
         ("decision_threshold", F.lit(str(threshold))),
         ("deprecated_cipher_detected", flag("has_deprecated_cipher")),

@@ -14,6 +14,7 @@ from ..functions.scoring import alert_confidence, alert_id, raw_model_score
 from ..session import stage
 from .beacon import micros
 from .chunks import CHUNK_ROWS, join_on, over_previous, running
+from .graph import connected_components
 from .normalize import missing_fields, select_contract
 from .threats import time_bucket
 
@@ -228,6 +229,45 @@ def correlate_alerts(
     )
 
 
+def asset_incidents(
+    alerts: DataFrame, assets: Sequence[str] = ("source_ip", "destination_ip", "flow_id"), alert: str = "alert_id", ts: str = "ts",
+    gap_seconds: int = 3600, rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Alerts with ``incident_id``: alerts belong together that share an asset with no pause longer than the gap, and so on.
+
+    An asset is a value of any column of ``assets``; the same value in two of them (a host that was attacked and now attacks)
+    is one asset. ``incident_id`` is the least alert id of the incident. An alert without an asset or a time is an incident of
+    its own. Sessions of an asset come from counts per time, cut in chunks, so a busy asset is spread over
+    tasks; every alert is linked with the first of its sessions, and links are closed by ``connected_components``.
+    """
+    kept = stage(alerts.select(F.col(alert).alias("_id"), micros(ts).alias("_t"), F.array_distinct(F.array_compact(F.array(*[F.col(c).cast("string") for c in assets]))).alias("_assets")))
+    seen = kept.filter("_t IS NOT NULL").select("_id", "_t", F.explode("_assets").alias("_asset"))
+    slots = seen.groupBy("_asset", "_t").agg(F.min("_id").alias("_least"))
+    gap = F.lit(gap_seconds * 1_000_000).cast("long")
+    opens = {"_new": lambda w: F.coalesce(F.col("_t") - F.lag("_t").over(w) > gap, F.lit(True)).cast("long")}
+    numbered = running(stage(over_previous(slots, ["_asset"], "_t", 1, opens, rows)), ["_asset"], "_t", {"_session": ("sum", F.col("_new"), True)}, rows=rows)
+    numbered = stage(numbered)
+    first = numbered.groupBy("_asset", "_session").agg(F.min("_least").alias("_first"))
+    placed = join_on(seen, numbered.select("_asset", "_t", "_session"), ["_asset", "_t"], "inner", null_safe=False)
+    links = join_on(placed, first, ["_asset", "_session"], "inner", null_safe=False).select("_id", "_first").distinct()
+    found = connected_components(links, "_id", "_first").withColumnsRenamed({"node": alert, "component": "incident_id"})
+    return join_on(alerts, found, [alert]).withColumn("incident_id", F.coalesce("incident_id", alert))
+
+
+def incident_summary(members: DataFrame, assets: Sequence[str] = ("source_ip", "destination_ip"), ts: str = "ts", threat_class: str = "threat_class") -> DataFrame:
+    """Per ``incident_id``: alerts, distinct assets, time span and the ordered threat chain."""
+    key = "incident_id"
+    per_class = members.groupBy(key, threat_class).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    # one row per threat class of an incident
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("_first", threat_class))), lambda x: x[threat_class])
+    out = per_class.groupBy(key).agg(
+        F.sum("_n").alias("alert_count"), F.count(threat_class).alias("class_count"), F.min("_first").alias("first_seen"),
+        F.max("_last").alias("last_seen"), F.array_join(chain, " > ").alias("threat_chain"),
+    )
+    held = members.select(key, F.explode(F.array(*[F.col(c).cast("string") for c in assets])).alias("_asset")).filter("_asset IS NOT NULL").distinct()
+    return join_on(out, held.groupBy(key).agg(F.count(F.lit(1)).alias("asset_count")), [key])
+
+
 def incident_state(events: DataFrame, incident: str = "incident_id", state: str = "state", ts: str = "ts", alert: str | None = None) -> DataFrame:
     """Latest valid state per incident, when it was reached, and how many alerts link to it."""
     valid = events.filter(F.col(state).isin(*INCIDENT_STATES))
@@ -292,5 +332,5 @@ def acknowledge(alerts: DataFrame, ids: DataFrame, id_column: str = "alert_id")
 
 
 def apply_retention(df: DataFrame, ts: str, reference: Column, days: int) -> DataFrame:
-    """Rows not older than the period; on a day-partitioned table this prunes partitions."""
+    """Rows not older than the period. It reads all rows; ``stores.read_days`` reads only the days of a table stored by day."""
     return df.filter(F.col(ts) >= reference - F.expr(f"INTERVAL {int(days)} DAYS"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .chunks import CHUNK_ROWS, join_on, over_previous
+from .chunks import CHUNK_ROWS, exact_percentiles, join_on, over_previous, row_numbers
 
 # Order of the beacon vector; the protocol columns are one-hot.
 BEACON_FEATURES = (
@@ -167,34 +167,46 @@ def beacon_features(
 
 
 def beacon_periodicity(
-    df: DataFrame, by: Sequence[str], ts: str, seq: str, port: str | None = None, rows: int = CHUNK_ROWS
+    df: DataFrame, by: Sequence[str], ts: str, seq: str, port: str | None = None, rows: int = CHUNK_ROWS, destination: str | None = None,
+    lags: Sequence[int] = (1,), tolerance: float = 0.1,
 ) -> DataFrame:
-    """Periodicity of a conversation: gap moments, variation, burstiness and lag-1 autocorrelation.
+    """Periodicity of a conversation: gap moments and exact median, variation, burstiness and autocorrelation of the gaps.
 
-    Gaps follow (time, seq). Equal times are broken by ``seq`` through a dense row number.
+    Gaps follow (time, seq). Equal times are broken by ``seq`` through a dense row number. ``autocorrelation`` is that at lag
+    1, ``autocorrelation_<k>`` those of further ``lags``. ``periodicity_score`` is the share of gaps within ``tolerance`` of
+    the median gap; it is no probability. ``destination_repetition`` is the share of flows to a destination that the key has had before.
     """
-    from .chunks import row_numbers
-
-    by = list(by)
+    by, furthest = list(by), max(lags)
     timed = df.withColumn("_t", micros(ts)).withColumn("_s", F.col(seq).cast("long"))
     numbered = stage(row_numbers(timed, by, ["_t", "_s"], "_i", rows))
-    gap = lambda w: (F.col("_t") - F.lag("_t").over(w)) / F.lit(1e6)
-    prev = lambda w: (F.lag("_t").over(w) - F.lag("_t", 2).over(w)) / F.lit(1e6)
-    gapped = over_previous(numbered, by, "_i", 2, {"_gap": gap, "_prev": prev}, rows)
-    both = F.col("_prev").isNotNull()
-    x, y = F.when(both, F.col("_gap")), F.when(both, F.col("_prev"))
+    gap = lambda k: lambda w: (F.lag("_t", k).over(w) - F.lag("_t", k + 1).over(w)) / F.lit(1e6) if k else (F.col("_t") - F.lag("_t").over(w)) / F.lit(1e6)
+    gapped = over_previous(numbered, by, "_i", furthest + 1, {f"_gap{k}": gap(k) for k in (0, *lags)}, rows)
+    gapped = stage(gapped.select(*by, *[f"_gap{k}" for k in (0, *lags)]))
+
+    def correlation(k: int) -> Column:
+        both = F.col(f"_gap{k}").isNotNull()
+        x, y = F.when(both, F.col("_gap0")), F.when(both, F.col(f"_gap{k}"))
+        return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("autocorrelation" if k == 1 else f"autocorrelation_{k}")
+
     stats = gapped.groupBy(*by).agg(
         F.count(F.lit(1)).alias("flow_count"),
-        F.avg("_gap").alias("iat_mean"),
-        F.stddev_pop("_gap").alias("iat_std"),
-        F.min("_gap").alias("iat_min"),
-        F.max("_gap").alias("iat_max"),
-        F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("autocorrelation"),
+        F.avg("_gap0").alias("iat_mean"),
+        F.stddev_pop("_gap0").alias("iat_std"),
+        F.min("_gap0").alias("iat_min"),
+        F.max("_gap0").alias("iat_max"),
+        *[correlation(k) for k in lags],
     )
+    medians = stage(exact_percentiles(gapped, by, "_gap0", {"iat_median": 0.5}, rows))
+    # Regularity from counts per distinct gap, so a busy key is not joined row by row.
+    per_gap = gapped.filter("_gap0 IS NOT NULL").groupBy(*by, "_gap0").agg(F.count(F.lit(1)).alias("_n"))
+    near = F.abs(F.col("_gap0") - F.col("iat_median")) <= tolerance * F.col("iat_median")
+    regular = join_on(per_gap, medians, by).groupBy(*by).agg((F.sum(F.when(near, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("periodicity_score"))
     mean, std = F.col("iat_mean"), F.col("iat_std")
-    stats = stats.withColumn("iat_cv", F.when(mean > 0, std / mean)).withColumn(
-        "burstiness", F.when(std + mean > 0, (std - mean) / (std + mean))
-    )
+    stats = join_on(join_on(stats, medians, by), regular, by)
+    stats = stats.withColumn("iat_cv", F.when(mean > 0, std / mean)).withColumn("burstiness", F.when(std + mean > 0, (std - mean) / (std + mean)))
+    if destination:
+        kinds = df.groupBy(*by, destination).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg((1 - F.count(F.lit(1)) / F.sum("_n")).alias("destination_repetition"))
+        stats = join_on(stats, kinds, by)
     if port:
         stats = join_on(stats, group_entropy(df, by, port, "destination_port_entropy"), by)
     return stats

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,68 +35,149 @@ def distinct_and_entropy(df: DataFrame, by: Sequence[str], value: str, prefix: s
     )
 
 
+# Bits of TCP flags in a count column's name.
+FLAG_COUNTS = ("syn", "ack", "rst", "fin")
+
+
+def _traffic_sums(packets: str, size: str, protocol: str, reply: str | None, flags: Mapping[str, str], inbound: Column | None) -> dict[str, Column]:
+    """Sums of the traffic onto a destination; they add up over any cut of the rows."""
+    of = lambda p: F.sum(F.when(F.lower(F.col(protocol).cast("string")).isin(*p), F.col(packets)).otherwise(0))
+    sums = {
+        "flows_per_destination": F.count(F.lit(1)), "packets_per_destination": F.sum(packets), "bytes_per_destination": F.sum(size),
+        "tcp_packets": of(("6", "tcp")), "udp_packets": of(("17", "udp")), "icmp_packets": of(("1", "icmp")),
+        "_back": F.sum(reply) if reply else F.sum(F.lit(0)),
+    }
+    sums |= {f"{n}_count": F.sum(F.coalesce(F.col(c), F.lit(0))) for n, c in flags.items()}
+    if inbound is not None:
+        sums["inbound_packets"] = F.sum(F.when(inbound, F.col(packets)).otherwise(0))
+    return sums
+
+
+def _traffic_features(df: DataFrame, seconds: int, flags: Mapping[str, str], inbound: Column | None) -> DataFrame:
+    """Rates, ratios and the flood subtype from the sums.
+
+    Subtype rules are this library's own: the protocol that carries at least 80 % of the packets names the
+    flood; TCP with SYN on at least 80 % of its packets and ACK on at most 20 % is a SYN flood.
+    """
+    share = lambda c: safe_divide(F.col(c), F.col("packets_per_destination"))
+    out = df.withColumn("packets_per_second", F.col("packets_per_destination") / seconds)
+    out = out.withColumn("bidirectional_ratio", safe_divide(F.col("_back"), F.col("bytes_per_destination"))).drop("_back")
+    if flags:
+        out = out.withColumns({f"{n}_ratio": share(f"{n}_count") for n in flags})
+    if inbound is not None:
+        out = out.withColumn("outbound_packets", F.col("packets_per_destination") - F.col("inbound_packets")).withColumn("inbound_share", share("inbound_packets"))
+    of_tcp = lambda c: safe_divide(F.col(c), F.col("tcp_packets"))
+    syn = (of_tcp("syn_count") >= 0.8) & (of_tcp("ack_count") <= 0.2) if {"syn", "ack"} <= set(flags) else F.lit(False)
+    return out.withColumn(
+        "subtype",
+        F.when(share("udp_packets") >= 0.8, "UDP_FLOOD").when(share("icmp_packets") >= 0.8, "ICMP_FLOOD")
+        .when((share("tcp_packets") >= 0.8) & syn, "SYN_FLOOD").when(share("tcp_packets") >= 0.8, "TCP_FLOOD").otherwise("MIXED"),
+    )
+
+
 def ddos_window(
-    df: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst", seconds: int = 60,
-    protocol: str = "protocol", packets: str = "pkts", size: str = "bytes", reply: str | None = None,
+    df: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst", seconds: int = 60, protocol: str = "protocol",
+    packets: str = "pkts", size: str = "bytes", reply: str | None = None, flags: Mapping[str, str] | None = None, inbound: Column | None = None,
 ) -> DataFrame:
     """Traffic onto each destination per window, with source diversity and a subtype label.
 
-    ``reply`` names the bytes sent back, for the bidirectional ratio. Subtype rules are this
-    library's own: the protocol that carries at least 80 % of the packets names the flood.
+    ``reply`` names the bytes sent back, for the bidirectional ratio; ``flags`` the columns that count packets by TCP flag
+    (names of ``FLAG_COUNTS``), for ratios and SYN floods; ``inbound`` tells which flows come from outside.
     """
     bucketed = df.withColumn("window_start", time_bucket(ts, seconds))
-    key = [dst, "window_start"]
-    of = lambda p: F.sum(F.when(F.lower(F.col(protocol).cast("string")).isin(*p), F.col(packets)).otherwise(0))
-    back = F.sum(reply) if reply else F.lit(0)
-    base = bucketed.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("flows_per_destination"),
-        F.sum(packets).alias("packets_per_destination"),
-        F.sum(size).alias("bytes_per_destination"),
-        of(("6", "tcp")).alias("tcp_packets"),
-        of(("17", "udp")).alias("udp_packets"),
-        of(("1", "icmp")).alias("icmp_packets"),
-        back.alias("_back"),
-    )
-    spread = distinct_and_entropy(bucketed, key, src, "source_ips").withColumnRenamed(
-        "source_ips_entropy", "source_ip_entropy"
-    )
-    share = lambda c: safe_divide(F.col(c), F.col("packets_per_destination"))
-    return (
-        join_on(base, spread, key)
-        .withColumn("packets_per_second", F.col("packets_per_destination") / seconds)
-        .withColumn("bidirectional_ratio", safe_divide(F.col("_back"), F.col("bytes_per_destination")))
-        .withColumn(
-            "subtype",
-            F.when(share("udp_packets") >= 0.8, "UDP_FLOOD").when(share("icmp_packets") >= 0.8, "ICMP_FLOOD")
-            .when(share("tcp_packets") >= 0.8, "TCP_FLOOD").otherwise("MIXED"),
-        )
-        .drop("_back")
+    key, flags = [dst, "window_start"], flags or {}
+    base = bucketed.groupBy(*key).agg(*[v.alias(k) for k, v in _traffic_sums(packets, size, protocol, reply, flags, inbound).items()])
+    spread = distinct_and_entropy(bucketed, key, src, "source_ips").withColumnRenamed("source_ips_entropy", "source_ip_entropy")
+    return _traffic_features(join_on(base, spread, key), seconds, flags, inbound)
+
+
+def _rolling(df: DataFrame, by: str, ts: str, seconds: int, step: int, sums: dict[str, Column], distinct: Mapping[str, str], exact: bool) -> DataFrame:
+    """Windows of ``seconds`` that start at every multiple of ``step``, from buckets of one step.
+
+    Rows are read once, into buckets; a window adds up its buckets. Distinct values are HyperLogLog sketches
+    of the buckets, united per window; or, if ``exact``, the distinct values of each bucket, counted per window.
+    """
+    if seconds % step:
+        raise ValueError("the window must be a multiple of the step")
+    bucketed = df.withColumn("_bucket", time_bucket(ts, step))
+    starts = F.explode(F.sequence(F.col("_bucket") - (seconds - step), F.col("_bucket"), F.lit(step).cast("long")))
+    sketches = {} if exact else {f"_h_{n}": F.hll_sketch_agg(F.col(c).cast("string")) for n, c in distinct.items()}
+    buckets = stage(bucketed.groupBy(by, "_bucket").agg(*[v.alias(k) for k, v in (sums | sketches).items()]))
+    spread = buckets.withColumn("window_start", starts)
+    united = [F.hll_sketch_estimate(F.hll_union_agg(f"_h_{n}")).alias(f"unique_{n}") for n in distinct] if not exact else []
+    out = spread.groupBy(by, "window_start").agg(*[F.sum(k).alias(k) for k in sums], *united)
+    for name, column in distinct.items() if exact else ():
+        values = bucketed.groupBy(by, "_bucket", F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        per_window = values.withColumn("window_start", starts).groupBy(by, "window_start", "_v").agg(F.sum("_n").alias("_n"))
+        out = join_on(out, per_window.groupBy(by, "window_start").agg(F.count("_v").alias(f"unique_{name}")), [by, "window_start"])
+    return out
+
+
+def rolling_ddos(
+    df: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst", seconds: int = 60, step: int = 5, protocol: str = "protocol", packets: str = "pkts",
+    size: str = "bytes", reply: str | None = None, flags: Mapping[str, str] | None = None, inbound: Column | None = None, exact: bool = False,
+) -> DataFrame:
+    """``ddos_window`` over windows that start every ``step`` seconds, without the entropy.
+
+    Work follows rows plus windows, not rows times overlap. ``unique_source_ips`` is estimated from
+    mergeable sketches (standard error about 1.6 %), or counted with ``exact``.
+    """
+    flags = flags or {}
+    sums = _traffic_sums(packets, size, protocol, reply, flags, inbound)
+    return _traffic_features(_rolling(df, dst, ts, seconds, step, sums, {"source_ips": src}, exact), seconds, flags, inbound)
+
+
+def _scan_sums(failed: str, unanswered: Column | None, syn_only: Column | None, duration: str | None) -> dict[str, Column]:
+    sums = {"connection_count": F.count(F.lit(1)), "failed_connections": F.count_if(F.col(failed))}
+    sums |= {n: F.count_if(c) for n, c in (("unanswered_connections", unanswered), ("syn_only_connections", syn_only)) if c is not None}
+    if duration:
+        x = F.col(duration).cast("double")
+        sums |= {"_d0": F.count(x), "_d1": F.coalesce(F.sum(x), F.lit(0.0)), "_d2": F.coalesce(F.sum(x * x), F.lit(0.0))}
+    return sums
+
+
+def _scan_features(df: DataFrame, seconds: int, full_score_at: int, unanswered: Column | None, syn_only: Column | None, duration: str | None) -> DataFrame:
+    fan = F.greatest("unique_ports", "unique_hosts")
+    of_all = lambda c: F.col(c) / F.col("connection_count")
+    out = df.withColumn("fanout_rate", (F.col("unique_ports") + F.col("unique_hosts")) / seconds).withColumn("failed_ratio", of_all("failed_connections"))
+    if unanswered is not None:
+        out = out.withColumn("unanswered_ratio", of_all("unanswered_connections"))
+    if syn_only is not None:
+        out = out.withColumn("syn_only_ratio", of_all("syn_only_connections"))
+    if duration:
+        mean = F.when(F.col("_d0") > 0, F.col("_d1") / F.col("_d0"))
+        spread = F.when(F.col("_d0") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("_d2") / F.col("_d0") - mean * mean)))
+        out = out.withColumn("duration_mean", mean).withColumn("duration_std", spread).drop("_d0", "_d1", "_d2")
+    return out.withColumn("scan_shape", F.when(F.col("unique_ports") >= F.col("unique_hosts"), "vertical").otherwise("horizontal")).withColumn(
+        "heuristic_score", F.least(F.lit(1.0), fan / F.lit(float(full_score_at)))
     )
 
 
 def scan_fanout(
-    df: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst", port: str = "dst_port",
-    failed: str = "failed", seconds: int = 60, full_score_at: int = 50,
+    df: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst", port: str = "dst_port", failed: str = "failed", seconds: int = 60,
+    full_score_at: int = 50, unanswered: Column | None = None, syn_only: Column | None = None, duration: str | None = None,
 ) -> DataFrame:
     """Fan-out of each source per window: hosts, ports, rate, failures and port entropy.
 
-    ``heuristic_score`` grows with the larger fan-out up to 1; it is no probability.
+    ``unanswered`` and ``syn_only`` tell connections without an answer, and with nothing but SYN packets; ``duration`` names
+    their seconds. ``heuristic_score`` grows with the larger fan-out up to 1; it is no probability.
     """
     bucketed = df.withColumn("window_start", time_bucket(ts, seconds))
     key = [src, "window_start"]
-    base = bucketed.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("connection_count"), F.count_if(F.col(failed)).alias("failed_connections")
-    )
+    base = bucketed.groupBy(*key).agg(*[v.alias(k) for k, v in _scan_sums(failed, unanswered, syn_only, duration).items()])
     ports = distinct_and_entropy(bucketed, key, port, "ports")
     hosts = distinct_and_entropy(bucketed, key, dst, "hosts").drop("hosts_entropy")
-    joined = join_on(join_on(base, ports, key), hosts, key)
-    fan = F.greatest("unique_ports", "unique_hosts")
-    return (
-        joined.withColumn("fanout_rate", (F.col("unique_ports") + F.col("unique_hosts")) / seconds)
-        .withColumn("failed_ratio", F.col("failed_connections") / F.col("connection_count"))
-        .withColumn("scan_shape", F.when(F.col("unique_ports") >= F.col("unique_hosts"), "vertical").otherwise("horizontal"))
-        .withColumn("heuristic_score", F.least(F.lit(1.0), fan / F.lit(float(full_score_at))))
-    )
+    return _scan_features(join_on(join_on(base, ports, key), hosts, key), seconds, full_score_at, unanswered, syn_only, duration)
+
+
+def rolling_scan(
+    df: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst", port: str = "dst_port", failed: str = "failed", seconds: int = 60, step: int = 5,
+    full_score_at: int = 50, unanswered: Column | None = None, syn_only: Column | None = None, duration: str | None = None, exact: bool = False,
+) -> DataFrame:
+    """``scan_fanout`` over windows that start every ``step`` seconds, without the entropy; see ``rolling_ddos``."""
+    sums = _scan_sums(failed, unanswered, syn_only, duration)
+    rolled = _rolling(df, src, ts, seconds, step, sums, {"ports": port, "hosts": dst}, exact)
+    return _scan_features(rolled, seconds, full_score_at, unanswered, syn_only, duration)
 
 
 def dns_tunnel_features(

@@ -152,6 +152,33 @@ def alert_incidents(t: Tables):
     return micros(A.correlate_alerts(V.alerts(t), "dst_ip", gap_seconds=172_800), "first_seen", "last_seen")
 
 
+_SHARED_SQL = """w AS (SELECT event_id, t, unnest([src_ip, dst_ip]) AS asset FROM v_alerts),
+g AS (SELECT *, CASE WHEN t-lag(t) OVER (PARTITION BY asset ORDER BY t, event_id)<=1800000000 THEN 0 ELSE 1 END AS fresh FROM w),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY asset ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),
+h AS (SELECT event_id, min(event_id) OVER (PARTITION BY asset, session) AS head FROM n),
+e AS MATERIALIZED (SELECT DISTINCT event_id AS a, head AS b FROM h UNION SELECT DISTINCT head, event_id FROM h),
+r AS (SELECT a AS event_id, a AS reached FROM e UNION SELECT r.event_id, e.b FROM r JOIN e ON e.a=r.reached),
+i AS (SELECT event_id, min(reached) AS incident_id FROM r GROUP BY 1)"""
+
+
+@query("asset_incidents", f"WITH RECURSIVE {V.ALERTS_SQL}, {_SHARED_SQL} SELECT event_id, incident_id FROM i")
+def asset_incidents(t: Tables):
+    return A.asset_incidents(V.alerts(t), ["src_ip", "dst_ip"], alert="event_id", gap_seconds=1_800).select("event_id", "incident_id")
+
+
+@query(
+    "asset_incident_summary",
+    f"""WITH RECURSIVE {V.ALERTS_SQL}, {_SHARED_SQL}, m AS (SELECT * FROM v_alerts JOIN i USING (event_id)),
+c AS (SELECT incident_id, threat_class, min(t) AS f, max(t) AS l, count(*) AS k FROM m GROUP BY 1,2),
+d AS (SELECT incident_id, count(DISTINCT asset) AS assets FROM (SELECT incident_id, unnest([src_ip, dst_ip]) AS asset FROM m) GROUP BY 1)
+SELECT incident_id, sum(k)::bigint AS alert_count, count(*) AS class_count, min(f) AS first_seen, max(l) AS last_seen, string_agg(threat_class, ' > ' ORDER BY f, threat_class) AS threat_chain,
+  any_value(assets) AS asset_count FROM c JOIN d USING (incident_id) GROUP BY 1""",
+)
+def asset_incident_summary(t: Tables):
+    members = A.asset_incidents(V.alerts(t), ["src_ip", "dst_ip"], alert="event_id", gap_seconds=1_800)
+    return micros(A.incident_summary(members, ["src_ip", "dst_ip"]), "first_seen", "last_seen")
+
+
 @query(
     "threat_matrix",
     f"""WITH {V.ALERTS_SQL}, f AS (SELECT *, CASE WHEN lower(threat_class) LIKE '%ddos%' THEN 'threat_ddos' WHEN lower(threat_class) LIKE '%c2%' THEN 'threat_c2'

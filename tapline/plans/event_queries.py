@@ -144,6 +144,19 @@ def scoring_dedup(t: Tables):
     return W.dedup_scoring(rows, ["detector", "event"]).groupBy("detector").agg(F.count(F.lit(1)).alias("opportunities"))
 
 
+@query(
+    "scoring_opportunities",
+    f"""WITH {V.EVENTS_SQL} SELECT user_id%3 AS detector, sensor, (t//3600000000)*3600 AS scoring_start, event_type AS context, count(*) AS repeats FROM v_events GROUP BY 1,2,3,4""",
+)
+def scoring_opportunities(t: Tables):
+    """Each (detector, key, interval, context) once, and how many rows asked for it."""
+    hour = F.unix_seconds(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    rows = V.events(t).select((F.col("user_id") % 3).alias("detector"), "sensor", hour.alias("scoring_start"), F.col("event_type").alias("context"))
+    identity = ["detector", "sensor", "scoring_start", "context"]
+    asked = rows.groupBy(*identity).agg(F.count(F.lit(1)).alias("repeats"))
+    return W.dedup_scoring(rows, identity).join(asked, identity)
+
+
 @query(
     "five_tuple",
     f"""WITH {V.PACKETS_SQL} SELECT src AS source_ip, dst AS destination_ip, proto AS protocol, count(*) AS packets FROM v_packets
@@ -297,19 +310,23 @@ def inter_arrival(t: Tables):
 
 @query(
     "beacon_periodicity",
-    f"""WITH {V.FLOW_RECORDS_SQL}, g AS (SELECT src, t, event_id, (t-lag(t) OVER w)/1e6 AS gap, (lag(t) OVER w-lag(t,2) OVER w)/1e6 AS prev FROM v_flows
-  WINDOW w AS (PARTITION BY src ORDER BY t, event_id)),
-s AS (SELECT src, count(*) AS n, avg(gap) AS m, stddev_pop(gap) AS d, min(gap) AS lo, max(gap) AS hi,
-  corr(CASE WHEN prev IS NOT NULL THEN gap END, prev) AS ac FROM g GROUP BY 1),
+    f"""WITH {V.FLOW_RECORDS_SQL}, g AS (SELECT src, t, event_id, (t-lag(t) OVER w)/1e6 AS gap, (lag(t) OVER w-lag(t,2) OVER w)/1e6 AS prev,
+  (lag(t,2) OVER w-lag(t,3) OVER w)/1e6 AS prev2, (lag(t,5) OVER w-lag(t,6) OVER w)/1e6 AS prev5 FROM v_flows WINDOW w AS (PARTITION BY src ORDER BY t, event_id)),
+s AS (SELECT src, count(*) AS n, avg(gap) AS m, stddev_pop(gap) AS d, min(gap) AS lo, max(gap) AS hi, quantile_cont(gap, 0.5) AS med,
+  corr(CASE WHEN prev IS NOT NULL THEN gap END, prev) AS ac, corr(CASE WHEN prev2 IS NOT NULL THEN gap END, prev2) AS ac2,
+  corr(CASE WHEN prev5 IS NOT NULL THEN gap END, prev5) AS ac5 FROM g GROUP BY 1),
+r AS (SELECT g.src, count(*) FILTER (abs(gap-med)<=0.1*med)/count(*) AS regular FROM g JOIN s ON g.src=s.src WHERE gap IS NOT NULL GROUP BY 1),
+u AS (SELECT src, 1-count(DISTINCT dst)/count(*) AS rep FROM v_flows GROUP BY 1),
 p AS (SELECT src, dst_port, count(*) AS c FROM v_flows GROUP BY 1,2), q AS (SELECT src, sum(c) AS total FROM p GROUP BY 1),
 e AS (SELECT p.src, -sum(c/total*log2(c/total)) AS ent FROM p JOIN q ON p.src=q.src GROUP BY 1)
-SELECT s.src, n AS flow_count, round(m,3) AS iat_mean, round(d,3) AS iat_std, round(lo,6) AS iat_min, round(hi,6) AS iat_max,
-  round(ac,6)+0.0 AS autocorrelation, round(d/m,6) AS iat_cv, round((d-m)/(d+m),6)+0.0 AS burstiness, round(ent,6)+0.0 AS destination_port_entropy
-FROM s JOIN e ON s.src=e.src""",
+SELECT s.src, n AS flow_count, round(m,3) AS iat_mean, round(d,3) AS iat_std, round(lo,6) AS iat_min, round(hi,6) AS iat_max, round(med,5) AS iat_median,
+  round(ac,6)+0.0 AS autocorrelation, round(ac2,6)+0.0 AS autocorrelation_2, round(ac5,6)+0.0 AS autocorrelation_5, round(d/m,6) AS iat_cv, round((d-m)/(d+m),6)+0.0 AS burstiness,
+  round(ent,6)+0.0 AS destination_port_entropy, round(regular,6) AS periodicity_score, round(rep,6) AS destination_repetition
+FROM s JOIN e ON s.src=e.src JOIN u ON s.src=u.src LEFT JOIN r ON s.src=r.src""",
 )
 def beacon_periodicity(t: Tables):
-    out = B.beacon_periodicity(V.flows(t), ["src"], "ts", "event_id", "dst_port")
-    return rounded(out, iat_mean=3, iat_std=3)
+    out = B.beacon_periodicity(V.flows(t), ["src"], "ts", "event_id", "dst_port", destination="dst", lags=(1, 2, 5))
+    return rounded(out, iat_mean=3, iat_std=3, iat_median=5)
 
 
 # --- per-threat aggregates ---------------------------------------------------------------------
@@ -351,6 +368,64 @@ def scan_fanout(t: Tables):
     return rounded(T.scan_fanout(V.flows(t), seconds=86_400))
 
 
+def _tagged_flows(t: Tables):
+    """Flow records with flag counts, a direction and what became of the connection."""
+    k, pkts = F.col("pkts"), F.col("pkts")
+    return V.flows(t).select(
+        "*", F.when(k % 3 != 0, pkts).otherwise(0).alias("syn"), F.when(k % 7 == 0, pkts).otherwise(0).alias("ack"),
+        (k % 2 == 0).alias("from_outside"), (k % 4 == 0).alias("unanswered"), (k % 6 == 0).alias("syn_only"), (F.col("bytes") / 100.0).alias("seconds"),
+    )
+
+
+_SPREAD_SQL = "unnest(range((t//3600000000)*3600-18000, (t//3600000000)*3600+3600, 3600)) AS window_start"
+_TAGGED_SQL = f"""x AS (SELECT *, CASE WHEN pkts%3<>0 THEN pkts ELSE 0 END AS syn, CASE WHEN pkts%7=0 THEN pkts ELSE 0 END AS ack, {_SPREAD_SQL} FROM v_flows)"""
+
+
+@query(
+    "rolling_ddos",
+    f"""WITH {V.FLOW_RECORDS_SQL}, {_TAGGED_SQL},
+a AS (SELECT dst, window_start, count(*) AS n, sum(pkts)::bigint AS p, sum(bytes)::double AS b, count(DISTINCT src) AS d, coalesce(sum(pkts) FILTER (protocol='tcp'),0)::bigint AS tp,
+  coalesce(sum(pkts) FILTER (protocol='udp'),0)::bigint AS up, coalesce(sum(pkts) FILTER (protocol='icmp'),0)::bigint AS ip, sum(syn)::bigint AS syn, sum(ack)::bigint AS ack,
+  coalesce(sum(pkts) FILTER (pkts%2=0),0)::bigint AS inb FROM x GROUP BY 1,2)
+SELECT dst, window_start, n AS flows_per_destination, p AS packets_per_destination, b AS bytes_per_destination, tp AS tcp_packets, up AS udp_packets, ip AS icmp_packets,
+  syn AS syn_count, ack AS ack_count, inb AS inbound_packets, p-inb AS outbound_packets, d AS unique_source_ips, round(p/21600,6) AS packets_per_second,
+  round(CASE WHEN b<>0 THEN p/b ELSE 0 END,6) AS bidirectional_ratio, round(CASE WHEN p<>0 THEN syn/p ELSE 0 END,6) AS syn_ratio,
+  round(CASE WHEN p<>0 THEN ack/p ELSE 0 END,6) AS ack_ratio, round(CASE WHEN p<>0 THEN inb/p ELSE 0 END,6) AS inbound_share,
+  CASE WHEN p>0 AND up/p>=0.8 THEN 'UDP_FLOOD' WHEN p>0 AND ip/p>=0.8 THEN 'ICMP_FLOOD' WHEN p>0 AND tp/p>=0.8 AND syn/tp>=0.8 AND ack/tp<=0.2 THEN 'SYN_FLOOD'
+    WHEN p>0 AND tp/p>=0.8 THEN 'TCP_FLOOD' ELSE 'MIXED' END AS subtype FROM a""",
+)
+def rolling_ddos(t: Tables):
+    out = T.rolling_ddos(_tagged_flows(t), seconds=21_600, step=3_600, reply="pkts", flags={"syn": "syn", "ack": "ack"}, inbound=F.col("from_outside"), exact=True)
+    return rounded(out)
+
+
+@query(
+    "rolling_ddos_sketches",
+    f"""WITH {V.FLOW_RECORDS_SQL}, {_TAGGED_SQL}, a AS (SELECT DISTINCT dst, window_start FROM x) SELECT dst, count(*) AS windows, count(*) AS near FROM a GROUP BY 1""",
+)
+def rolling_ddos_sketches(t: Tables):
+    """How many windows have a sketched source count within 5 % (or one) of the exact one."""
+    of = lambda exact: T.rolling_ddos(V.flows(t), seconds=21_600, step=3_600, exact=exact).select("dst", "window_start", "unique_source_ips")
+    both = of(False).join(of(True).withColumnRenamed("unique_source_ips", "exact"), ["dst", "window_start"])
+    near = F.abs(F.col("unique_source_ips") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return both.groupBy("dst").agg(F.count(F.lit(1)).alias("windows"), F.count_if(near).alias("near"))
+
+
+@query(
+    "rolling_scan",
+    f"""WITH {V.FLOW_RECORDS_SQL}, {_TAGGED_SQL},
+a AS (SELECT src, window_start, count(*) AS n, count(*) FILTER (failed) AS f, count(*) FILTER (pkts%4=0) AS u, count(*) FILTER (pkts%6=0) AS s, avg(bytes/100.0) AS dm, stddev_pop(bytes/100.0) AS ds,
+  count(DISTINCT dst_port) AS d, count(DISTINCT dst) AS h FROM x GROUP BY 1,2)
+SELECT src, window_start, n AS connection_count, f AS failed_connections, u AS unanswered_connections, s AS syn_only_connections, d AS unique_ports, h AS unique_hosts,
+  round((d+h)/21600,6) AS fanout_rate, round(f/n,6) AS failed_ratio, round(u/n,6) AS unanswered_ratio, round(s/n,6) AS syn_only_ratio, round(dm,4) AS duration_mean, round(ds,4) AS duration_std,
+  CASE WHEN d>=h THEN 'vertical' ELSE 'horizontal' END AS scan_shape, round(least(1.0, greatest(d,h)/50.0),6)::double AS heuristic_score FROM a""",
+)
+def rolling_scan(t: Tables):
+    rows = _tagged_flows(t)
+    out = T.rolling_scan(rows, seconds=21_600, step=3_600, unanswered=F.col("unanswered"), syn_only=F.col("syn_only"), duration="seconds", exact=True)
+    return rounded(out, duration_mean=4, duration_std=4)
+
+
 @query(
     "exfil_volume",
     f"""WITH {V.FLOW_RECORDS_SQL}, x AS (SELECT *, (t//86400000000)*86400 AS window_start FROM v_flows),

@@ -496,6 +496,33 @@ def tls_rule_score(t: Tables):
     )
 
 
+@query(
+    "tls_evidence",
+    f"""WITH {V.EVENTS_SQL}, x AS (SELECT event_id, k, sensor, (k%8)/10.0 AS cv, (user_id%10)/10.0 AS reg, k%4=0 AS old, k%9=0 AS own, k%5 AS fq, k%7 AS sim, k*3 AS pk, value FROM v_events)
+SELECT event_id, round(k/100.0,4)::double AS malware_probability, 0.6235448718070984::double AS decision_threshold, CASE WHEN old THEN 'true' END AS deprecated_cipher_detected,
+  CASE WHEN own THEN 'true' END AS self_signed_certificate, CASE WHEN cv>0 THEN round(cv,4) END::double AS iat_coefficient_of_variation,
+  CASE WHEN reg>0.5 THEN round(reg,4) END::double AS beaconing_regularity_score, CASE WHEN fq>0 THEN round(fq/3.0,6) END::double AS dominant_frequency_hz,
+  CASE WHEN sim>3 THEN sim END::double AS consecutive_periodic_intervals, pk::double AS total_packets, round(value,3)::double AS flow_duration_sec,
+  'tls' AS detector, '1.0' AS model_version, '10.0.0.'||sensor AS src_ip, 'unknown' AS dst_ip, '0' AS src_port, coalesce(CASE WHEN k%3<>0 THEN 'tcp' END,'unknown') AS protocol,
+  (pk<>0)::bigint+(value<>0)::bigint+(reg<>0)::bigint+(cv<>0)::bigint+(fq<>0)::bigint+(sim<>0)::bigint+old::bigint+own::bigint > 0 AS has_top FROM x""",
+)
+def tls_evidence(t: Tables):
+    """Every entry of the evidence map by value."""
+    k = F.col("k")
+    flag = lambda cond: F.when(cond, 1).otherwise(0)
+    rows = V.events(t).select(
+        "event_id", "sensor", "k", ((k % 8) / 10.0).alias("iat_cv"), ((F.col("user_id") % 10) / 10.0).alias("iat_regularity_score"), flag(k % 4 == 0).alias("has_deprecated_cipher"),
+        flag(k % 9 == 0).alias("cert_self_signed"), ((k % 5) / 3.0).alias("dominant_freq_hz"), (k % 7).alias("consecutive_similar_iat_count"), (k * 3).alias("total_pkt_count"), F.col("value").alias("flow_duration_sec"),
+    )
+    features = [c for c in rows.columns if c not in ("event_id", "sensor", "k")]
+    where = {"src_ip": F.concat(F.lit("10.0.0."), F.col("sensor").cast("string")), "protocol": F.when(k % 3 != 0, "tcp")}
+    found = rows.select("event_id", S.tls_evidence(features, k / 100.0, 0.6235448718070984, "tls", "1.0", where).alias("e"))
+    of = lambda n: F.try_element_at("e", F.lit(n))
+    numbers = ("malware_probability", "decision_threshold", "iat_coefficient_of_variation", "beaconing_regularity_score", "dominant_frequency_hz", "consecutive_periodic_intervals", "total_packets", "flow_duration_sec")
+    texts = ("deprecated_cipher_detected", "self_signed_certificate", "detector", "model_version", "src_ip", "dst_ip", "src_port", "protocol")
+    return found.select("event_id", *[of(n).cast("double").alias(n) for n in numbers], *[of(n).alias(n) for n in texts], (of("top_features") != "[]").alias("has_top"))
+
+
 @query(
     "top_features",
     """SELECT vec_id, names, round(top_value,4) AS top_value FROM (

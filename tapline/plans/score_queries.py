@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..operators import isolation as I
+from ..operators import drift as K
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -202,6 +203,18 @@ def drift_score(t: Tables):
     return rounded(M.drift_score(rows.filter(even), rows.filter(~even), ["value", "k"]))
 
 
+@query("drift_of_profiles", "SELECT unnest(['value','k']) AS feature, true AS psi_near, true AS ks_near")
+def drift_of_profiles(t: Tables):
+    """Whether drift from stored daily profiles and a live one is within the stated error of the exact drift."""
+    rows, columns = V.events(t), ["value", "k"]
+    even = F.col("event_id") % 2 == 0
+    daily = K.profile_features(rows.filter(even).withColumn("day", F.to_date("ts")), columns, by=["day"])
+    sketched = K.drift_from_profiles(K.merge_profiles(daily), K.profile_features(rows.filter(~even), columns))
+    exact = M.drift_score(rows.filter(even), rows.filter(~even), columns).toDF("feature", "exact_psi", "exact_ks")
+    near = lambda c, most: (F.abs(F.col(c) - F.col(f"exact_{c}")) <= most).alias(f"{c}_near")
+    return sketched.join(exact, "feature").select("feature", near("psi", 0.05), near("ks", 0.015))
+
+
 # --- profiles ----------------------------------------------------------------------------------
 
 _LINE = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

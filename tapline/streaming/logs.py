@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.stores import BucketStore
 from ..sources.zeek import attach_headers, decode_lines, number_lines, text_lines
 
 # Fixed value: the live reader refuses longer lines; readers of finished files take any.
@@ -39,39 +40,9 @@ def stream_zeek(
 
 
 def merge_alerts(path: str, key: str = "alert_id", order: str = "observed_at") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer that keeps one row per alert id, the newest by ``order``.
+    """``foreachBatch`` writer that keeps one row per alert id, the newest by ``order``, in a ``BucketStore``."""
+    return lambda alerts, batch: BucketStore(alerts.sparkSession, path, key, order).merge(alerts, batch)
 
-    Each batch writes a new version of the merged table, ``path/version=<batch>``, from the one before, and
-    then removes older versions; running a batch again reads the same earlier version and gives the same
-    table. ``current_alerts`` reads the newest version.
-    """
 
-    def write(alerts: DataFrame, batch: int) -> None:
-        spark = alerts.sparkSession
-        known = [v for v in alert_versions(spark, path) if v < batch]
-        rows = alerts if not known else spark.read.parquet(f"{path}/version={known[-1]}").unionByName(alerts, allowMissingColumns=True)
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, F.xxhash64(*rows.columns))).alias("_r"))
-        newest.select("_r.*").write.mode("overwrite").parquet(f"{path}/version={batch}")
-        for old in known[:-1]:
-            _folder(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
-
-    return write
-
-
-def _folder(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def alert_versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a merged alert table, oldest first."""
-    files, place = _folder(spark, path)
-    if not files.exists(place):
-        return []
-    done = [s.getPath() for s in files.listStatus(place) if s.getPath().getName().startswith("version=")]
-    finished = [p for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in finished)
-
-
-def current_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={alert_versions(spark, path)[-1]}")
+def current_alerts(spark: SparkSession, path: str, key: str = "alert_id", order: str = "observed_at") -> DataFrame:
+    return BucketStore(spark, path, key, order).read()
