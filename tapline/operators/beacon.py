@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .chunks import CHUNK_ROWS, exact_percentiles, join_on, over_previous, row_numbers
+from .chunks import CHUNK_ROWS, exact_percentiles, if_small, join_on, over_previous, row_numbers
 
 # Order of the beacon vector; the protocol columns are one-hot.
 BEACON_FEATURES = (
@@ -85,8 +85,8 @@ def anchored_windows(
     at = F.col(ts) if double else micros(ts)
     unit = 1.0 if double else 1_000_000
     hop = F.lit(step) if double else F.lit(int(step * 1_000_000)).cast("long")
-    spans = df.groupBy(*by).agg(F.min(at).alias("_t0"), F.max(at).alias("_t1"))
-    placed = join_on(df, spans, by)
+    spans = stage(df.groupBy(*by).agg(F.min(at).alias("_t0"), F.max(at).alias("_t1")))
+    placed = join_on(df, if_small(spans), by)
     last = F.floor((at - F.col("_t0")) / hop)
     first = F.greatest(last - (overlap - 1), F.lit(0))
     spread = placed.withColumn("window_index", F.explode(F.sequence(first, last)))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import safe_divide
 from ..session import stage
-from .chunks import CHUNK_ROWS, join_on, running_by_value
-from .profile import unpivot
+from .chunks import CHUNK_ROWS, if_small, join_on, running_by_value
+from .profile import unpivot, with_spans
 
 # Threshold grids as (first, last, step).
 GRIDS = {
@@ -140,7 +140,7 @@ def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str], rows: in
     summed = running_by_value(counts, by, "score", below, rows=rows)
     totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     if by:
-        return join_on(summed, totals, by)
+        return join_on(summed, if_small(stage(totals)), by)
     both = totals.select(F.struct("all_p", "all_q").alias("_t"))
     return summed.withColumn("_t", both.scalar()).select("*", "_t.all_p", "_t.all_q").drop("_t")
 
@@ -233,13 +233,9 @@ def drift_score(training: DataFrame, live: DataFrame, columns: Sequence[str], bi
     PSI uses equal-width bins over the training range, with live values outside put into the end
     bins and empty shares floored. KS uses all distinct values.
     """
-    tagged = (
-        unpivot(training, columns).withColumn("_live", F.lit(0))
-        .unionByName(unpivot(live, columns).withColumn("_live", F.lit(1)))
-        .filter(F.col("value").isNotNull())
-    )
-    spans = tagged.filter("_live = 0").groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    placed = join_on(tagged, spans, ["feature"])
+    side = lambda df, tag: with_spans(df, columns, training).withColumn("_live", F.lit(tag))
+    placed = side(training, 0).unionByName(side(live, 1))
+    tagged = placed.drop("_lo", "_hi")
     width = F.col("_hi") - F.col("_lo")
     raw = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) * bins / width)).otherwise(F.lit(0))
     slot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), raw)).cast("int")

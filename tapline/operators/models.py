@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import severity_from_score
+from ..session import stage
 from . import metrics
-from .chunks import join_on
+from .chunks import if_small, join_on
 from .splits import kfold_by_row
 
 WEIGHT = "_weight"
@@ -25,7 +26,7 @@ def class_weights(df: DataFrame, label: str, positive: float | None = None) -> D
         return df.withColumn(WEIGHT, F.when(F.col(label) == 1, F.lit(float(positive))).otherwise(1.0))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     balanced = counts.withColumn(WEIGHT, F.sum("_n").over(_everything()) / (2.0 * F.col("_n"))).drop("_n")
-    return join_on(df, balanced, [label])
+    return join_on(df, if_small(stage(balanced)), [label])
 
 
 def _everything():

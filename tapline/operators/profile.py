@@ -30,6 +30,20 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), val
     return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.feature", "_p.value")
 
 
+def with_spans(df: DataFrame, columns: Sequence[str], of: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``unpivot`` without nulls, and the least and largest value (``_lo``, ``_hi``) of each feature among the rows of ``of``.
+
+    The spans are one row of numbers, read as a scalar: no row is shuffled to meet them.
+    """
+    number = {c: F.col(c).cast("double") for c in columns}
+    spans = of.agg(*[f(v).alias(f"{n}_{i}") for i, v in enumerate(number.values()) for n, f in (("lo", F.min), ("hi", F.max))])
+    spans = spans.select(F.struct("*").alias("_spans")).scalar()
+    part = lambda i, c: F.struct(F.lit(c).alias("feature"), number[c].alias("value"), F.col(f"_spans.lo_{i}").alias("_lo"), F.col(f"_spans.hi_{i}").alias("_hi"))
+    pairs = F.array(*[part(i, c) for i, c in enumerate(columns)])
+    long = df.withColumn("_spans", spans).select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.*")
+    return long.filter(F.col("value").isNotNull())
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: nulls, distinct values with null as one, the dominant value and its share.
 
@@ -61,17 +75,13 @@ def describe(df: DataFrame, columns: Sequence[str], quantiles: dict[str, float]
 
 
 def class_compare(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Means and exact medians per class and feature with their differences."""
-    long = unpivot(df, columns, [label])
-    value = lambda c: F.when(F.col(label) == c, F.col("value"))
-    means = long.groupBy("feature").agg(F.avg(value(0)).alias("mean_0"), F.avg(value(1)).alias("mean_1"))
-    medians = exact_percentiles(long, ["feature", label], "value", {"median": 0.5})
-    wide = medians.groupBy("feature").agg(
-        F.max(F.when(F.col(label) == 0, F.col("median"))).alias("median_0"),
-        F.max(F.when(F.col(label) == 1, F.col("median"))).alias("median_1"),
-    )
-    joined = join_on(means, wide, ["feature"])
-    return joined.withColumn("mean_difference", F.col("mean_1") - F.col("mean_0")).withColumn(
+    """Means and exact medians per class and feature with their differences, from one pass of counts per value."""
+    long = unpivot(df.filter(F.col(label).isin(0, 1)), columns, [label])
+    basics = {"mean": F.sum(F.col("_n") * F.col("_x")) / F.nullif(F.sum("_n"), F.lit(0))}
+    found = exact_percentiles(long, ["feature", label], "value", {"median": 0.5}, basics=basics)
+    of = lambda name, c: F.max(F.when(F.col(label) == c, F.col(name))).alias(f"{name}_{c}")
+    wide = found.groupBy("feature").agg(*[of(name, c) for name in ("mean", "median") for c in (0, 1)])
+    return wide.withColumn("mean_difference", F.col("mean_1") - F.col("mean_0")).withColumn(
         "median_difference", F.col("median_1") - F.col("median_0")
     )
 
@@ -192,9 +202,7 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     Own deterministic estimate from contingency counts; a nearest-neighbour estimate is randomised
     and not reproduced.
     """
-    long = unpivot(df, columns, [label]).filter(F.col("value").isNotNull())
-    spans = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    placed = join_on(long, spans, ["feature"])
+    placed = with_spans(df, columns, df, [label])
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) * bins / width), F.lit(bins - 1))).otherwise(F.lit(0))
     joint = placed.groupBy("feature", slot.alias("_bin"), label).agg(F.count(F.lit(1)).alias("_n"))

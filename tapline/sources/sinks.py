@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.parsing import evaluated
 from pyspark.sql import types as T
 
 from ..operators.chunks import join_on
@@ -62,10 +64,14 @@ def score_csv_to_jsonl(
     heads = lines.filter("line_number = 1").select("source", F.col("line").alias("header"))
     headers = sorted(r.header for r in heads.select("header").distinct().collect())
     body = join_on(lines.filter("line_number > 1 AND trim(line) <> ''"), heads, ["source"], "inner")
-    frames = []
-    for header in headers:
-        schema = ", ".join(f"`{n.strip()}` string" for n in next(csv.reader([header])))
-        rows = body.filter(F.col("header") == header).withColumn("r", F.from_csv("line", schema))
-        frames.append(rows.select("source", "source_file", F.col("line_number").alias("seq"), "r.*"))
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    score(union).write.mode(mode).json(out)
+    if not headers:  # no line at all: nothing to score
+        spark.createDataFrame([], "source string").write.mode(mode).json(out)
+        return
+    names = {h: [n.strip() for n in next(csv.reader([h]))] for h in headers}
+    kept = {"source": F.col("source"), "source_file": F.col("source_file"), "seq": F.col("line_number")}
+    # One pass: every line is parsed by its own header, and a column is taken from the headers that have it.
+    parsed = {f"_r{i}": F.when(F.col("header") == h, F.from_csv("line", ", ".join(f"`{n}` string" for n in names[h]))) for i, h in enumerate(headers)}
+    rows = evaluated(body.select(*[v.alias(k) for k, v in kept.items()], "line", "header"), list(kept), parsed)
+    columns = dict.fromkeys(n for h in headers for n in names[h])
+    of = lambda n: F.coalesce(*[F.col(f"_r{i}")[n] for i, h in enumerate(headers) if n in names[h]])
+    score(rows.select(*kept, *[of(n).alias(n) for n in columns])).write.mode(mode).json(out)

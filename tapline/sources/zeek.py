@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import evaluated
-from ..operators.chunks import join_on
+from ..operators.chunks import if_small, join_on
+from ..session import stage
 
 # Log names that give an event type.
 EVENT_TYPES = ("conn", "dns", "ssl", "tls", "packet")
@@ -68,7 +69,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
     earlier = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    joined = join_on(lines, blocks.drop("_n"), ["source_path", "_block"], "inner")
+    joined = join_on(lines, if_small(stage(blocks.drop("_n"))), ["source_path", "_block"], "inner")
     number = F.col("_offset") + F.col("_row") - F.col("_first") + 1
     return joined.withColumn("line_number", number).drop("_block", "_row", "_first", "_offset")
 
@@ -165,7 +166,7 @@ def attach_headers(lines: DataFrame) -> DataFrame:
     per_file = headers.groupBy("source_path").agg(
         F.sort_array(F.collect_list(F.struct("_at", "_names"))).alias("_headers")
     )
-    joined = join_on(lines, per_file, ["source_path"])
+    joined = join_on(lines, if_small(stage(per_file)), ["source_path"])
     above = F.filter("_headers", lambda h: h["_at"] < F.col("line_number"))
     return joined.withColumn("fields", F.try_element_at(above, F.lit(-1))["_names"]).drop("_headers")
 

@@ -131,3 +131,20 @@ def test_csv_scoring_reads_each_header(spark, tmp_path):
     sinks.score_csv_to_jsonl(spark, str(tmp_path), str(tmp_path / "out"), lambda df: df)
     got = rows(spark.read.json(str(tmp_path / "out")), "source_file")
     assert [(r["v"], r["w"], r.get("z")) for r in got] == [("1", "2", None), ("9", "90", "x")]
+
+
+def test_no_csv_line_and_one_scan(spark, tmp_path):
+    """An input without a line gives an empty result; several headers are read in one pass."""
+    from tapline.sources.sinks import score_csv_to_jsonl
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "empty.csv").write_text("")
+    score_csv_to_jsonl(spark, str(tmp_path / "in"), str(tmp_path / "none"), lambda df: df)
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+    (tmp_path / "in" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "in" / "b.csv").write_text("y,z\n3,4\n\n5,6\n")
+    seen = []
+    score_csv_to_jsonl(spark, str(tmp_path / "in"), str(tmp_path / "out"), lambda df: seen.append(df) or df.drop("source"))
+    assert seen[0].columns == ["source", "source_file", "seq", "x", "y", "z"]
+    got = sorted((r.source_file, r.seq, r.x, r.y, r.z) for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert got == [("a.csv", 2, "1", "2", None), ("b.csv", 2, None, "3", "4"), ("b.csv", 4, None, "5", "6")]
