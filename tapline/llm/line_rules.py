@@ -84,8 +84,8 @@ def judged_lines(
     above the limit with more than ``max_documents`` records and more than ``max_host_percent`` of
     the sensor's distinct records. Such lines are removed, and a record that loses more than
     ``max_removed_percent`` of the characters of its lines is depleted and rejected. With ``keep_holders``,
-    of the records of a sensor with the same set of such lines the one of the least id loses none, so that
-    each passage stays once, and one member of a large group of near copies with it.
+    of the records of a sensor with the same set of such lines that pass the base rules the one of the least id loses
+    none, so that each passage stays once, and one member of a large group of near copies with it.
 
     Returns ``event_id``, ``body`` (hash of the text), ``host``, ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines``, ``n_repeat_words``, ``removed_chars`` (characters of its lines above the limit),
@@ -110,6 +110,7 @@ def judged_lines(
             F.transform(ls, lambda x: F.struct(F.xxhash64(normalised(x["line"])).alias("line"), F.length(x["line"]).alias("chars"), x["place"].alias("place"))).alias("each"),
         ),
     )
+    failed = (F.col("c.n_words") < MIN_WORDS) | (100 * F.col("c.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("c.n_words"))
     judged = stage(
         rows.select(
             "id",
@@ -127,10 +128,10 @@ def judged_lines(
         hosts = judged.groupBy("host").agg(F.count_distinct("body").alias("of"))
         common = common.join(hosts, "host").filter(100 * F.col("documents") > max_host_percent * F.col("of"))
     salted = common.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = judged.select("id", "body", "host", "l").dropDuplicates(["id", "body", "host"])
-    each = each.select("id", "body", "host", F.pmod("body", F.lit(SALTS)).cast("int").alias("salt"), F.explode("l.each").alias("x"))
-    each = each.select("id", "body", "host", "salt", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"), F.col("x.place").alias("place"))
-    removed = each.join(salted, ["host", "line", "salt"]).groupBy("id", "body", "host")
+    each = judged.select("id", "body", "host", "l", failed.alias("failed")).dropDuplicates(["id", "body", "host"])
+    each = each.select("id", "body", "host", "failed", F.pmod("body", F.lit(SALTS)).cast("int").alias("salt"), F.explode("l.each").alias("x"))
+    each = each.select("id", "body", "host", "failed", "salt", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"), F.col("x.place").alias("place"))
+    removed = each.join(salted, ["host", "line", "salt"]).groupBy("id", "body", "host", "failed")
     removed = removed.agg(F.sum("chars").alias("removed"), F.sort_array(F.collect_list("place")).alias("places"), F.xxhash64(F.sort_array(F.collect_set("line"))).alias("lines"))
 
     def add(rows: DataFrame, more: DataFrame) -> DataFrame:
@@ -141,13 +142,12 @@ def judged_lines(
 
     if keep_holders:
         removed = stage(removed)
-        first = removed.groupBy("host", "lines").agg(F.min(F.struct("id", "body")).alias("first"))
+        first = removed.filter("NOT failed").groupBy("host", "lines").agg(F.min(F.struct("id", "body")).alias("first"))
         removed = add(removed, first.select("first.id", "first.body", "host", F.lit(True).alias("holder")))
     else:
         removed = removed.withColumn("holder", F.lit(None).cast("boolean"))
     total = F.aggregate("l.each", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    out = add(judged, removed.drop("lines"))
-    failed = (F.col("c.n_words") < MIN_WORDS) | (100 * F.col("c.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("c.n_words"))
+    out = add(judged, removed.drop("lines", "failed"))
     removed_chars, holder = F.coalesce("removed", F.lit(0).cast("long")), F.coalesce("holder", F.lit(False))
     return out.select(
         F.col("id").alias(id_col),
@@ -168,3 +168,21 @@ def judged_lines(
 def line_quality(events: DataFrame, *args, **options) -> DataFrame:
     """The counts and verdicts of ``judged_lines``, without what its removal needs."""
     return judged_lines(events, *args, **options).drop("body", "host", "removed_lines")
+
+
+def remove_common_lines(
+    events: DataFrame, id_col: str = "event_id", text_col: str = "raw", host_col: str = "sensor", changed_col: str = "lines_removed", **options
+) -> DataFrame:
+    """Whole rows of the events that ``judged_lines`` keeps, with the lines above the limits taken out of the raw record.
+
+    All columns stay; ``changed_col`` tells whether lines went. Repeated rows stay repeated. ``options`` are those of ``judged_lines``.
+    """
+    judged = judged_lines(events, id_col=id_col, text_col=text_col, host_col=host_col, **options).filter("kept")
+    judged = judged.select(F.struct(F.col(id_col).alias("id"), "body", "host", "removed_lines").alias("judged")).distinct()
+    whole = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("event"))
+    of = lambda c: F.col(f"event.`{c}`")
+    text, host = F.coalesce(of(text_col).cast("string"), F.lit("")), F.coalesce(of(host_col).cast("string"), F.lit(""))
+    same = of(id_col).eqNullSafe(F.col("judged.id")) & (F.xxhash64(text) == F.col("judged.body")) & (host == F.col("judged.host"))
+    places = F.col("judged.removed_lines")
+    kept = {c: remaining(of(c), places) if c == text_col else of(c) for c in events.columns}
+    return whole.join(judged, same).select(*[v.alias(c) for c, v in kept.items()], places.isNotNull().alias(changed_col))

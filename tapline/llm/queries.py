@@ -73,33 +73,51 @@ line AS (SELECT r, host, t, unnest(string_split(t, chr(10))) AS l FROM base),
 full_line AS (
   SELECT *, lower(trim(translate(l, chr(9) || chr(11) || chr(12) || chr(13) || '123456789', '    000000000'))) AS norm
   FROM line WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
-common AS (SELECT host, norm FROM full_line GROUP BY host, norm HAVING count(DISTINCT t) > 100),
+hosts AS (SELECT host, count(DISTINCT t) AS of FROM base GROUP BY host),
+common AS (
+  SELECT host, norm FROM full_line JOIN hosts USING (host)
+  GROUP BY host, norm, of HAVING count(DISTINCT t) > {limit} AND 100 * count(DISTINCT t) > of),
 per AS (
   SELECT r, count(*) - count(DISTINCT l) AS dup, sum(length(l)) AS total,
-    coalesce(sum(length(l)) FILTER ((host, norm) IN (SELECT (host, norm) FROM common)), 0) AS removed
+    coalesce(sum(length(l)) FILTER ((host, norm) IN (SELECT (host, norm) FROM common)), 0) AS removed,
+    list_sort(list_distinct(list(norm) FILTER ((host, norm) IN (SELECT (host, norm) FROM common)))) AS lines
   FROM full_line GROUP BY r),
-judged AS (
+ruled AS (
   SELECT c.*, len(ws) AS n_words, coalesce(cov.n, 0) AS n_repeat_words, coalesce(per.dup, 0) AS n_dup_lines,
     len(ws) < 20 OR 100 * coalesce(cov.n, 0) > 30 * len(ws) AS base_failed,
-    coalesce(per.removed, 0) AS removed, coalesce(per.total, 0) AS total
-  FROM cut c LEFT JOIN cov USING (r) LEFT JOIN per USING (r))"""
+    coalesce(per.removed, 0) AS removed, coalesce(per.total, 0) AS total, per.lines
+  FROM cut c LEFT JOIN cov USING (r) LEFT JOIN per USING (r)),
+holder AS (SELECT host, lines, min(doc_id) AS first FROM ruled WHERE NOT base_failed AND removed > 0 GROUP BY host, lines),
+judged AS (
+  SELECT ruled.*, coalesce(doc_id = first, false) AS holds FROM ruled LEFT JOIN holder ON holder.host = ruled.host AND holder.lines = ruled.lines)"""
+
 
-ORACLES["op10_line_quality"] = (
-    "WITH "
-    + OP10_WORDS.format(docs="documents")
-    + """
+def line_quality_sql(limit: int) -> str:
+    return (
+        "WITH "
+        + OP10_WORDS.format(docs="documents", limit=limit)
+        + """
 SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS bigint) AS word_chars,
   cast(length(t) - length(translate(t, '#*$%&|<>', '')) AS bigint) AS n_symbols, cast(n_dup_lines AS bigint) AS n_dup_lines,
   cast(n_repeat_words AS bigint) AS n_repeat_words, cast(removed AS bigint) AS removed_chars, base_failed,
-  NOT base_failed AND 100 * removed <= 50 * total AS kept
+  NOT base_failed AND (holds OR 100 * removed <= 50 * total) AS kept
 FROM judged"""
-)
+    )
+
+
+ORACLES["op10_line_quality"] = line_quality_sql(100)
+# The same rule with a limit that lines of the small tables pass.
+ORACLES["low_line_limit"] = line_quality_sql(3)
 
 
 @query
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL has the fixed limit of 100 records, and no holders.
-    return line_rules.line_quality(records(spark, sf_dir), max_host_percent=0, keep_holders=False).withColumnRenamed("event_id", "doc_id")
+    return line_rules.line_quality(records(spark, sf_dir)).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def low_line_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_quality(records(spark, sf_dir), max_documents=3).withColumnRenamed("event_id", "doc_id")
 
 
 def part_of(id_col: str, parts: int) -> Column:
