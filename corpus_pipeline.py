@@ -31,16 +31,9 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines above the limits; ``n_chars`` follows the new text."""
-    judged = line_rules.judged_lines(events_of(docs)).filter("kept").select("event_id", "body", "host", "removed_lines").distinct()
-    judged = judged.toDF("kept_id", "kept_body", "kept_host", "removed_lines")
-    judged = judged.select(F.struct(*judged.columns).alias("judged"))
-    whole = docs.select(F.struct(*docs.columns).alias("doc"))
-    text, host = F.coalesce("doc.text", F.lit("")), F.coalesce("doc.source", F.lit(""))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("judged.kept_id")) & (F.xxhash64(text) == F.col("judged.kept_body")) & (host == F.col("judged.kept_host"))
-    places = F.col("judged.removed_lines")
-    left = whole.join(judged, same).select("doc", places.isNotNull().alias("changed"), line_rules.remaining(F.col("doc.text"), places).alias("text"))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))}
-    return left.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    kept = line_rules.remove_common_lines(docs, "doc_id", "text", "source", changed_col="_changed")
+    n_chars = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
