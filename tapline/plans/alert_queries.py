@@ -140,18 +140,24 @@ def alert_cooldown(t: Tables):
     return micros(out, "first_seen", "last_seen")
 
 
-@query(
-    "alert_incidents",
-    f"""WITH {V.ALERTS_SQL}, g AS (SELECT *, CASE WHEN t-lag(t) OVER w>172800000000 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM v_alerts WINDOW w AS (PARTITION BY dst_ip ORDER BY t, event_id)),
+_INCIDENTS_SQL = f"""WITH {V.ALERTS_SQL}, g AS (SELECT *, CASE WHEN t-lag(t) OVER w>172800000000 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM v_alerts WINDOW w AS (PARTITION BY dst_ip ORDER BY t, event_id)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY dst_ip ORDER BY t, event_id) AS incident_no FROM g),
 c AS (SELECT dst_ip, incident_no, threat_class, min(t) AS f, max(t) AS l, count(*) AS m FROM n GROUP BY 1,2,3)
 SELECT dst_ip, incident_no::bigint AS incident_no, sum(m)::bigint AS alert_count, count(*) AS class_count, min(f) AS first_seen, max(l) AS last_seen,
-  string_agg(threat_class, ' > ' ORDER BY f, threat_class) AS threat_chain FROM c GROUP BY 1,2""",
-)
+  string_agg(threat_class, ' > ' ORDER BY f, threat_class) AS threat_chain FROM c GROUP BY 1,2"""
+
+
+@query("alert_incidents", _INCIDENTS_SQL)
 def alert_incidents(t: Tables):
     return micros(A.correlate_alerts(V.alerts(t), "dst_ip", gap_seconds=172_800), "first_seen", "last_seen")
 
 
+@query("alert_incidents_chunked", _INCIDENTS_SQL)
+def alert_incidents_chunked(t: Tables):
+    """The same with every entity cut into chunks."""
+    return micros(A.correlate_alerts(V.alerts(t), "dst_ip", gap_seconds=172_800, rows=20), "first_seen", "last_seen")
+
+
 _SHARED_SQL = """w AS (SELECT event_id, t, unnest([src_ip, dst_ip]) AS asset FROM v_alerts),
 g AS (SELECT *, CASE WHEN t-lag(t) OVER (PARTITION BY asset ORDER BY t, event_id)<=1800000000 THEN 0 ELSE 1 END AS fresh FROM w),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY asset ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),

@@ -218,6 +218,13 @@ def rolling_context(t: Tables):
     return rounded(R.rolling_context(rows, ["user_id"], "event_id", ["value", "k"]).drop("value", "k"))
 
 
+@query("rolling_context_chunked", _rolling_sql(", ".join(f(c, n) for c in ("value", "k") for n in (5, 20) for f in (_AVG, _STD))))
+def rolling_context_chunked(t: Tables):
+    """The same as ``rolling_context_5_20`` with every key cut into chunks, as a key of millions of rows is."""
+    rows = V.events(t).select("event_id", "user_id", "value", "k")
+    return rounded(R.rolling_context(rows, ["user_id"], "event_id", ["value", "k"], rows=20).drop("value", "k"))
+
+
 @query("delta_prev", _rolling_sql("round(value-lag(value) OVER (PARTITION BY user_id ORDER BY event_id),6)+0.0 AS value_delta_prev, k-lag(k) OVER (PARTITION BY user_id ORDER BY event_id) AS k_delta_prev"))
 def delta_prev(t: Tables):
     rows = V.events(t).select("event_id", "user_id", "value", "k")

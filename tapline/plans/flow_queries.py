@@ -604,8 +604,7 @@ def label_derivation(t: Tables):
     )
 
 
-@query("tls_session_features")
-def tls_session_features(t: Tables):
+def _tls_sessions(t: Tables):
     p = V.packets(t).filter("not flow_complete")
     packets = p.select(
         "uid", F.col("arrival_seq").alias("seq"), "ts", F.col("src").startswith("10.0.").alias("forward"),
@@ -618,7 +617,43 @@ def tls_session_features(t: Tables):
         pick("TLSv12", "TLSv13", "TLSv10", "QUICv1").alias("version"), F.when(k % 5 != 0, F.concat(F.col("o_orderpriority"), F.lit(".example"))).alias("server_name"),
         pick("h2", "http/1.1").alias("alpn"), (k % 400 - 20).alias("cert_days"),
     )
-    return rounded(X.tls_flow_features(packets, sessions))
+    return X.tls_flow_features(packets, sessions)
+
+
+@query("tls_session_features")
+def tls_session_features(t: Tables):
+    return rounded(_tls_sessions(t))
+
+
+_GAP_SQL = "(t-lag(t) OVER (PARTITION BY uid{} ORDER BY t, arrival_seq))/1e6"
+_TLS_STATS = {
+    "fwd_pkt_count": "count(*) FILTER (fw)", "bwd_pkt_count": "count(*) FILTER (NOT fw)", "total_pkt_count": "count(*)", "fwd_byte_count": "sum(payload_len) FILTER (fw)",
+    "bwd_byte_count": "sum(payload_len) FILTER (NOT fw)", "total_byte_count": "sum(payload_len)", "fwd_ttl_mean": "avg(64-tcp_flags%8) FILTER (fw)",
+    "bwd_ttl_mean": "avg(64-tcp_flags%8) FILTER (NOT fw)", "fwd_iat_mean": "avg(own) FILTER (fw)", "fwd_iat_std": "stddev_samp(own) FILTER (fw)", "fwd_iat_max": "max(own) FILTER (fw)",
+    "fwd_iat_min": "min(own) FILTER (fw)", "bwd_iat_mean": "avg(own) FILTER (NOT fw)", "bwd_iat_std": "stddev_samp(own) FILTER (NOT fw)", "overall_iat_mean": "avg(gap)",
+    "overall_iat_std": "stddev_samp(gap)", "fwd_pkt_size_max": "max(payload_len) FILTER (fw)", "bwd_pkt_size_max": "max(payload_len) FILTER (NOT fw)",
+    "syn_count": "count(*) FILTER (tcp_flags&2<>0)", "ack_count": "count(*) FILTER (tcp_flags&16<>0)", "fin_count": "count(*) FILTER (tcp_flags&1<>0)", "psh_count": "count(*) FILTER (tcp_flags&8<>0)",
+}
+_TLS_SESSION = {
+    "dst_port": "k%100+1", "tls_1_0": "k%4=2", "tls_1_2": "k%4=0", "tls_1_3": "k%4=1", "tls_quic": "k%4=3 OR k%3=1", "has_sni": "k%5<>0", "sni_length": "CASE WHEN k%5<>0 THEN length(name) ELSE 0 END",
+    "sni_entropy": "CASE WHEN k%5<>0 THEN ent ELSE 0 END", "cert_expired": "k%400-20<0", "cert_valid_days_remaining": "k%400-20", "alpn_h2": "k%2=0", "alpn_http1_1": "k%2=1", "proto_quic": "k%3=1",
+}
+
+
+@query(
+    "tls_session_columns",
+    f"""WITH {V.PACKETS_SQL}, g AS (SELECT *, src LIKE '10.0.%' AS fw, {_GAP_SQL.format("")} AS gap, {_GAP_SQL.format(", src LIKE '10.0.%'")} AS own FROM v_packets),
+a AS (SELECT uid, {", ".join(f"{v} AS {k}" for k, v in _TLS_STATS.items())} FROM g GROUP BY uid),
+c AS (SELECT name, ch, count(*) AS m FROM (SELECT name, unnest(string_split(name,'')) AS ch FROM (SELECT DISTINCT o_orderpriority||'.example' AS name FROM orders)) GROUP BY 1,2),
+e AS (SELECT name, -sum(m/w*log2(m/w)) AS ent FROM (SELECT *, sum(m) OVER (PARTITION BY name) AS w FROM c) GROUP BY 1),
+s AS (SELECT o_orderkey AS k, e.* FROM orders JOIN e ON e.name=o_orderpriority||'.example')
+SELECT uid, {", ".join(f"round(coalesce({k},0)::double,{3 if 'iat' in k else 6}) AS {k}" for k in _TLS_STATS)},
+  {", ".join(f"round(coalesce(({v})::double,0),6)+0.0 AS {k}" for k, v in _TLS_SESSION.items())} FROM a JOIN s ON uid=cast(k AS varchar)""",
+)
+def tls_session_columns(t: Tables):
+    """All session features but the spectral ones, which have no SQL."""
+    out = _tls_sessions(t).drop("dominant_freq_hz", "dominant_freq_power")
+    return rounded(out, **{c: 3 for c in out.columns if "_iat_" in c})
 
 
 @query(

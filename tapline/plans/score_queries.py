@@ -609,7 +609,14 @@ def review_routing(t: Tables):
     return rows.groupBy("reasons").agg(F.count(F.lit(1)).alias("rows")).withColumn("review_required", F.col("reasons") != "")
 
 
-@query("example_pairs")
+@query(
+    "example_pairs",
+    f"""WITH {V.FLOW_RECORDS_SQL}, n AS (SELECT *, dst_port%2 AS cls, row_number() OVER (PARTITION BY dst_port%2, src, dst ORDER BY h, event_id) AS i FROM v_flows),
+p AS (SELECT cls AS label, src, dst, max(h)-min(h) AS iat, sum(bytes)::double AS b, sum(pkts)::double AS k FROM n WHERE i<=2 GROUP BY 1,2,3 HAVING count(*)=2 AND max(h)-min(h)<=300 AND max(h)>min(h)),
+r AS (SELECT *, CASE WHEN k<>0 THEN b/k ELSE 0 END AS score FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN label=1 THEN -score ELSE score END, src, dst) AS place FROM r)
+SELECT label::bigint AS target, src, dst, 2::bigint AS flows, round(iat,6) AS "IAT", round(score,6) AS score FROM o WHERE place=1""",
+)
 def example_pairs(t: Tables):
     from ..operators.beacon import beacon_features
 

@@ -161,7 +161,7 @@ SCORED_SQL = """v_scored AS (
   SELECT l.doc_id, cast(toxic AS bigint) AS label, cast(quality AS bigint) AS quality, (n_chars%1000)/1000.0::double AS score,
     lang AS source, source AS origin, n_chars FROM labels l JOIN documents d ON l.doc_id=d.doc_id)"""
 
-CLASSES = ("ddos burst", "c2 callback", "dns tunnel", "malware in odd encrypted sessions", "recon sweep", "exfil upload")
+CLASSES = ("ddos burst", "c2 callback", "dns tunnel", "malware in encrypted sessions, odd", "recon sweep", "exfil upload")
 
 
 def alerts(t: Tables) -> DataFrame:
