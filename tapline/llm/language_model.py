@@ -151,16 +151,18 @@ def train_language(events: DataFrame, rows_per_language: int = 160, id_col: str
     """Context trees from labelled events (null labels and texts are left out).
 
     At most ``rows_per_language`` records of each label train, those with the least hash of their id in each
-    of SALTS parts of the label: a documented bound on what is broadcast and collected, and no task sorts
-    a whole label.
+    of SALTS parts of the label, which share the number: a documented bound on what is broadcast and collected, and no
+    task sorts a whole label. Records are counted, not ids; equal records of an id count once.
     """
     keyed = events.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = keyed.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     order = F.xxhash64(F.col("id").cast("string"))
-    ids = keyed.select("id", "lang", order.alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))
-    few = ids.withColumn("place", place).filter(F.col("place") <= rows_per_language // SALTS).select("id").distinct()
-    return LanguageModel(keyed.join(F.broadcast(few), "id").select("lang", "text").toPandas())
+    keyed = keyed.withColumn("body", F.xxhash64("text"))
+    rows = keyed.select("id", "lang", "body", order.alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id", "body"))
+    share = rows_per_language // SALTS + (F.col("salt") < rows_per_language % SALTS).cast("int")
+    few = rows.withColumn("place", place).filter(F.col("place") <= share).select("id", "lang", "body")
+    return LanguageModel(keyed.join(F.broadcast(few), ["id", "lang", "body"]).dropDuplicates(["id", "lang", "body"]).select("lang", "text").toPandas())
 
 
 def identify_language(events: DataFrame, model: LanguageModel, id_col: str = "event_id", text_col: str = "raw") -> DataFrame:

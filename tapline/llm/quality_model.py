@@ -156,7 +156,7 @@ def train_quality(
 
     At most ``max_rows`` reviews are used, those with the least hash of their id: a documented bound,
     which also bounds what is broadcast (ids and labels) and what reaches the driver (word buckets and
-    statistics of those records, whole texts).
+    statistics of those records, whole texts). Of several records of a reviewed id, the one of the least hash is used.
     """
     few = (
         reviews.select(F.col(f"`{id_col}`").alias("review_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -175,7 +175,8 @@ def train_quality(
                 names=["label", "words", "metadata", "statistics", "body"],
             )
 
-    kept = rows.select("id", "text", "tags", "label").mapInArrow(
+    first = rows.groupBy("id", "label").agg(F.min_by(F.struct("text", "tags"), F.xxhash64("text", "tags")).alias("r"))
+    kept = first.select("id", "r.text", "r.tags", "label").mapInArrow(
         run, "label int, words array<int>, metadata array<int>, statistics array<double>, body long"
     )
     return FactorisationMachine.fit(kept.toPandas().sort_values(["body", "label"], ignore_index=True))

@@ -20,7 +20,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs of [0-9a-f]+ of 32 and more
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem_key", "der_key", "ssh_key", "signed_token")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s,:.-]*?)-----END \1-----")
+# A body ends at the next five dashes, so a text of many openings is scanned once.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[A-Za-z0-9+/=\s,:.-])*)-----END \1-----")
+_BLANK_LINE = re.compile(r"\r?\n\r?\n")
 _DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{23,}={0,2}")
 _SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
@@ -118,9 +120,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            head, _, body = m[2].rpartition("\n\n")
+            *head, body = _BLANK_LINE.split(m[2])
             data = decode64(body)
-            if is_der_key(data) or is_ssh_key(data) or ("DEK-Info:" in head and data and len(data) % 8 == 0):
+            if is_der_key(data) or is_ssh_key(data) or ("DEK-Info:" in "\n".join(head) and data and len(data) % 8 == 0):
                 found.append(("pem_key", m.start(), m.end()))
     pem = [(s, e) for kind, s, e in found if kind == "pem_key"]
     bare = lambda m: not any(s <= m.start() < e for s, e in pem)

@@ -85,3 +85,24 @@ def test_quality(spark):
     assert quality_model.score_quality(events.limit(0), blank).count() == 0
     with_tags = quality_model.train_quality(events, reviews, metadata_cols=("score",))
     assert quality_model.score_quality(events, with_tags, metadata_cols=("score",)).count() == len(rows)
+
+
+def test_bounds_count_rows(spark, monkeypatch):
+    """Any bound fits a model, and repeated ids bring no more rows to the driver than it says."""
+    sizes = []
+    build = LanguageModel.__init__
+    monkeypatch.setattr(LanguageModel, "__init__", lambda self, frame: sizes.append(frame.groupby("lang").size().to_dict()) or build(self, frame))
+    rows = [(i % 400, sample("aa" if i % 2 else "bb", i), "aa" if i % 2 else "bb") for i in range(800)]
+    rows += [(7, sample("aa", 1000 + i), "aa") for i in range(500)] + [(8, "equal rows", "bb")] * 500
+    events = spark.createDataFrame(rows, "event_id long, raw string, lang string")
+    for bound in (1, 10, 16, 21):
+        model = language_model.train_language(events, rows_per_language=bound)
+        assert model.langs and all(0 < n <= bound for n in sizes[-1].values())
+    found = language_model.identify_language(events, language_model.train_language(events, rows_per_language=10)).filter("lang_pred = 'und'")
+    assert found.count() == 0
+    held = []
+    fit = quality_model.FactorisationMachine.fit
+    monkeypatch.setattr(quality_model.FactorisationMachine, "fit", staticmethod(lambda frame: held.append(len(frame)) or fit(frame)))
+    reviews = spark.createDataFrame([(i, i % 2) for i in range(40)], "event_id long, label int")
+    quality_model.train_quality(events, reviews, max_rows=25)
+    assert held == [25]
