@@ -37,6 +37,7 @@ DEFAULT_FAMILY = "threat_ddos"
 # Context keys that must never be stored.
 REDACTED_KEYS = ("payload", "pcap_excerpt", "tls_keys", "authorization")
 
+# Fixed value: addresses that no session of interest has.
 NON_ROUTABLE = r"^(255\.255\.255\.255|.*\.255|169\.254\..*|224\..*|239\..*|127\..*|0\.0\.0\.0)$"
 
 

@@ -15,7 +15,7 @@ from ..operators import models as ML
 from ..operators import profile as D
 from ..operators import splits as L
 from ..operators import stability as Y
-from ..operators.alerts import review_reasons
+from ..operators.alerts import review_reasons, review_records
 from . import views as V
 from .registry import Tables, query, rounded
 
@@ -609,6 +609,23 @@ def review_routing(t: Tables):
     return rows.groupBy("reasons").agg(F.count(F.lit(1)).alias("rows")).withColumn("review_required", F.col("reasons") != "")
 
 
+@query(
+    "review_records",
+    f"""WITH {V.EVENTS_SQL}, r AS (SELECT *, concat_ws(',', CASE WHEN k/100.0 BETWEEN 0.15 AND 0.35 THEN 'ambiguous_model_probability' END,
+  CASE WHEN k%4=0 THEN 'evasion_sensitivity' END, CASE WHEN user_id%5=0 THEN 'local_baseline_outlier' END) AS reasons FROM v_events)
+SELECT event_id, reasons, '10.0.0.'||sensor AS src_ip, 1::bigint AS context_entries, k, round(value,6) AS value FROM r WHERE reasons<>''""",
+)
+def review_records_of_events(t: Tables):
+    """Rows to review: what the context keeps once payload and keys are gone, and the model's features."""
+    k, text = F.col("k"), lambda c: F.col(c).cast("string")
+    context = F.create_map(F.lit("src_ip"), F.concat(F.lit("10.0.0."), text("sensor")), F.lit("Payload"), text("value"), F.lit("tls_keys"), text("k"))
+    rows = V.events(t).withColumns({"reasons": review_reasons(k / 100.0, k % 4 == 0, F.col("user_id") % 5 == 0), "context": context})
+    out = review_records(rows, "reasons", "context", ["k", "value"])
+    return rounded(out.select(
+        "event_id", F.array_join("reasons", ",").alias("reasons"), F.col("context")["src_ip"].alias("src_ip"), F.size("context").cast("long").alias("context_entries"), "model_features.k", "model_features.value",
+    ))
+
+
 @query(
     "example_pairs",
     f"""WITH {V.FLOW_RECORDS_SQL}, n AS (SELECT *, dst_port%2 AS cls, row_number() OVER (PARTITION BY dst_port%2, src, dst ORDER BY h, event_id) AS i FROM v_flows),
