@@ -326,14 +326,16 @@ r AS (SELECT g.src, count(*) FILTER (abs(gap-med)<=0.1*med)/count(*) AS regular
 u AS (SELECT src, 1-count(DISTINCT dst)/count(*) AS rep FROM v_flows GROUP BY 1),
 p AS (SELECT src, dst_port, count(*) AS c FROM v_flows GROUP BY 1,2), q AS (SELECT src, sum(c) AS total FROM p GROUP BY 1),
 e AS (SELECT p.src, -sum(c/total*log2(c/total)) AS ent FROM p JOIN q ON p.src=q.src GROUP BY 1)
-SELECT s.src, n AS flow_count, round(m,3) AS iat_mean, round(d,3) AS iat_std, round(lo,6) AS iat_min, round(hi,6) AS iat_max, round(med,5) AS iat_median,
+SELECT s.src, n AS flow_count, round(m,3) AS iat_mean, round(d,3) AS iat_std, round(lo,6) AS iat_min, round(hi,6) AS iat_max, cast(round(med*2e6) AS bigint) AS iat_median_half_us,
   round(ac,6)+0.0 AS autocorrelation, round(ac2,6)+0.0 AS autocorrelation_2, round(ac5,6)+0.0 AS autocorrelation_5, round(d/m,6) AS iat_cv, round((d-m)/(d+m),6)+0.0 AS burstiness,
   round(ent,6)+0.0 AS destination_port_entropy, round(regular,6) AS periodicity_score, round(rep,6) AS destination_repetition
 FROM s JOIN e ON s.src=e.src JOIN u ON s.src=u.src LEFT JOIN r ON s.src=r.src""",
 )
 def beacon_periodicity(t: Tables):
     out = B.beacon_periodicity(V.flows(t), ["src"], "ts", "event_id", "dst_port", destination="dst", lags=(1, 2, 5))
-    return rounded(out, iat_mean=3, iat_std=3, iat_median=5)
+    # A median lies on half microseconds: compared as a whole number, no rounding is left to differ.
+    halves = F.round(F.col("iat_median") * 2e6).cast("long")
+    return rounded(out.withColumn("iat_median_half_us", halves).drop("iat_median"), iat_mean=3, iat_std=3)
 
 
 # --- per-threat aggregates ---------------------------------------------------------------------
